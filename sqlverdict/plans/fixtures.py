@@ -107,3 +107,273 @@ def cell_pairs(spark: SparkSession, sf: str) -> DataFrame:
         "example_id", F.lit("pred").alias("pred_id"), F.lit("gold").alias("gold_id"),
         (F.floor(F.col("example_id") / 15).cast("bigint") % 2 == 1).alias("ordered"),
     )
+
+
+def cell_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The two statements of each customer: gold always runs, variant 12 fails."""
+    ck = table(spark, sf, "orders").select(F.col("o_custkey").alias("example_id")).distinct()
+    side = F.explode(F.array(F.lit("gold"), F.lit("pred")))
+    return ck.select("example_id", side.alias("side")).select(
+        "example_id", "side", F.col("side").alias("query_id"), F.lit(0).alias("pos"), F.col("side").alias("sql"),
+        (F.floor(F.col("example_id") / 15).cast("bigint") % 2 == 1).alias("ordered"),
+        ((F.col("side") == "gold") | (F.col("example_id") % 15 != 12)).alias("ok"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+# --- several statements per customer ---------------------------------------
+#
+# Result kinds: A status and priority, B priority, C as A reversed, D as A with
+# columns swapped, S status, Z empty, X failed.
+
+SQL_RUNS = """st0 AS (SELECT DISTINCT o_custkey AS ck FROM orders),
+st AS (
+SELECT ck, 'gold' AS side, 0 AS pos, 'A' AS res, CASE WHEN ck % 2 = 0 THEN 'SELECT a ORDER BY k' ELSE 'SELECT a' END AS sql FROM st0 WHERE ck % 17 <> 0
+UNION ALL SELECT ck, 'gold', 1, CASE WHEN ck % 13 = 0 THEN 'X' WHEN ck % 5 = 0 THEN 'S' ELSE 'B' END, 'SELECT b' FROM st0 WHERE ck % 17 <> 0
+UNION ALL SELECT ck, 'gold', 2, 'A', CASE WHEN ck % 2 = 0 THEN 'SELECT a ORDER BY k' ELSE 'SELECT a' END FROM st0 WHERE ck % 17 <> 0 AND ck % 7 = 0
+UNION ALL SELECT ck, 'gold', 3, 'A', 'SELECT a2' FROM st0 WHERE ck % 17 <> 0 AND ck % 11 = 0
+UNION ALL SELECT ck, 'gold', 0, 'X', 'unanswerable ' FROM st0 WHERE ck % 17 = 0
+UNION ALL SELECT ck, 'pred', 0, CASE WHEN ck % 3 = 0 THEN 'X' ELSE 'C' END, 'SELECT p0' FROM st0
+UNION ALL SELECT ck, 'pred', 1, 'Z', 'SELECT p1' FROM st0
+UNION ALL SELECT ck, 'pred', 2, 'D', CASE WHEN ck % 4 = 0 THEN 'SELECT p2 ORDER BY k' ELSE 'SELECT p2' END FROM st0
+UNION ALL SELECT ck, 'pred', 3, 'X', 'SELECT p3' FROM st0
+UNION ALL SELECT ck, 'pred', 4, CASE WHEN ck % 6 = 0 THEN 'D' ELSE 'A' END,
+  CASE WHEN ck % 6 <> 0 THEN 'SELECT p4' WHEN ck % 4 = 0 THEN 'SELECT p2 ORDER BY k' ELSE 'SELECT p2' END FROM st0
+UNION ALL SELECT ck, 'pred', 5, 'Z', 'SELECT p5' FROM st0
+UNION ALL SELECT ck, 'pred', 6, 'B', 'SELECT p6' FROM st0 WHERE ck % 2 = 1),
+runs AS (SELECT *, res <> 'X' AS ok, contains(lower(sql), 'order by') AS ordered FROM st),
+res AS (
+SELECT s.ck, s.side, s.pos, list_sort(list(o.o_orderpriority)) AS pri, list_sort(list(o.o_orderstatus)) AS sta,
+  list(list_sort([o.o_orderpriority, o.o_orderstatus]) ORDER BY o_orderkey) AS up,
+  list(list_sort([o.o_orderpriority, o.o_orderstatus]) ORDER BY o_orderkey DESC) AS down,
+  list([o.o_orderstatus, o.o_orderpriority] ORDER BY o_orderkey) AS a_rows, list([o.o_orderpriority, o.o_orderstatus] ORDER BY o_orderkey) AS d_rows,
+  list([o.o_orderpriority] ORDER BY o_orderkey) AS b_rows, list([o.o_orderstatus] ORDER BY o_orderkey) AS s_rows,
+  list([o.o_orderstatus, o.o_orderpriority] ORDER BY o_orderkey DESC) AS c_rows, any_value(s.res) AS res
+  FROM st s JOIN orders o ON o.o_custkey = s.ck GROUP BY 1, 2, 3),
+r2 AS (SELECT runs.*, CASE runs.res WHEN 'B' THEN list_concat(pri, []) WHEN 'S' THEN sta WHEN 'Z' THEN [] WHEN 'X' THEN NULL ELSE list_sort(list_concat(pri, sta)) END AS bag,
+  CASE runs.res WHEN 'A' THEN up WHEN 'D' THEN up WHEN 'C' THEN down WHEN 'B' THEN b_rows WHEN 'S' THEN s_rows WHEN 'Z' THEN [] END AS rowbags,
+  CASE runs.res WHEN 'A' THEN a_rows WHEN 'D' THEN d_rows WHEN 'C' THEN c_rows WHEN 'B' THEN b_rows WHEN 'S' THEN s_rows WHEN 'Z' THEN [] END AS exact
+  FROM runs LEFT JOIN res USING (ck, side, pos)),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ck, side, sql ORDER BY pos) AS rr FROM r2) WHERE rr = 1)"""
+
+
+def multi_runs(spark: SparkSession, sf: str) -> DataFrame:
+    ck = table(spark, sf, "orders").select(F.col("o_custkey").alias("ck")).distinct()
+    c = F.col("ck")
+
+    def one(keep, side, pos, res, sql):
+        return F.when(keep, F.struct(
+            F.lit(side).alias("side"), F.lit(pos).alias("pos"), res.alias("res"), sql.alias("sql")))
+
+    answer = c % 17 != 0
+    yes = F.lit(True)
+    gold_a = F.when(c % 2 == 0, "SELECT a ORDER BY k").otherwise("SELECT a")
+    p2 = F.when(c % 4 == 0, "SELECT p2 ORDER BY k").otherwise("SELECT p2")
+    items = F.array_compact(F.array(
+        one(answer, "gold", 0, F.lit("A"), gold_a),
+        one(answer, "gold", 1, F.when(c % 13 == 0, "X").when(c % 5 == 0, "S").otherwise("B"), F.lit("SELECT b")),
+        one(answer & (c % 7 == 0), "gold", 2, F.lit("A"), gold_a),
+        one(answer & (c % 11 == 0), "gold", 3, F.lit("A"), F.lit("SELECT a2")),
+        one(~answer, "gold", 0, F.lit("X"), F.lit("unanswerable ")),
+        one(yes, "pred", 0, F.when(c % 3 == 0, "X").otherwise("C"), F.lit("SELECT p0")),
+        one(yes, "pred", 1, F.lit("Z"), F.lit("SELECT p1")),
+        one(yes, "pred", 2, F.lit("D"), p2),
+        one(yes, "pred", 3, F.lit("X"), F.lit("SELECT p3")),
+        one(yes, "pred", 4, F.when(c % 6 == 0, "D").otherwise("A"), F.when(c % 6 == 0, p2).otherwise("SELECT p4")),
+        one(yes, "pred", 5, F.lit("Z"), F.lit("SELECT p5")),
+        one(c % 2 == 1, "pred", 6, F.lit("B"), F.lit("SELECT p6")),
+    ))
+    return ck.select("ck", F.explode(items).alias("s")).select(
+        F.col("ck").alias("example_id"), "s.side", F.concat(F.substring("s.side", 1, 1), F.col("s.pos")).alias("query_id"),
+        "s.pos", "s.sql", F.contains(F.lower("s.sql"), F.lit("order by")).alias("ordered"),
+        (F.col("s.res") != "X").alias("ok"), F.when(F.col("s.res") == "X", "no such column").alias("error"), "s.res",
+    )
+
+
+def multi_cells(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    per = W.partitionBy("o_custkey")
+    rows = o.select(
+        F.col("o_custkey").alias("example_id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"),
+        (F.row_number().over(per.orderBy("o_orderkey")) - 1).cast("bigint").alias("rn"), F.count("*").over(per).alias("n"),
+    )
+    runs = multi_runs(spark, sf).filter("res NOT IN ('X', 'Z')").select("example_id", "side", "query_id", "res")
+    res = F.col("res")
+    values = (
+        F.when(res == "B", F.array("p")).when(res == "S", F.array("s")).when(res == "D", F.array("p", "s"))
+        .otherwise(F.array("s", "p"))
+    )
+    return rows.join(runs, "example_id").select(
+        "example_id", "side", "query_id",
+        F.when(res == "C", F.col("n") - 1 - F.col("rn")).otherwise(F.col("rn")).alias("row_idx"),
+        F.posexplode(values).alias("col_idx", "str"),
+    ).withColumns({"kind": F.lit("str"), "num": F.lit(None).cast("double")})
+
+
+# --- benchmark questions with categories and scores -------------------------
+
+SQL_EXAMPLES = """fx_examples AS (SELECT doc_id, concat('test_', CAST(doc_id AS VARCHAR(20))) AS example_id,
+       concat('db', CAST(doc_id % 37 AS VARCHAR(20))) AS db_id, source AS dataset, gt_category,
+       CASE WHEN doc_id % 7 = 0 THEN 'U' WHEN doc_id % 11 = 0 THEN 'AA' ELSE gt_category END AS pred_category,
+       CASE WHEN gt_category = 'AU' THEN 'null'
+            WHEN doc_id % 3 = 0 THEN 'scope' WHEN doc_id % 3 = 1 THEN 'attachment' ELSE 'vague' END AS ambig_type,
+       CAST(doc_id % 5 AS DOUBLE) / 4 AS prec, CAST(doc_id % 4 AS DOUBLE) / 3 AS rec
+FROM (SELECT d.doc_id, d.source, CASE WHEN l.toxic = 1 THEN 'U' WHEN l.quality = 0 THEN 'AA' ELSE 'AU' END AS gt_category
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id) t)"""
+
+
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    gt = F.when(F.col("toxic") == 1, "U").when(F.col("quality") == 0, "AA").otherwise("AU")
+    k = F.col("doc_id")
+    return d.join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", F.concat(F.lit("test_"), k).alias("example_id"), F.concat(F.lit("db"), k % 37).alias("db_id"),
+        F.col("source").alias("dataset"), gt.alias("gt_category"),
+    ).withColumns({
+        "pred_category": F.when(k % 7 == 0, "U").when(k % 11 == 0, "AA").otherwise(F.col("gt_category")),
+        "ambig_type": F.when(F.col("gt_category") == "AU", "null").when(k % 3 == 0, "scope")
+        .when(k % 3 == 1, "attachment").otherwise("vague"),
+        "prec": (k % 5).cast("double") / 4, "rec": (k % 4).cast("double") / 3,
+    })
+
+
+SQL_SCORES = SQL_EXAMPLES + """, sc AS (SELECT *, CASE WHEN doc_id % 13 <> 0 THEN prec END AS precision, CASE WHEN doc_id % 13 <> 0 THEN rec END AS recall,
+  CASE WHEN doc_id % 13 = 0 THEN NULL WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END AS f1,
+  CASE WHEN doc_id % 13 <> 0 THEN least(1.0, prec + 0.25) END AS precision_flex, CASE WHEN doc_id % 13 <> 0 THEN least(1.0, rec + CAST(1 AS DOUBLE) / 3) END AS recall_flex,
+  CASE WHEN doc_id % 13 <> 0 THEN least(1.0, (prec + rec) / 2) END AS f1_flex, doc_id % 4 = 0 AS correction_applied,
+  CAST(doc_id % 3 - 1 AS DOUBLE) / 10 AS f1_improvement, doc_id % 10 = 0 AS reclassified_to_u FROM fx_examples),
+pop AS (SELECT doc_id, gt_category, pred_category, ambig_type, dataset, correction_applied, f1_improvement,
+  CASE WHEN pred_category = 'U' THEN 0 ELSE coalesce(precision, 0) END AS precision, CASE WHEN pred_category = 'U' THEN 0 ELSE coalesce(recall, 0) END AS recall,
+  CASE WHEN pred_category = 'U' THEN 0 ELSE coalesce(f1, 0) END AS f1, CASE WHEN pred_category = 'U' THEN 0 ELSE coalesce(precision_flex, 0) END AS precision_flex,
+  CASE WHEN pred_category = 'U' THEN 0 ELSE coalesce(recall_flex, 0) END AS recall_flex, CASE WHEN pred_category = 'U' THEN 0 ELSE coalesce(f1_flex, 0) END AS f1_flex
+  FROM sc WHERE gt_category IN ('AU', 'AA'))"""
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    k, p, r = F.col("doc_id"), F.col("prec"), F.col("rec")
+    done = k % 13 != 0
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return examples(spark, sf).withColumns({
+        "precision": F.when(done, p), "recall": F.when(done, r), "f1": F.when(done, f1),
+        "precision_flex": F.when(done, F.least(F.lit(1.0), p + 0.25)),
+        "recall_flex": F.when(done, F.least(F.lit(1.0), r + F.lit(1.0) / 3)),
+        "f1_flex": F.when(done, F.least(F.lit(1.0), (p + r) / 2)),
+        "correction_applied": k % 4 == 0, "f1_improvement": (k % 3 - 1).cast("double") / 10,
+        "reclassified_to_u": k % 10 == 0,
+    })
+
+
+# --- training log -----------------------------------------------------------
+
+SQL_REWARDS = """fx_rewards AS (SELECT event_id AS step,
+       CASE event_type WHEN 'view' THEN 'scope' WHEN 'click' THEN 'attachment' WHEN 'purchase' THEN 'vague' ELSE 'mixed' END AS stage,
+       CAST(user_id % 3 AS BIGINT) AS epoch, CASE WHEN event_type = 'error' THEN 0.25 ELSE CAST(event_id % 101 AS DOUBLE) / 100 END AS reward
+FROM events)"""
+
+
+def rewards(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_type")
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("step"),
+        F.when(e == "view", "scope").when(e == "click", "attachment").when(e == "purchase", "vague").otherwise("mixed").alias("stage"),
+        (F.col("user_id") % 3).alias("epoch"),
+        F.when(e == "error", 0.25).otherwise((F.col("event_id") % 101).cast("double") / 100).alias("reward"),
+    )
+
+
+# --- vectors ------------------------------------------------------------------
+
+SQL_VEC = """fx_vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label,
+       CASE WHEN vec_id % 25 = 0 THEN 'query' ELSE 'corpus' END AS part,
+       concat('q', CAST(label AS VARCHAR(20)), '_', CAST(vec_id % 8 AS VARCHAR(20))) AS question,
+       CASE WHEN label % 2 = 0 THEN 'AA' ELSE 'AU' END AS category,
+       CASE WHEN label % 2 = 1 THEN NULL WHEN label % 3 = 0 THEN 'scope' WHEN label % 3 = 1 THEN 'attachment' ELSE 'vague' END AS ambig_type
+FROM embeddings),
+sims AS (SELECT q.vec_id AS query_id, c.vec_id, q.question AS qq, c.question AS cq, q.category AS qc, c.category AS cc, q.ambig_type AS qt, c.ambig_type AS ct,
+  round(list_dot_product(q.e, c.e), 9) AS similarity FROM fx_vec q JOIN fx_vec c ON q.part = 'query' AND c.part = 'corpus')"""
+
+
+def vectors(spark: SparkSession, sf: str, part: str) -> DataFrame:
+    """``part`` is query (every 25th vector) or corpus."""
+    label, k = F.col("label"), F.col("vec_id")
+    mine = (k % 25 == 0) if part == "query" else (k % 25 != 0)
+    return table(spark, sf, "embeddings").filter(mine).select(
+        "vec_id", "embedding", "label", F.concat(F.lit("q"), label, F.lit("_"), k % 8).alias("question"),
+        F.when(label % 2 == 0, "AA").otherwise("AU").alias("category"),
+        F.when(label % 2 == 1, F.lit(None)).when(label % 3 == 0, "scope").when(label % 3 == 1, "attachment")
+        .otherwise("vague").alias("ambig_type"),
+    )
+
+
+# --- logits -------------------------------------------------------------------
+
+SQL_LOGITS = """fx_logits AS (SELECT doc_id, CAST(n_chars % 7 AS DOUBLE) / 2 AS l_u, CAST(n_chars % 5 AS DOUBLE) / 2 AS l_aa, CAST(n_chars % 3 AS DOUBLE) / 2 AS l_au,
+  CASE doc_id % 3 WHEN 0 THEN 'Validation:  should_reclassify' WHEN 1 THEN 'VALIDATION: CONFIRMED_U then VALIDATION: SHOULD_RECLASSIFY' END AS verdict FROM documents)"""
+
+
+def logits(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = F.col("n_chars"), F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        "doc_id", ((n % 7).cast("double") / 2).alias("l_u"), ((n % 5).cast("double") / 2).alias("l_aa"),
+        ((n % 3).cast("double") / 2).alias("l_au"),
+        F.when(k % 3 == 0, "Validation:  should_reclassify")
+        .when(k % 3 == 1, "VALIDATION: CONFIRMED_U then VALIDATION: SHOULD_RECLASSIFY").alias("verdict"))
+
+
+# --- model replies ---------------------------------------------------------------
+
+SQL_REPLIES = """fx_responses AS (SELECT p_partkey AS id, p_partkey % 8 AS fmt,
+  CASE p_partkey % 8
+    WHEN 0 THEN concat('{"sql_queries": ["SELECT p_name FROM part WHERE p_size = ', CAST(p_size AS VARCHAR(20)), '", "SELECT p_brand FROM part"]}')
+    WHEN 1 THEN '{"corrected_queries": ["SELECT 1", " "]}'
+    WHEN 2 THEN '{"interpretations": [{"interpretation": "by size", "sql_query": "SELECT p_size FROM part"}]}'
+    WHEN 3 THEN concat('```sql', chr(10), 'SELECT p_name FROM part; SELECT p_size FROM part', chr(10), '```')
+    WHEN 4 THEN concat('SELECT p_name FROM part', chr(10), chr(10), 'WITH t AS (SELECT 1) SELECT * FROM t')
+    WHEN 5 THEN concat('-- Interpretation 1:', chr(10), 'SELECT 1', chr(10), '-- Interpretation 2:', chr(10), 'SELECT 2')
+    WHEN 6 THEN concat('["', p_name, '", "', p_type, '"]')
+    ELSE concat('Score: 0.', CAST(p_size AS VARCHAR(20))) END AS raw_text
+FROM part)"""
+
+
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 8
+    text = (
+        F.when(k == 0, F.concat(F.lit('{"sql_queries": ["SELECT p_name FROM part WHERE p_size = '), "p_size",
+                                F.lit('", "SELECT p_brand FROM part"]}')))
+        .when(k == 1, '{"corrected_queries": ["SELECT 1", " "]}')
+        .when(k == 2, '{"interpretations": [{"interpretation": "by size", "sql_query": "SELECT p_size FROM part"}]}')
+        .when(k == 3, "```sql\nSELECT p_name FROM part; SELECT p_size FROM part\n```")
+        .when(k == 4, "SELECT p_name FROM part\n\nWITH t AS (SELECT 1) SELECT * FROM t")
+        .when(k == 5, "-- Interpretation 1:\nSELECT 1\n-- Interpretation 2:\nSELECT 2")
+        .when(k == 6, F.concat(F.lit('["'), "p_name", F.lit('", "'), "p_type", F.lit('"]')))
+        .otherwise(F.concat(F.lit("Score: 0."), "p_size"))
+    )
+    return p.select(F.col("p_partkey").alias("id"), k.alias("fmt"), text.alias("raw_text"))
+
+
+# --- dumps: one small database per customer nation and segment ---------------------
+
+SQL_DUMPS = """fx_dumps AS (SELECT c_custkey AS db_id, n AS t,
+       concat('CREATE TABLE ', n, ' (', chr(10), 'id INTEGER,', chr(10), 'name TEXT,', chr(10), '  ', lower(c_mktsegment), ' REAL,', chr(10),
+              'PRIMARY KEY (id)', chr(10), ');', chr(10), 'INSERT INTO t VALUES (', CAST(c_nationkey AS VARCHAR(20)), ');', chr(10), ' insert into t values (1);') AS db_dump,
+       CASE WHEN c_custkey % 3 = 0 THEN concat('SELECT name, missing FROM ', n, ' WHERE id = 1')
+            WHEN c_custkey % 3 = 1 THEN concat('SELECT t.name FROM ', n, ' t JOIN other o ON t.id = o.id ORDER BY t.name')
+            ELSE concat('SELECT count(*) FROM ', n, ' GROUP BY ', lower(c_mktsegment)) END AS sql_text
+FROM (SELECT *, lower(replace(n_name, ' ', '_')) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey) x)"""
+
+
+def dumps(spark: SparkSession, sf: str) -> DataFrame:
+    """One database per customer, named after its nation, with one statement."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lower(
+        F.replace("n_name", F.lit(" "), F.lit("_"))).alias("n"))
+    c = table(spark, sf, "customer").join(nation, "c_nationkey")
+    seg, k = F.lower("c_mktsegment"), F.col("c_custkey") % 3
+    dump = F.concat(
+        F.lit("CREATE TABLE "), "n", F.lit(" (\nid INTEGER,\nname TEXT,\n  "), seg,
+        F.lit(" REAL,\nPRIMARY KEY (id)\n);\nINSERT INTO t VALUES ("), "c_nationkey", F.lit(");\n insert into t values (1);"))
+    sql = (
+        F.when(k == 0, F.concat(F.lit("SELECT name, missing FROM "), "n", F.lit(" WHERE id = 1")))
+        .when(k == 1, F.concat(F.lit("SELECT t.name FROM "), "n", F.lit(" t JOIN other o ON t.id = o.id ORDER BY t.name")))
+        .otherwise(F.concat(F.lit("SELECT count(*) FROM "), "n", F.lit(" GROUP BY "), seg))
+    )
+    return c.select(F.col("c_custkey").alias("db_id"), F.col("n").alias("t"), dump.alias("db_dump"), sql.alias("sql_text"))
