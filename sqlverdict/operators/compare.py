@@ -23,6 +23,7 @@ from sqlverdict.session import cut_lineage
 
 PAIR = ("example_id", "pred_id", "gold_id")
 SALTS = 16
+PRINTS = ("bag", "raw_cells", "norm_cells", "row_bags", "norm_rows")
 
 
 def pair_up(runs: DataFrame) -> DataFrame:
@@ -45,9 +46,17 @@ def _side(profiles: DataFrame, side: str, id_name: str, prefix: str) -> DataFram
     )
 
 
-def with_profiles(pairs: DataFrame, valued: DataFrame, prints) -> DataFrame:
+def stored_profiles(cells: DataFrame) -> DataFrame:
+    """All fingerprints of all results from one pass over the cells, checkpointed.
+
+    One narrow row per result; every whole-result rule can then share it.
+    """
+    return cut_lineage(profile_results(with_values(cells), PRINTS))
+
+
+def with_profiles(pairs: DataFrame, valued: DataFrame, prints, profiles: DataFrame | None = None) -> DataFrame:
     """Pairs with shapes and fingerprints of both results (``p_`` and ``g_`` columns)."""
-    profiles = profile_results(valued, prints)
+    profiles = profile_results(valued, prints) if profiles is None else profiles
     out = pairs.join(_side(profiles, "pred", "pred_id", "p_"), ["example_id", "pred_id"], "left").join(
         _side(profiles, "gold", "gold_id", "g_"), ["example_id", "gold_id"], "left"
     )
@@ -346,20 +355,21 @@ def _subset(pairs: DataFrame, valued: DataFrame) -> DataFrame:
 
 def match_flex(
     pairs: DataFrame, cells: DataFrame, min_similarity: float = 0.7, tolerance: float = 0.01,
-    max_wide: int = 10, max_narrow: int = 5, min_share: float = 0.5,
+    max_wide: int = 10, max_narrow: int = 5, min_share: float = 0.5, profiles: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``strict``, ``flex`` and ``rule`` (the first rule that held).
 
-    Pairs settled by one stage do not enter the next. The per-pair state (one
-    narrow row per pair) is checkpointed between stages, so that no stage repeats
-    the cell work of an earlier one.
+    Pairs settled by one stage do not enter the next, and a stage without pairs is
+    left out. The per-pair state (one narrow row per pair) is checkpointed between
+    stages, so that no stage repeats the cell work of an earlier one. ``profiles``
+    are fingerprints already made by ``stored_profiles``.
     """
     valued = with_values(cells)
     has_similarity = "similarity" in pairs.columns
     key = list(PAIR)
 
     # Stage 0: shapes and fingerprints.
-    shaped = with_profiles(pairs, valued, ["bag", "row_bags", "norm_cells", "norm_rows"])
+    shaped = with_profiles(pairs, valued, ["bag", "row_bags", "norm_cells", "norm_rows"], profiles)
     plain = (F.col("p_odd") == 0) & (F.col("g_odd") == 0)
     identical = _same_shape() & _equal_print("norm_cells")
     state = cut_lineage(shaped.select(
@@ -372,48 +382,40 @@ def match_flex(
 
     # Stage 1: positional rules and normalised rows on equal shapes.
     todo = state.filter(F.col("rule").isNull() & _same_shape())
-    flags = _positional(_attach(valued, todo, "pred"), _attach(valued, todo, "gold"), tolerance)
-    state = cut_lineage(_settle(state.join(flags, key, "left"), F.when(
-        _same_shape(),
-        F.when(F.col("pct"), "percentage").when(F.col("bool"), "boolean").when(F.col("tol"), "tolerance")
-        .when(F.col("normalized"), "normalized"),
-    )).drop("pct", "bool", "tol", "same", "normalized"))
+    if not todo.isEmpty():
+        flags = _positional(_attach(valued, todo, "pred"), _attach(valued, todo, "gold"), tolerance)
+        state = cut_lineage(_settle(state.join(flags, key, "left"), F.when(
+            _same_shape(),
+            F.when(F.col("pct"), "percentage").when(F.col("bool"), "boolean").when(F.col("tol"), "tolerance")
+            .when(F.col("normalized"), "normalized"),
+        )).drop("pct", "bool", "tol", "same"))
+    state = state.drop("normalized")
 
     # Stage 2: column maps, wide side onto narrow side, equal row counts only.
     wide_pred = F.col("p_n_cols") >= F.col("g_n_cols")
+    prefix = F.when(_same_shape(), "mapped+").when(wide_pred, "wide+").otherwise("narrow+")
     todo = state.filter(F.col("rule").isNull() & _same_rows()).withColumns({
         "n_wide": F.greatest("p_n_cols", "g_n_cols"), "n_narrow": F.least("p_n_cols", "g_n_cols"),
         "n": F.col("p_n_rows"), "pred_wide": wide_pred,
     }).filter((F.col("n_wide") <= max_wide) & (F.col("n_narrow") <= max_narrow))
-    pred_cells = _attach(valued, todo, "pred", ["pred_wide"])
-    gold_cells = _attach(valued, todo, "gold", ["pred_wide"])
-    wide = pred_cells.filter("pred_wide").unionByName(gold_cells.filter("NOT pred_wide"), True)
-    narrow = gold_cells.filter("pred_wide").unionByName(pred_cells.filter("NOT pred_wide"), True)
-    maps = _map_columns(todo, wide, narrow, min_share).drop("score")
-    prefix = F.when(_same_shape(), "mapped+").when(wide_pred, "wide+").otherwise("narrow+")
-    identity = _same_shape() & (F.col("mapping") == F.sequence(F.lit(0), F.size("mapping") - 1))
-    state = cut_lineage(_settle(
-        state.join(maps, key, "left")
-        .withColumn("mapping", F.when(~F.coalesce(identity, F.lit(False)), F.col("mapping"))),
-        F.when(F.col("mapping").isNotNull() & F.col("full") & F.col("plain"), F.concat(prefix, F.lit("percentage"))),
-    ))
-
-    # Stage 3: the positional and row rules again, on mapped columns.
-    todo = state.filter("rule IS NULL AND mapping IS NOT NULL").withColumn("pred_wide", wide_pred)
-    sides = {
-        side: _projected(_attach(valued, todo, side, ["pred_wide", "mapping"]), side == "pred")
-        for side in ("pred", "gold")
-    }
-    flags = _positional(sides["pred"], sides["gold"], tolerance)
-    rows = _mapped_rows_equal(sides)
-    state = _settle(
-        state.join(flags, key, "left").join(rows, key, "left"),
-        F.when(F.col("pct"), F.concat(prefix, F.lit("percentage")))
-        .when(F.col("bool"), F.concat(prefix, F.lit("boolean")))
-        .when(F.col("tol"), F.concat(prefix, F.lit("tolerance")))
-        .when(F.when(F.col("ordered"), F.col("same")).otherwise(F.col("rows_same")),
-              F.concat(prefix, F.lit("normalized"))),
-    )
+    if not todo.isEmpty():
+        pred_cells = _attach(valued, todo, "pred", ["pred_wide"])
+        gold_cells = _attach(valued, todo, "gold", ["pred_wide"])
+        wide = pred_cells.filter("pred_wide").unionByName(gold_cells.filter("NOT pred_wide"), True)
+        narrow = gold_cells.filter("pred_wide").unionByName(pred_cells.filter("NOT pred_wide"), True)
+        maps = _map_columns(todo, wide, narrow, min_share).drop("score")
+        identity = _same_shape() & (F.col("mapping") == F.sequence(F.lit(0), F.size("mapping") - 1))
+        state = cut_lineage(_settle(
+            state.join(maps, key, "left")
+            .withColumn("mapping", F.when(~F.coalesce(identity, F.lit(False)), F.col("mapping"))),
+            F.when(F.col("mapping").isNotNull() & F.col("full") & F.col("plain"),
+                   F.concat(prefix, F.lit("percentage"))),
+        ))
+
+        # Stage 3: the positional and row rules again, on mapped columns.
+        todo = state.filter("rule IS NULL AND mapping IS NOT NULL").withColumn("pred_wide", wide_pred)
+        if not todo.isEmpty():
+            state = _mapped_rules(state, todo, valued, prefix, tolerance)
 
     # Stage 4: containment, only where a similarity above the bound is given.
     if has_similarity:
@@ -430,6 +432,24 @@ def match_flex(
     return state.select(*pairs.columns, "strict", (rule != "none").alias("flex"), rule.alias("rule"))
 
 
+def _mapped_rules(
+    state: DataFrame, todo: DataFrame, valued: DataFrame, prefix: Column, tolerance: float
+) -> DataFrame:
+    key = list(PAIR)
+    sides = {
+        side: _projected(_attach(valued, todo, side, ["pred_wide", "mapping"]), side == "pred")
+        for side in ("pred", "gold")
+    }
+    flags = _positional(sides["pred"], sides["gold"], tolerance)
+    rows = _mapped_rows_equal(sides)
+    same_rows = F.when(F.col("ordered"), F.col("same")).otherwise(F.col("rows_same"))
+    rules = (("pct", "percentage"), ("bool", "boolean"), ("tol", "tolerance"))
+    rule = F.lit(None).cast("string")
+    for flag, name in ((same_rows, "normalized"), *[(F.col(c), n) for c, n in reversed(rules)]):
+        rule = F.when(flag, F.concat(prefix, F.lit(name))).otherwise(rule)
+    return _settle(state.join(flags, key, "left").join(rows, key, "left"), rule)
+
+
 def _settle(state: DataFrame, rule: Column) -> DataFrame:
     return state.withColumn("rule", F.coalesce("rule", rule))
 

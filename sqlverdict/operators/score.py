@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from sqlverdict.functions.cells import profile_results, with_values
 from sqlverdict.functions.pytext import has_order_by, strip
-from sqlverdict.operators.compare import match_flex, pair_up
+from sqlverdict.operators.compare import match_flex, pair_up, stored_profiles
+from sqlverdict.session import cut_lineage
 
 RESULT = ["example_id", "side", "query_id"]
 
 
-def _joined_profiles(runs: DataFrame, cells: DataFrame, prints) -> DataFrame:
-    prof = profile_results(with_values(cells), prints)
+def _joined_profiles(runs: DataFrame, cells: DataFrame, prints, profiles: DataFrame | None = None) -> DataFrame:
+    prof = profile_results(with_values(cells), prints) if profiles is None else profiles
     keep = [c for c in runs.columns if c not in ("n_rows", "n_cols")]
     return runs.select(*keep).join(prof, RESULT, "left").fillna(0, ["n_rows", "n_cols"])
 
@@ -28,14 +29,14 @@ def dedup_statements(runs: DataFrame) -> DataFrame:
     ).select(*runs.columns)
 
 
-def gold_duplicates(runs: DataFrame, cells: DataFrame) -> DataFrame:
+def gold_duplicates(runs: DataFrame, cells: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Examples where two gold statements give identical ordered results.
 
     ``dup_pos`` is the first position whose result was already there.
     """
     gold = dedup_statements(runs.filter("side = 'gold' AND ok"))
     result = ["example_id", "n_rows", "n_cols", "raw_cells"]
-    prof = _joined_profiles(gold, cells, ["raw_cells"]).select(*result, "pos").withColumn(
+    prof = _joined_profiles(gold, cells, ["raw_cells"], profiles).select(*result, "pos").withColumn(
         "raw_cells", F.coalesce("raw_cells", F.array().cast("array<bigint>"))
     )
     firsts = prof.groupBy(*result).agg(F.min("pos").alias("first"), F.count("*").alias("n"))
@@ -54,7 +55,7 @@ def unique_results(runs: DataFrame, cells: DataFrame, side: str = "pred") -> Dat
     return kinds.groupBy("example_id").agg(F.count("*").alias("n_unique"))
 
 
-def result_dedup(runs: DataFrame, cells: DataFrame) -> DataFrame:
+def result_dedup(runs: DataFrame, cells: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Predicted statements that survive greedy removal of equal results.
 
     Going through the statements in order, a later one falls to a kept earlier
@@ -72,7 +73,7 @@ def result_dedup(runs: DataFrame, cells: DataFrame) -> DataFrame:
     an earlier empty result, but a failure does not fall to an empty result.
     """
     pred = dedup_statements(runs.filter("side = 'pred'"))
-    prof = _joined_profiles(pred, cells, ["bag", "row_bags"]).select(
+    prof = _joined_profiles(pred, cells, ["bag", "row_bags"], profiles).select(
         "example_id", "pos", "ok", "n_rows", "n_cols", has_order_by(F.col("sql")).alias("ord"),
         F.col("bag"), F.col("row_bags"),
     )
@@ -152,7 +153,7 @@ def is_unanswerable(gold: Column) -> Column:
     return (F.size(gold) <= 0) | F.exists(gold, lambda q: F.upper(strip(q)) == "UNANSWERABLE")
 
 
-def example_status(runs: DataFrame, cells: DataFrame) -> DataFrame:
+def example_status(runs: DataFrame, cells: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """``ok``, ``unanswerable``, ``gold_error`` or ``gold_duplicate`` per example, with the error text."""
     gold = F.col("side") == "gold"
     base = runs.groupBy("example_id").agg(
@@ -160,7 +161,7 @@ def example_status(runs: DataFrame, cells: DataFrame) -> DataFrame:
         F.min_by(F.when(gold & ~F.col("ok"), F.coalesce("error", F.lit("failed"))),
                  F.when(gold & ~F.col("ok"), F.col("pos"))).alias("gold_error"),
     )
-    return base.join(gold_duplicates(runs, cells), "example_id", "left").select(
+    return base.join(gold_duplicates(runs, cells, profiles), "example_id", "left").select(
         "example_id",
         F.when(F.col("none"), "unanswerable").when(F.col("gold_error").isNotNull(), "gold_error")
         .when(F.col("dup_pos").isNotNull(), "gold_duplicate").otherwise("ok").alias("status"),
@@ -182,11 +183,13 @@ def evaluate(runs: DataFrame, cells: DataFrame, dedup: bool = True, pred_side: s
             return df.filter(F.col("side").isin("gold", pred_side)).withColumn(
                 "side", F.when(F.col("side") == pred_side, "pred").otherwise("gold"))
         runs, cells = as_pred(runs), as_pred(cells)
-    status = example_status(runs, cells)
+    profiles = stored_profiles(cells)
+    status = cut_lineage(example_status(runs, cells, profiles))
     usable = runs.join(status.filter("status = 'ok'"), "example_id", "left_semi")
     distinct = dedup_statements(usable)
-    kept = result_dedup(usable, cells) if dedup else distinct.filter("side = 'pred'")
-    matches = match_flex(pair_up(distinct.filter("side = 'gold'").unionByName(kept)), cells)
+    kept = result_dedup(usable, cells, profiles) if dedup else distinct.filter("side = 'pred'")
+    kept = cut_lineage(kept)
+    matches = match_flex(pair_up(distinct.filter("side = 'gold'").unionByName(kept)), cells, profiles=profiles)
     scores = score_examples(usable, matches, kept).drop("n_failed")
     failed = distinct.filter("side = 'pred' AND NOT ok").groupBy("example_id").agg(F.count("*").alias("n_failed"))
     counts = runs.groupBy("example_id").agg(

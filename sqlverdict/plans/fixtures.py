@@ -377,3 +377,43 @@ def dumps(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("SELECT count(*) FROM "), "n", F.lit(" GROUP BY "), seg))
     )
     return c.select(F.col("c_custkey").alias("db_id"), F.col("n").alias("t"), dump.alias("db_dump"), sql.alias("sql_text"))
+
+
+# --- raw benchmark rows ---------------------------------------------------------------
+
+SQL_RAW = """raw AS (SELECT doc_id AS row_idx, CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN ' train ' ELSE 'validation' END AS split,
+  CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE text END AS question, CASE WHEN doc_id % 5 = 0 THEN 'unanswerable' ELSE 'ambig' END AS question_type,
+  CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' ELSE '' END AS is_ambiguous, CASE doc_id % 7 WHEN 0 THEN 'AA' WHEN 1 THEN ' ' ELSE '' END AS question_category,
+  CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE concat('CREATE ', source) END AS db_dump_processed, CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat(lang, ' dump ') END AS db_dump,
+  CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('db', doc_id % 37) END AS db_file_full,
+  concat('SELECT  ', doc_id, chr(10), chr(10), ' SELECT', chr(10), ' 2 ', chr(10), chr(10), chr(10), chr(10)) AS gold_queries,
+  CASE doc_id % 4 WHEN 0 THEN 'Scope' WHEN 1 THEN 'attachment' WHEN 2 THEN 'unanswerable' ELSE '' END AS ambig_type,
+  CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat('a ', chr(10), chr(10), ' b', doc_id) END AS nl_interpretations,
+  CASE doc_id % 6 WHEN 0 THEN concat('["SELECT ', doc_id, '", "SELECT 1"]') WHEN 1 THEN concat('[''SELECT ', doc_id, ''']') WHEN 2 THEN 'not a list' WHEN 3 THEN '[]' ELSE '' END AS ambig_queries
+FROM documents)"""
+
+
+def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+
+    def pick(mod, *values):
+        out = F.when(k % mod == 0, values[0])
+        for i, v in enumerate(values[1:], 1):
+            out = out.when(k % mod == i, v)
+        return out
+
+    return d.select(
+        k.alias("row_idx"), pick(4, "train", "test", " train ", "validation").alias("split"),
+        F.when(k % 9 == 0, "  ").otherwise(F.col("text")).alias("question"),
+        F.when(k % 5 == 0, "unanswerable").otherwise("ambig").alias("question_type"),
+        pick(3, "true", "FALSE", "").alias("is_ambiguous"), pick(7, "AA", " ").otherwise("").alias("question_category"),
+        F.when(k % 2 == 0, " ").otherwise(F.concat(F.lit("CREATE "), "source")).alias("db_dump_processed"),
+        F.when(k % 8 == 0, "").otherwise(F.concat("lang", F.lit(" dump "))).alias("db_dump"),
+        F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("db"), k % 37)).alias("db_file_full"),
+        F.concat(F.lit("SELECT  "), k, F.lit("\n\n SELECT\n 2 \n\n\n\n")).alias("gold_queries"),
+        pick(4, "Scope", "attachment", "unanswerable", "").alias("ambig_type"),
+        F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("a \n\n b"), k)).alias("nl_interpretations"),
+        F.when(k % 6 == 0, F.concat(F.lit('["SELECT '), k, F.lit('", "SELECT 1"]')))
+        .when(k % 6 == 1, F.concat(F.lit("['SELECT "), k, F.lit("']"))).when(k % 6 == 2, "not a list")
+        .when(k % 6 == 3, "[]").otherwise("").alias("ambig_queries"),
+    )
