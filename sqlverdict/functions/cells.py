@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlverdict.functions.pytext import strip, to_float
+from sqlverdict.functions.pytext import strip, stripped_to_float, to_float
 
 EXACT = float(2**53)
 BYTES_MARK = "\x00"
@@ -100,19 +100,24 @@ def sort_row(values: Column) -> Column:
 
 
 def with_values(cells: DataFrame) -> DataFrame:
-    """Replaces kind, num and str by raw (``rn``, ``rx``) and normalised (``nn``, ``nx``) values."""
+    """Replaces kind, num and str by raw (``rn``, ``rx``) and normalised (``nn``, ``nx``) values.
+
+    Built in steps, each naming what the next uses more than once, so that no
+    text is trimmed or parsed twice.
+    """
     here = F.concat_ws("|", "side", "query_id", "row_idx", "col_idx")
     keep = [c for c in cells.columns if c not in ("kind", "num", "str")]
     raw = raw_value(F.col("kind"), F.col("num"), F.col("str"))
+    rn, rx, t, nn = (F.col(c) for c in ("rn", "rx", "t", "nn"))
+    is_text = rn.isNull() & rx.isNotNull() & ~rx.startswith(BYTES_MARK)
     out = cells.select(*keep, raw["n"].alias("rn"), raw["x"].alias("rx"))
-    out = out.select(
-        *keep, "rn", "rx",
-        norm_number(F.col("rn"), F.col("rx")).alias("nn"), norm_text(F.col("rn"), F.col("rx")).alias("nx"),
-    )
-    return out.select(
-        *keep, "rn", F.when(F.isnan("rn"), here).otherwise(F.col("rx")).alias("rx"),
-        "nn", F.when(F.isnan("nn"), here).otherwise(F.col("nx")).alias("nx"),
+    out = out.select(*keep, rn, rx, F.when(is_text, F.lower(strip(rx))).alias("t"))
+    out = out.select(*keep, rn, rx, t, F.when(t.isNull(), rn).otherwise(stripped_to_float(t)).alias("nn"))
+    text = (
+        F.when(F.isnan(nn), here).when(t.isNull(), rx).when(nn.isNotNull(), _big(nn))
+        .when(~t.isin(*NULL_WORDS), t)
     )
+    return out.select(*keep, rn, F.when(F.isnan(rn), here).otherwise(rx).alias("rx"), nn, text.alias("nx"))
 
 
 # --- fingerprints ---------------------------------------------------------
@@ -155,48 +160,50 @@ def profile_results(
     """One row per result: shape, ``odd`` and the requested fingerprints.
 
     ``bag``         raw cells, order and structure ignored
-    ``raw_cells``   raw cells by position
-    ``norm_cells``  normalised cells by position
     ``row_bags``    rows by position, cell order inside a row ignored (raw)
+    ``raw_cells``   rows by position, cells by position (raw)
+    ``norm_cells``  rows by position, cells by position (normalised)
     ``norm_rows``   rows in any order, cells by position (normalised)
 
-    The first three need one aggregation; the last two first build rows. ``odd``
-    counts cells whose number may not be finite.
+    A bag alone takes one aggregation; the others first sum up the cells of each
+    row, then the rows. ``odd`` counts cells whose number may not be finite.
     """
     raw, norm = (F.col("rn"), F.col("rx")), (F.col("nn"), F.col("nx"))
     row, col = F.col("row_idx"), F.col("col_idx")
-    flat = {"bag": raw, "raw_cells": (row, col, *raw), "norm_cells": (row, col, *norm)}
-    flat = {p: parts for p, parts in flat.items() if p in prints}
-    nested = {"row_bags": raw, "norm_rows": (col, *norm)}
-    nested = {p: parts for p, parts in nested.items() if p in prints}
+    by_row = {  # print -> (sums over the cells of a row, does the row's place count)
+        "row_bags": ("rb", True), "raw_cells": ("rc", True), "norm_cells": ("nc", True), "norm_rows": ("nc", False),
+    }
+    by_row = {p: how for p, how in by_row.items() if p in prints}
+    members = {"rb": raw, "rc": (col, *raw), "nc": (col, *norm)}
+    used = {s for s, _ in by_row.values()} | ({"rb"} if "bag" in prints else set())
+    members = {m: parts for m, parts in members.items() if m in used}
+    want_odd = "norm_cells" in prints
     odd = (
         F.isnan("nn") | (F.abs("nn") == float("inf"))
-        | (F.col("nn").isNull() & F.col("nx").rlike(r"nan|inf|e[+]?[0-9_]{3}|[0-9,_]{308}"))
+        | (F.col("nn").isNull() & (F.col("nx").contains("nan") | F.col("nx").contains("inf")
+                                   | (F.length("nx") > 300) | F.col("nx").rlike(r"e[+]?[0-9_]{3}")))
     )
-    want_odd = "norm_cells" in prints
     hashed = valued.select(
         *keys, row, col, *([odd.alias("is_odd")] if want_odd else []),
-        *[h for p, parts in {**flat, **nested}.items() for h in _hashes(p, *parts)],
+        *[h for m, parts in members.items() for h in _hashes(m, *parts)],
     )
+    sums = [s for m in members for s in _member_sums(m)]
+    shape = [(F.max(row) + 1).cast("bigint").alias("n_rows")]
     odd_count = [F.count_if("is_odd").alias("odd")] if want_odd else []
-    sums = [s for p in (*flat, *nested) for s in _member_sums(p)]
-    if not nested:
-        out = hashed.groupBy(*keys).agg(
-            (F.max(row) + 1).alias("n_rows"), (F.max(col) + 1).alias("n_cols"), *odd_count, *sums
-        )
+    if not by_row:
+        out = hashed.groupBy(*keys).agg(*shape, (F.max(col) + 1).alias("n_cols"), *odd_count, *sums)
     else:
         rows = hashed.groupBy(*keys, "row_idx").agg((F.max(col) + 1).alias("n_cols"), *odd_count, *sums)
-        rehashed = rows.select(
-            *keys, row, "n_cols", *(["odd"] if want_odd else []), *[c for p in flat for c in _columns(p)],
-            *(_hashes("row_bags", row, *_columns("row_bags")) if "row_bags" in nested else []),
-            *(_hashes("norm_rows", *_columns("norm_rows")) if "norm_rows" in nested else []),
+        again = rows.select(
+            *keys, row, "n_cols", *(["odd"] if want_odd else []), *(_columns("rb") if "bag" in prints else []),
+            *[h for p, (m, placed) in by_row.items() for h in _hashes(p, *([row] if placed else []), *_columns(m))],
         )
-        out = rehashed.groupBy(*keys).agg(
-            (F.max(row) + 1).alias("n_rows"), F.max("n_cols").alias("n_cols"),
-            *([F.sum("odd").alias("odd")] if want_odd else []),
-            *[s for p in flat for s in _carry(p)], *[s for p in nested for s in _member_sums(p)],
+        out = again.groupBy(*keys).agg(
+            *shape, F.max("n_cols").alias("n_cols"), *([F.sum("odd").alias("odd")] if want_odd else []),
+            *(_carry("rb") if "bag" in prints else []), *[s for p in by_row for s in _member_sums(p)],
         )
+    bag = [F.array(*_columns("rb")).alias("bag")] if "bag" in prints else []
     return out.select(
-        *keys, F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"),
-        *(["odd"] if want_odd else []), *[F.array(*_columns(p)).alias(p) for p in (*flat, *nested)],
+        *keys, "n_rows", F.col("n_cols").cast("int").alias("n_cols"), *(["odd"] if want_odd else []), *bag,
+        *[F.array(*_columns(p)).alias(p) for p in by_row],
     )

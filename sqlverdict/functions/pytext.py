@@ -12,6 +12,8 @@ WHITE_SPACE = (
 )
 SPACE_CLASS = "[" + WHITE_SPACE + "]"
 
+_OUTER_SPACE = rf"\A{SPACE_CLASS}|{SPACE_CLASS}\z"
+
 _DIGITS = "[0-9]+(?:_[0-9]+)*"
 FLOAT_PATTERN = (
     rf"^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
@@ -20,7 +22,8 @@ FLOAT_PATTERN = (
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """White space off both ends; texts without any there, most of them, are not copied."""
+    return F.when(c.rlike(_OUTER_SPACE), F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -34,7 +37,11 @@ def collapse_spaces(c: Column) -> Column:
 
 def to_float(c: Column) -> Column:
     """A double where the whole text is a number, else NULL (never an error)."""
-    t = strip(c)
+    return stripped_to_float(strip(c))
+
+
+def stripped_to_float(t: Column) -> Column:
+    """``to_float`` for a text without outer white space."""
     number = F.replace(t, F.lit("_"), F.lit("")).try_cast("double")
     return F.when(t.rlike(FLOAT_PATTERN), F.coalesce(number, F.lit(float("nan"))))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sqlverdict.session import fits
+from sqlverdict.session import cut_lineage, fits
 
 BROADCAST_QUERIES = 4096
 QUERY_BLOCK = 4096
@@ -165,12 +165,20 @@ def top_k(
         return _no_neighbours(queries)
     found = _search(queries, corpus, "all", {"all": k + 1 if exclude_exact else k}, False, **tuning)
     if exclude_exact:
-        found = _drop_same_question(found, queries, corpus)
-        order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = _nearest(_drop_same_question(found, queries, corpus), k)
     return found.select("query_id", "rank", "vec_id", "similarity", "bucket")
 
 
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The first k of rows that carry their search ``rank``, ranked anew.
+
+    Rows beyond the first k + 1 of the search never count.
+    """
+    order = W.partitionBy("query_id").orderBy("rank")
+    return found.filter(F.col("rank") <= k + 1).withColumn("_n", F.row_number().over(order)).filter(
+        F.col("_n") <= k).drop("rank").withColumnRenamed("_n", "rank")
+
+
 def _no_neighbours(queries: DataFrame) -> DataFrame:
     return queries.sparkSession.createDataFrame(
         [], "query_id bigint, rank int, vec_id bigint, similarity double, bucket string")
@@ -250,28 +258,42 @@ def hybrid_rerank(
     chosen. Queries without a type get plain neighbours. ``bucket`` tells ``type``
     rows from ``fill`` rows.
     """
-    candidates = top_k(queries, corpus, 10 * k, True, **tuning).drop("rank", "bucket")
+    return _rerank(queries, corpus, _pool(queries, corpus, 10 * k, tuning), structural, k, w_sem, w_str, fallback)
+
+
+def _pool(queries: DataFrame, corpus: DataFrame, k: int, tuning: dict[str, int]) -> DataFrame:
+    """One search for the k + 1 nearest, own question dropped, search ranks kept.
+
+    Checkpointed (k + 1 rows per query), as several lists are drawn from it.
+    """
+    found = _search(queries, corpus, "all", {"all": k + 1}, False, **tuning)
+    return cut_lineage(_drop_same_question(found, queries, corpus))
+
+
+def _rerank(
+    queries: DataFrame, corpus: DataFrame, pool: DataFrame, structural, k: int, w_sem: float, w_str: float, fallback: bool
+) -> DataFrame:
+    candidates = _nearest(pool, 10 * k).drop("rank", "bucket")
     types = queries.select(F.col("vec_id").alias("query_id"), F.col("ambig_type").alias("_want"))
     corpus_types = corpus.select("vec_id", F.col("ambig_type").alias("_has"))
     typed = candidates.join(types, "query_id").join(corpus_types, "vec_id").filter("_want = _has").drop("_want", "_has")
     order = W.partitionBy("query_id").orderBy(F.round("hybrid", 9).desc(), F.col("similarity").desc(), "vec_id")
     chosen = with_hybrid(typed, corpus, structural, w_sem, w_str).withColumn(
         "rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("bucket", F.lit("type"))
+    chosen = cut_lineage(chosen.select("query_id", "rank", "vec_id", "similarity", "structural", "hybrid", "bucket"))
     if not fallback:
-        return chosen.select("query_id", "rank", "vec_id", "similarity", "structural", "hybrid", "bucket")
+        return chosen
     counts = chosen.groupBy("query_id").agg(F.count("*").alias("have"))
     short = types.join(counts, "query_id", "left").select("query_id", F.coalesce("have", F.lit(0)).alias("have"))
     # Plain retrieval for m rows looks at the first m + 1 neighbours before dropping
-    # the question's own repeats, so positions are counted before the drop.
-    near = _search(queries, corpus, "all", {"all": k + 1}, False, **tuning).withColumnRenamed("rank", "place")
-    near = _drop_same_question(near, queries, corpus).join(short, "query_id").filter(
-        F.col("place") <= k - F.col("have") + 1)
-    again = W.partitionBy("query_id").orderBy("place")
+    # the question's own repeats, so search ranks decide, not the places left.
+    near = pool.join(short, "query_id").filter(F.col("rank") <= k - F.col("have") + 1)
+    again = W.partitionBy("query_id").orderBy("rank")
     fill = near.withColumn("n", F.row_number().over(again)).filter(F.col("n") <= k - F.col("have")).select(
         "query_id", (F.col("have") + F.col("n")).cast("int").alias("rank"), "vec_id", "similarity",
         F.lit(None).cast("double").alias("structural"), F.lit(None).cast("double").alias("hybrid"),
         F.lit("fill").alias("bucket"))
-    return chosen.select(*fill.columns).unionByName(fill)
+    return chosen.unionByName(fill)
 
 
 def retrieve(
@@ -286,34 +308,31 @@ def retrieve(
     texts; all others go by category, and by plain neighbours if that finds none.
     """
     typed = queries.withColumn("ambig_type", F.when(F.col("confidence") >= min_confidence, F.col("ambig_type")))
-    is_hybrid = (
-        (F.col("category") == "AA") & F.col("ambig_type").isin("attachment", "scope") & (F.col("confidence") >= threshold)
-    )
-    is_hybrid = F.coalesce(is_hybrid, F.lit(False))
+    is_hybrid = F.coalesce(
+        (F.col("category") == "AA") & F.col("ambig_type").isin("attachment", "scope") & (F.col("confidence") >= threshold),
+        F.lit(False))
     hybrid_q, plain_q = typed.filter(is_hybrid), typed.filter(~is_hybrid)
     columns = ["query_id", "rank", "vec_id", "similarity", "path"]
-    chosen = hybrid_rerank(hybrid_q, corpus, structural, k, w_sem, w_str, **tuning).withColumn("path", F.lit("hybrid"))
-    parts = [chosen.select(*columns)]
+    pool = _pool(hybrid_q, corpus, max(10 * k, k + k_other), tuning)
+    chosen = _rerank(hybrid_q, corpus, pool, structural, k, w_sem, w_str, True).withColumn("path", F.lit("hybrid"))
+    out = chosen.select(*columns)
     if k_other > 0:
         texts = corpus.select("vec_id", "question")
         taken = chosen.join(texts, "vec_id").select("query_id", "question").distinct()
-        more = top_k(hybrid_q, corpus, k + k_other, True, **tuning).join(texts, "vec_id").join(
-            taken, ["query_id", "question"], "left_anti")
+        more = _nearest(pool, k + k_other).join(texts, "vec_id").join(taken, ["query_id", "question"], "left_anti")
         order = W.partitionBy("query_id").orderBy("rank")
         have = chosen.groupBy("query_id").agg(F.count("*").alias("have"))
-        parts.append(
+        out = out.unionByName(
             more.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k_other)
             .join(have, "query_id", "left").fillna(0, ["have"])
             .select("query_id", (F.col("have") + F.col("n")).cast("int").alias("rank"), "vec_id", "similarity",
                     F.lit("other").alias("path")))
-    by_category = top_k_by_category(plain_q, corpus, k, k_other, True, **tuning).withColumn("path", F.lit("category"))
-    parts.append(by_category.select(*columns))
+    by_category = cut_lineage(top_k_by_category(plain_q, corpus, k, k_other, True, **tuning))
+    out = out.unionByName(by_category.withColumn("path", F.lit("category")).select(*columns))
     none = plain_q.join(by_category.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_anti")
-    parts.append(top_k(none, corpus, k, True, **tuning).withColumn("path", F.lit("plain")).select(*columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if none.isEmpty():
+        return out
+    return out.unionByName(top_k(none, corpus, k, True, **tuning).withColumn("path", F.lit("plain")).select(*columns))
 
 
 def vote_share(neighbours: DataFrame, corpus: DataFrame, structural, w_sem: float = 0.7, w_str: float = 0.3) -> DataFrame:

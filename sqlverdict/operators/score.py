@@ -83,6 +83,7 @@ def result_dedup(runs: DataFrame, cells: DataFrame, profiles: DataFrame | None =
         F.min(F.when(~F.col("ord"), F.col("pos"))).alias("first_plain"),
         F.min("pos").alias("first"),
     )
+    classes = cut_lineage(classes)
     filled = classes.filter("ok AND rows > 0")
     free = F.when(F.col("first_ord").isNull() | (F.col("first_plain") < F.col("first_ord")), F.col("first_plain"))
     bags = filled.groupBy("example_id", "bag").agg(F.min(free).alias("plain_pos"))
