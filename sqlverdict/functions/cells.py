@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlverdict.functions.pytext import strip, stripped_to_float, to_float
+from sqlverdict.functions.pytext import strip, strip_cell, stripped_to_float, to_float
 
-EXACT = float(2**53)
+EXACT, LONG = float(2**53), float(2**63)
 BYTES_MARK = "\x00"
 
 # Texts read as true and as false, and texts read as NULL.
@@ -32,7 +32,7 @@ def value(n: Column, x: Column) -> Column:
 
 def _big(num: Column) -> Column:
     """Exact digits of integral doubles too large for exact comparison as doubles."""
-    return F.when((F.abs(num) >= EXACT) & (F.abs(num) < 1e38), num.try_cast("decimal(38,0)").cast("string"))
+    return F.when((F.abs(num) >= EXACT) & (F.abs(num) < LONG), num.try_cast("bigint").cast("string"))
 
 
 def raw_value(kind: Column, num: Column, text: Column) -> Column:
@@ -111,7 +111,7 @@ def with_values(cells: DataFrame) -> DataFrame:
     rn, rx, t, nn = (F.col(c) for c in ("rn", "rx", "t", "nn"))
     is_text = rn.isNull() & rx.isNotNull() & ~rx.startswith(BYTES_MARK)
     out = cells.select(*keep, raw["n"].alias("rn"), raw["x"].alias("rx"))
-    out = out.select(*keep, rn, rx, F.when(is_text, F.lower(strip(rx))).alias("t"))
+    out = out.select(*keep, rn, rx, F.when(is_text, F.lower(strip_cell(rx))).alias("t"))
     out = out.select(*keep, rn, rx, t, F.when(t.isNull(), rn).otherwise(stripped_to_float(t)).alias("nn"))
     text = (
         F.when(F.isnan(nn), here).when(t.isNull(), rx).when(nn.isNotNull(), _big(nn))

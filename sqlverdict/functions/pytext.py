@@ -22,8 +22,12 @@ FLOAT_PATTERN = (
 
 
 def strip(c: Column) -> Column:
-    """White space off both ends; texts without any there, most of them, are not copied."""
-    return F.when(c.rlike(_OUTER_SPACE), F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def strip_cell(c: Column) -> Column:
+    """``strip`` for short texts in a plain column: most have nothing to trim and are not copied."""
+    return F.when(c.rlike(_OUTER_SPACE), strip(c)).otherwise(c)
 
 
 def blank_to_null(c: Column) -> Column:

@@ -23,6 +23,7 @@ from sqlverdict.session import cut_lineage
 
 PAIR = ("example_id", "pred_id", "gold_id")
 SALTS = 16
+BROADCAST_PAIRS = 100_000
 PRINTS = ("bag", "raw_cells", "norm_cells", "row_bags", "norm_rows")
 
 
@@ -154,22 +155,28 @@ def _count_gaps(pairs: DataFrame, valued: DataFrame, n: str, x: str) -> DataFram
 # --- positional rules -----------------------------------------------------
 
 
-def _attach(valued: DataFrame, pairs: DataFrame, side: str, carry=()) -> DataFrame:
+def _attach(valued: DataFrame, pairs: DataFrame, side: str, carry=(), small: bool = False) -> DataFrame:
     """Cells of one side, once per pair that needs them.
 
-    Both inputs are salted by row position, so a result holding a large share of
-    all cells is spread over ``SALTS`` join partitions.
+    ``small`` says the pairs were counted and may be broadcast, so cells stay where
+    they are. Otherwise both inputs are salted by row position, so a result holding
+    a large share of all cells is spread over ``SALTS`` join partitions.
     """
     id_name = "pred_id" if side == "pred" else "gold_id"
-    want = pairs.select(*PAIR, *carry).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mine = (
-        valued.filter(F.col("side") == side).drop("side")
-        .withColumnRenamed("query_id", id_name)
-        .withColumn("salt", F.pmod("row_idx", F.lit(SALTS)).cast("int"))
-    )
+    want = pairs.select(*PAIR, *carry)
+    mine = valued.filter(F.col("side") == side).drop("side").withColumnRenamed("query_id", id_name)
+    if small:
+        return mine.join(F.broadcast(want), ["example_id", id_name])
+    want = want.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = mine.withColumn("salt", F.pmod("row_idx", F.lit(SALTS)).cast("int"))
     return mine.join(want, ["example_id", id_name, "salt"]).drop("salt")
 
 
+def _load_of(todo: DataFrame) -> int:
+    """Rows of a checkpointed pair table, counted no further than the broadcast bound."""
+    return todo.select(F.lit(1)).limit(BROADCAST_PAIRS + 1).count()
+
+
 def _aligned(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Cells at equal positions side by side."""
     def named(df: DataFrame, prefix: str) -> DataFrame:
@@ -382,8 +389,10 @@ def match_flex(
 
     # Stage 1: positional rules and normalised rows on equal shapes.
     todo = state.filter(F.col("rule").isNull() & _same_shape())
-    if not todo.isEmpty():
-        flags = _positional(_attach(valued, todo, "pred"), _attach(valued, todo, "gold"), tolerance)
+    if load := _load_of(todo):
+        small = load <= BROADCAST_PAIRS
+        flags = _positional(
+            _attach(valued, todo, "pred", small=small), _attach(valued, todo, "gold", small=small), tolerance)
         state = cut_lineage(_settle(state.join(flags, key, "left"), F.when(
             _same_shape(),
             F.when(F.col("pct"), "percentage").when(F.col("bool"), "boolean").when(F.col("tol"), "tolerance")
@@ -398,9 +407,10 @@ def match_flex(
         "n_wide": F.greatest("p_n_cols", "g_n_cols"), "n_narrow": F.least("p_n_cols", "g_n_cols"),
         "n": F.col("p_n_rows"), "pred_wide": wide_pred,
     }).filter((F.col("n_wide") <= max_wide) & (F.col("n_narrow") <= max_narrow))
-    if not todo.isEmpty():
-        pred_cells = _attach(valued, todo, "pred", ["pred_wide"])
-        gold_cells = _attach(valued, todo, "gold", ["pred_wide"])
+    if load := _load_of(todo):
+        small = load <= BROADCAST_PAIRS
+        pred_cells = _attach(valued, todo, "pred", ["pred_wide"], small)
+        gold_cells = _attach(valued, todo, "gold", ["pred_wide"], small)
         wide = pred_cells.filter("pred_wide").unionByName(gold_cells.filter("NOT pred_wide"), True)
         narrow = gold_cells.filter("pred_wide").unionByName(pred_cells.filter("NOT pred_wide"), True)
         maps = _map_columns(todo, wide, narrow, min_share).drop("score")
@@ -414,8 +424,8 @@ def match_flex(
 
         # Stage 3: the positional and row rules again, on mapped columns.
         todo = state.filter("rule IS NULL AND mapping IS NOT NULL").withColumn("pred_wide", wide_pred)
-        if not todo.isEmpty():
-            state = _mapped_rules(state, todo, valued, prefix, tolerance)
+        if load := _load_of(todo):
+            state = _mapped_rules(state, todo, valued, prefix, tolerance, load <= BROADCAST_PAIRS)
 
     # Stage 4: containment, only where a similarity above the bound is given.
     if has_similarity:
@@ -433,11 +443,11 @@ def match_flex(
 
 
 def _mapped_rules(
-    state: DataFrame, todo: DataFrame, valued: DataFrame, prefix: Column, tolerance: float
+    state: DataFrame, todo: DataFrame, valued: DataFrame, prefix: Column, tolerance: float, small: bool
 ) -> DataFrame:
     key = list(PAIR)
     sides = {
-        side: _projected(_attach(valued, todo, side, ["pred_wide", "mapping"]), side == "pred")
+        side: _projected(_attach(valued, todo, side, ["pred_wide", "mapping"], small), side == "pred")
         for side in ("pred", "gold")
     }
     flags = _positional(sides["pred"], sides["gold"], tolerance)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlverdict.functions.cells import norm_value, raw_value, sort_key
+from sqlverdict.functions.cells import EXACT, LONG, norm_value, raw_value, sort_key
 from sqlverdict.functions.pytext import has_order_by, is_statement
 from sqlverdict.operators.numbering import dense_index
 from sqlverdict.session import scratch_path
@@ -36,9 +36,9 @@ def cell_of(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, _NUMERIC):
         num = value.cast("int").cast("double") if isinstance(kind, T.BooleanType) else value.cast("double")
         exact = isinstance(kind, (T.LongType, T.DecimalType))
-        whole = value == value.cast("decimal(38,0)") if isinstance(kind, T.DecimalType) else F.lit(True)
-        text = F.when((F.abs(num) > 2.0**53) & whole, value.cast("decimal(38,0)").cast("string")) if exact else null_s
-        tag, num, text = "num", num, text
+        whole = value == F.floor(value) if isinstance(kind, T.DecimalType) else F.lit(True)
+        large = (F.abs(num) >= EXACT) & (F.abs(num) < LONG) & whole
+        tag, text = "num", F.when(large, value.try_cast("bigint").cast("string")) if exact else null_s
     elif isinstance(kind, T.StringType):
         tag, num, text = "str", null_d, value.cast("string")
     elif isinstance(kind, T.BinaryType):
@@ -54,8 +54,9 @@ def result_cells(result: DataFrame, ordered: bool) -> DataFrame:
     """(row_idx, col_idx, kind, num, str) of a query result.
 
     Rows of an ordered statement keep their order. An unordered result has none in
-    Spark, so its rows are put in the order of their normalised cells, which makes
-    positional rules repeatable.
+    Spark, so its rows are put in the order of their normalised cells, texts before
+    other values, which makes positional rules repeatable and lines up grouped
+    results whatever the place of their key columns.
     """
     width = len(result.schema.fields)
     safe = result.toDF(*[f"c{i}" for i in range(width)])
@@ -64,8 +65,10 @@ def result_cells(result: DataFrame, ordered: bool) -> DataFrame:
     if ordered:
         numbered = dense_index(row, "row_idx")
     else:
-        key = F.transform("cells", lambda c: sort_key(norm_value(raw_value(c["kind"], c["num"], c["str"]))))
-        numbered = dense_index(row, "row_idx", key, F.to_json("cells"))
+        keys = F.transform("cells", lambda c: sort_key(norm_value(raw_value(c["kind"], c["num"], c["str"]))))
+        row = row.withColumn("k", keys)
+        texts, others = F.filter("k", lambda k: k["rank"] == 2), F.filter("k", lambda k: k["rank"] < 2)
+        numbered = dense_index(row.select("cells", texts.alias("t"), others.alias("o")), "row_idx", "t", "o", F.to_json("cells"))
     return numbered.select("row_idx", F.posexplode("cells").alias("col_idx", "c")).select("row_idx", "col_idx", "c.*")
 
 

@@ -308,7 +308,7 @@ def _statement_digests() -> str:
         elif len(nums) == 0:
             first = lo
         else:
-            first = f"arg_min({strs[0]}, struct_pack({', '.join(f'a{i} := {c}' for i, c in enumerate(_in_order(sql, nums, strs)))}))"
+            first = f"arg_min({strs[0]}, struct_pack({', '.join(f'a{i} := {c}' for i, c in enumerate(_in_order(nums, strs)))}))"
         out.append(f"""{head}, true AS ok, nullif(count(*), 0) AS n_rows, CASE WHEN count(*) > 0 THEN {width} END AS n_cols, {total} AS total, {lo} AS lo, {hi} AS hi, {first} AS first_str FROM ({sql})""")
     return "\nUNION ALL ".join(out)
 
@@ -318,10 +318,9 @@ def _selects(sql: str, column: str) -> bool:
     return any(part.split()[-1] == column for part in listed.split(", "))
 
 
-def _in_order(sql: str, nums, strs) -> list[str]:
-    """Row order of an unordered result: cells left to right."""
-    listed = [part.split()[-1] for part in sql[len("SELECT "):(sql + " FROM").index(" FROM")].split(", ")]
-    return [f"lower({c})" if c in strs else c for c in listed]
+def _in_order(nums, strs) -> list[str]:
+    """Row order of an unordered result: texts before numbers."""
+    return [f"lower({c})" for c in strs] + nums
 
 
 ORACLE = {
