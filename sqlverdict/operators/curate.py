@@ -10,12 +10,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sqlverdict.operators.numbering import dense_index
+from sqlverdict.operators.numbering import dense_index, first_per_group
 from sqlverdict.schema import AMBIGUITY_TYPES, CATEGORY_IDS
 
+BROADCAST_GROUPS = 200_000
+
 # Stage order with its epochs, and the caps of the training mixture.
 STAGE_EPOCHS = {"scope": 2, "attachment": 2, "vague": 3, "mixed": 3}
 MIXTURE_CAPS = {
@@ -49,20 +50,21 @@ def group_split(
     split = F.lit(names[-1])
     for edge, name in reversed(list(zip(edges, names))):
         split = F.when(F.col("_i") < edge, name).otherwise(split)
-    return df.join(placed.select(group, split.alias("split")), group)
+    named = placed.select(group, split.alias("split"))
+    # A hot group sits on the table's side of the join: few groups are broadcast, with
+    # more of them the adaptive skew join splits it.
+    return df.join(F.broadcast(named) if n <= BROADCAST_GROUPS else named, group)
 
 
 def capped_sample(
     df: DataFrame, cap: int, by: Sequence[str] = (), seed: int = 42, key: str = "id"
 ) -> DataFrame:
-    """At most ``cap`` random rows per group.
+    """At most ``cap`` random rows per group, or of the whole table without groups.
 
-    Each task keeps its best ``cap`` rows per group before the shuffle, so a huge
-    group costs no more than its share of the scan.
+    A huge group costs no more than its share of the scan: see ``first_per_group``.
     """
-    order = W.partitionBy(*by).orderBy("_k", key)
-    return df.withColumn("_k", shuffle_key(seed, F.col(key))).withColumn("_r", F.row_number().over(order)).filter(
-        F.col("_r") <= cap).drop("_k", "_r")
+    keyed = df.withColumn("_k", shuffle_key(seed, F.col(key)))
+    return first_per_group(keyed, cap, list(by), "_k", key).drop("_k")
 
 
 def mixture(
@@ -80,7 +82,7 @@ def mixture(
             if name not in sources:
                 continue
             rows = sources[name].filter(F.col("split") == source_split)
-            rows = capped_sample(rows.withColumn("_one", F.lit(1)), cap, ["_one"], seed, key).drop("_one") if cap else rows
+            rows = capped_sample(rows, cap, (), seed, key) if cap else rows
             parts.append(rows.withColumns({"split": F.lit(split), "dataset": F.lit(name)}))
     ids = F.create_map(*[F.lit(x) for pair in CATEGORY_IDS.items() for x in pair])
     return reduce(DataFrame.unionByName, parts).withColumn("label_id", F.try_element_at(ids, F.col("label")))
@@ -120,5 +122,4 @@ def curriculum(
     out = out.withColumn("shuffle_key", shuffle_key(F.col("stage_num") + seed, F.col(key)))
     if cap is None:
         return out
-    rank = F.row_number().over(W.partitionBy("stage").orderBy("shuffle_key", key))
-    return out.withColumn("_r", rank).filter(F.col("_r") <= cap).drop("_r")
+    return first_per_group(out, cap, ["stage"], "shuffle_key", key)

@@ -26,3 +26,35 @@ def dense_index(df: DataFrame, name: str, *order) -> DataFrame:
     own = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(starts), "_p").withColumn(
         name, F.col("_start") + own).drop("_m", "_p", "_start")
+
+
+# Spark keeps the best n rows per group before the shuffle up to this n by default.
+GROUP_LIMIT = 1000
+
+
+def grouped_rank(df: DataFrame, by: str, name: str, *order) -> DataFrame:
+    """1-based place of each row in its group, with no task per group.
+
+    The whole table is sorted by group and order; a row's place is its global
+    position less the first position of its group. A group of any size is spread
+    over as many sort partitions as it fills.
+    """
+    placed = dense_index(df, "_i", by, *order)
+    firsts = placed.groupBy(by).agg(F.min("_i").alias("_first"))
+    return placed.join(firsts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).withColumn(
+        name, F.col("_i") - F.col("_first") + 1).drop("_i", "_first", "_by")
+
+
+def first_per_group(df: DataFrame, n: int, by, *order) -> DataFrame:
+    """The first n rows per group; of the whole table without a group.
+
+    Small n: each task keeps n rows per group before the shuffle. Large n: ranks
+    from a global sort, so that no task holds a whole group.
+    """
+    if not by:
+        return df.orderBy(*order).limit(n)
+    if n <= GROUP_LIMIT:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    keyed = df.withColumn("_g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    return grouped_rank(keyed, "_g", "_r", *order).filter(F.col("_r") <= n).drop("_r", "_g").select(*df.columns)

@@ -123,7 +123,7 @@ def training_rows(df: DataFrame, template: str, system: str = "", n: int | None
     ``df(id, question, db_dump, interpretations, ambig_type)``; dumps go into the
     prompt without data lines.
     """
-    rows = capped_sample(df.withColumn("_all", F.lit(1)), n, ["_all"], seed).drop("_all") if n else df
+    rows = capped_sample(df, n, (), seed) if n else df
     user = fill(template, db_dump=strip_inserts(F.col("db_dump")), question=F.col("question"))
 
     def message(role: str, content: Column) -> Column:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sqlverdict.functions.entities import SQL_WORDS, schema_tables, statement_columns, statement_tables
+from sqlverdict.operators.numbering import grouped_rank
 
 
 def schema_entities(dumps: DataFrame) -> DataFrame:
@@ -91,5 +91,4 @@ def interpretation_quality(statements: DataFrame, dumps: DataFrame) -> DataFrame
 
 def rank_by_score(df: DataFrame, by: str, score: str = "overall_score", key: str = "id") -> DataFrame:
     """Position of each row by descending score within its question."""
-    order = W.partitionBy(by).orderBy(F.col(score).desc(), F.col(key))
-    return df.withColumn("rank", F.row_number().over(order))
+    return grouped_rank(df, by, "rank", F.col(score).desc(), F.col(key))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sqlverdict.schema import AMBIGUITY_TYPES
 
+MAX_CONDITIONS = 1000
 METRICS = ("precision", "recall", "f1", "precision_flex", "recall_flex", "f1_flex")
 
 
@@ -237,5 +238,7 @@ def study_grid(runs: dict[str, DataFrame] | DataFrame, metric: str = "f1", row:
         table = reduce(DataFrame.unionByName, [df.withColumn("condition", F.lit(n)) for n, df in runs.items()])
     else:
         table = runs
-        names = sorted(r[0] for r in table.select("condition").distinct().limit(1000).collect())
+        names = sorted(r[0] for r in table.select("condition").distinct().limit(MAX_CONDITIONS + 1).collect())
+        if len(names) > MAX_CONDITIONS:
+            raise ValueError(f"more than {MAX_CONDITIONS} conditions; pivot a subset or keep them as rows")
     return scored(table).groupBy(row).pivot("condition", names).agg(F.avg(metric))

@@ -220,10 +220,16 @@ def _same_first(found: DataFrame) -> DataFrame:
 # --- hybrid re-ranking -------------------------------------------------------
 
 
-def first_of_question(corpus: DataFrame) -> DataFrame:
-    """Per corpus row, the lowest id with the same question text."""
-    firsts = corpus.groupBy("question").agg(F.min("vec_id").alias("first_id"))
-    return corpus.select("vec_id", "question").join(firsts, "question").select("vec_id", "first_id")
+def with_first(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Adds ``first_id``: the lowest corpus id with the candidate's question text.
+
+    Only questions that occur among the candidates are looked up.
+    """
+    named = candidates.join(corpus.select("vec_id", F.col("question").alias("_q")), "vec_id")
+    wanted = named.select(F.col("_q").alias("question")).distinct()
+    firsts = corpus.select("question", "vec_id").join(wanted, "question", "left_semi").groupBy(
+        F.col("question").alias("_q")).agg(F.min("vec_id").alias("first_id"))
+    return named.join(firsts, "_q").drop("_q")
 
 
 def weights(semantic: float, structural: float) -> tuple[float, float]:
@@ -241,7 +247,7 @@ def with_hybrid(
     it is asked about the first corpus row that has the candidate's question.
     """
     w_sem, w_str = weights(w_sem, w_str)
-    pairs = candidates.join(first_of_question(corpus), "vec_id")
+    pairs = with_first(candidates, corpus)
     known = structural(pairs.select("query_id", F.col("first_id").alias("vec_id")).distinct())
     out = pairs.join(known.withColumnRenamed("vec_id", "first_id"), ["query_id", "first_id"], "left").drop("first_id")
     s = F.coalesce("structural", F.lit(0.0))

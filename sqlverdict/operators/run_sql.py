@@ -93,6 +93,7 @@ def run_statements(
     done = _outcomes(spark, out)
     todo = todo.join(done.select("stmt"), "stmt", "left_anti")
     sessions: dict[str, SparkSession] = {}
+    shared: list[str] = []
 
     def session_for(db_id: str) -> SparkSession:
         if db_views is None:
@@ -102,7 +103,7 @@ def run_statements(
             for name, df in db_views(db_id).items():
                 if not _TABLE_NAME.match(name):
                     raise ValueError(f"bad table name {name}")
-                _share(df, fresh, db_id, name)
+                shared.append(_share(df, fresh, db_id, name))
             sessions[db_id] = fresh
         return sessions[db_id]
 
@@ -123,18 +124,25 @@ def run_statements(
         spark.createDataFrame([(row["stmt"], error is None, error)], _OUTCOME).coalesce(1).write.mode(
             "overwrite").parquet(f"{out}/outcomes/part={row['stmt']}")
 
-    rows = todo.toLocalIterator()
+    rows = todo.orderBy("db_id", "stmt").toLocalIterator()
     with ThreadPoolExecutor(parallel) as pool:
         while batch := list(islice(rows, chunk)):
+            for db_id in dict.fromkeys(r["db_id"] for r in batch if db_views):
+                session_for(db_id)
             list(pool.map(run, batch))
+            for view in shared:
+                spark.catalog.dropGlobalTempView(view)
+            sessions.clear()
+            shared.clear()
     return _collect_runs(spark, statements, out)
 
 
-def _share(df: DataFrame, session: SparkSession, db_id: str, name: str) -> None:
+def _share(df: DataFrame, session: SparkSession, db_id: str, name: str) -> str:
     """Makes a DataFrame visible in another session under its plain name."""
     shared = "v_" + hashlib.sha256(f"{db_id}|{name}".encode()).hexdigest()[:24]
     df.createOrReplaceGlobalTempView(shared)
     session.sql(f"SELECT * FROM global_temp.{shared}").createOrReplaceTempView(name)
+    return shared
 
 
 def _outcomes(spark: SparkSession, out: str) -> DataFrame:

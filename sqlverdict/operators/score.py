@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sqlverdict.functions.cells import profile_results, with_values
 from sqlverdict.functions.pytext import has_order_by, strip
 from sqlverdict.operators.compare import match_flex, pair_up, stored_profiles
+from sqlverdict.operators.numbering import first_per_group
 from sqlverdict.session import cut_lineage
 
 RESULT = ["example_id", "side", "query_id"]
@@ -215,10 +215,7 @@ def execution_errors(runs: DataFrame, first: int | None = None) -> DataFrame:
     """Messages of failed statements as rows; ``first`` keeps that many per example."""
     text = F.concat(F.lit("Query "), (F.col("pos") + 1).cast("string"), F.lit(" failed: "), F.coalesce("error", F.lit("")))
     failed = runs.filter("side = 'pred' AND NOT ok").select("example_id", "pos", text.alias("message"))
-    if first is None:
-        return failed
-    rank = F.row_number().over(W.partitionBy("example_id").orderBy("pos"))
-    return failed.withColumn("r", rank).filter(F.col("r") <= first).drop("r")
+    return failed if first is None else first_per_group(failed, first, ["example_id"], "pos")
 
 
 def reclassify(predicted: DataFrame, runs: DataFrame) -> DataFrame:
