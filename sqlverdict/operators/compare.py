@@ -56,8 +56,12 @@ def stored_profiles(cells: DataFrame) -> DataFrame:
 
 
 def with_profiles(pairs: DataFrame, valued: DataFrame, prints, profiles: DataFrame | None = None) -> DataFrame:
-    """Pairs with shapes and fingerprints of both results (``p_`` and ``g_`` columns)."""
-    profiles = profile_results(valued, prints) if profiles is None else profiles
+    """Pairs with shapes and fingerprints of both results (``p_`` and ``g_`` columns).
+
+    Both sides come from one pass over the cells: the profiles, one narrow row per
+    result, are checkpointed before they are joined twice.
+    """
+    profiles = cut_lineage(profile_results(valued, prints)) if profiles is None else profiles
     out = pairs.join(_side(profiles, "pred", "pred_id", "p_"), ["example_id", "pred_id"], "left").join(
         _side(profiles, "gold", "gold_id", "g_"), ["example_id", "gold_id"], "left"
     )

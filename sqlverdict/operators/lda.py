@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DIM = 4096
+MAX_DIM = 2048
+FAN_IN = 16
 
 
 @dataclass(frozen=True)
@@ -45,34 +46,60 @@ def _moments(label: str, vector: str):
     return partial
 
 
+_SUMS = "label string, row int, n bigint, v array<double>"
+
+
+def _add_up():
+    """Adds the sums of up to FAN_IN tasks into one row."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        return pd.DataFrame({
+            "label": [first["label"]], "row": [first["row"]], "n": [frame["n"].sum()],
+            "v": [np.sum(np.stack(frame["v"].to_numpy()), axis=0)], "at": [first["at"]]})
+
+    return add
+
+
+def _add_up_local(frame: pd.DataFrame) -> list[tuple[int, str | None, int, np.ndarray]]:
+    out: dict = {}
+    for name, row, n, v in zip(frame["label"], frame["row"], frame["n"], frame["v"]):
+        key = (int(row), name if row == -1 else None)
+        old_n, old_v = out.get(key, (0, 0.0))
+        out[key] = (old_n + int(n), old_v + np.asarray(v, dtype=np.float64))
+    return [(row, name, n, v) for (row, name), (n, v) in out.items()]
+
+
 def lda_fit(vectors: DataFrame, label: str, vector: str = "embedding", tol: float = 1e-4) -> LdaModel:
     """Class priors, means and pooled covariance (divisor n - K) from one pass.
 
-    Tasks send only sums: d per class and d x d once, added up element by element
-    on the cluster. The driver holds the summed d x d matrix (d at most
-    ``MAX_DIM``) and solves it, dropping directions of next to no variance.
+    Tasks send only sums: d per class and d x d once, added up FAN_IN at a time on
+    the cluster. The driver gets the last few (d at most ``MAX_DIM``) and solves
+    the d x d system, dropping directions of next to no variance.
     """
     dim = vectors.select(F.max(F.size(vector))).first()[0]
     if dim is None:
         raise ValueError("no vectors to fit")
     if dim > MAX_DIM:
         raise ValueError(f"vectors of {dim} dimensions; at most {MAX_DIM}")
-    parts = vectors.select(F.col(label).alias(label), vector).filter(F.col(label).isNotNull()).mapInPandas(
-        _moments(label, vector), "label string, row int, n bigint, v array<double>")
-    sums = (
-        parts.select("label", "row", "n", F.posexplode("v").alias("i", "x"))
-        .groupBy("label", "row", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
-    )
-    per_class = sums[sums["row"] == -1].sort_values(["label", "i"])
-    classes = tuple(sorted(per_class["label"].unique()))
+    rows = vectors.select(F.col(label).alias(label), vector).filter(F.col(label).isNotNull())
+    n_parts = (rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    parts = rows.mapInPandas(_moments(label, vector), _SUMS).withColumn("at", F.spark_partition_id())
+    while n_parts > FAN_IN:
+        parts = parts.withColumn("at", F.floor(F.col("at") / FAN_IN).cast("int")).groupBy("row", "label", "at").applyInPandas(
+            _add_up(), f"{_SUMS}, at int")
+        n_parts = -(-n_parts // FAN_IN)
+    sums = _add_up_local(parts.drop("at").toPandas())
+    per_class = sorted((name, n, v) for row, name, n, v in sums if row == -1)
+    classes = tuple(name for name, _, _ in per_class)
     k = len(classes)
     if k < 2:
         raise ValueError("at least two classes are needed")
-    means = per_class["x"].to_numpy().reshape(k, dim)
-    counts = per_class["n"].to_numpy().reshape(k, dim)[:, 0].astype(float)
+    means = np.stack([v for _, _, v in per_class])
+    counts = np.array([n for _, n, _ in per_class], dtype=float)
     means = means / counts[:, None]
     total = counts.sum()
-    second = sums[sums["row"] == -2].sort_values("i")["x"].to_numpy().reshape(dim, dim)
+    second = next(v for row, _, _, v in sums if row == -2).reshape(dim, dim)
     within = second - (means * counts[:, None]).T @ means
     priors = counts / total
     scale = np.sqrt(np.maximum(np.diag(within) / total, 0.0))

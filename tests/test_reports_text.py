@@ -116,6 +116,7 @@ def test_lda_matches_direct_solution(spark):
     y = np.repeat(["a", "b", "c"], 100)
     df = spark.createDataFrame([(i, y[i], x[i].tolist()) for i in range(300)], "vec_id long, kind string, embedding array<double>")
     model = lda.lda_fit(df, "kind")
+    assert np.allclose(lda.lda_fit(df.repartition(40), "kind").coef, model.coef)
     means = np.stack([x[y == c].mean(axis=0) for c in "abc"])
     within = sum((x[y == c] - m).T @ (x[y == c] - m) for c, m in zip("abc", means)) / 297
     scores = x @ np.linalg.solve(within, means.T) - 0.5 * np.einsum("ij,ij->i", means, np.linalg.solve(within, means.T).T) + np.log(1 / 3)
