@@ -165,7 +165,7 @@ def project_mapped(spark, sf):
     all_cells = fx.cells(spark, sf)
     mapping = compare.column_mapping(fx.cell_pairs(spark, sf), all_cells)
     return compare.project_columns(all_cells, mapping).groupBy("example_id", "col_idx").agg(
-        F.count("*").alias("n"), F.sum(F.col("num").cast("decimal(20,4)")).alias("total"), F.max("str").alias("top")
+        F.count("*").alias("n"), F.sum(F.col("num").cast("decimal(20,4)")).cast("double").alias("total"), F.max("str").alias("top")
     )
 
 
@@ -216,7 +216,7 @@ SELECT o_orderkey, CASE WHEN l NOT IN ('null','none','') THEN TRY_CAST(l AS DOUB
   l IN ('null','none','') AS is_null FROM u""",
     "cell_extract_number": f"""WITH {SQL_TEXT_CELLS}
 SELECT o_orderkey, TRY_CAST(replace(replace({_TRIM}, '%', ''), ',', '') AS DOUBLE) AS num FROM t""",
-    "row_normalize_sort": """SELECT o_orderkey, NULL AS x0, least(o_totalprice, o_custkey) AS n1, greatest(o_totalprice, o_custkey) AS n2,
+    "row_normalize_sort": """SELECT o_orderkey, CAST(NULL AS VARCHAR) AS x0, least(o_totalprice, o_custkey) AS n1, greatest(o_totalprice, o_custkey) AS n2,
   least(lower(o_orderpriority), lower(o_orderstatus)) AS x3, greatest(lower(o_orderpriority), lower(o_orderstatus)) AS x4 FROM orders""",
     "strict_rate": _sql(SQL_BAG, tail="SELECT example_id % 15 AS v, count(*) AS n, count(*) FILTER (ok) AS n_match FROM e5 GROUP BY 1"),
     "match_strict_unordered": _sql(SQL_BAG, tail="SELECT example_id, ok AS strict FROM e5"),
@@ -231,7 +231,7 @@ FROM pr JOIN e5 USING (example_id) JOIN e6 USING (example_id)"""),
     "match_semantic": _sql(SQL_POS, tail="SELECT example_id, pct OR bool OR tol AS semantic FROM pos"),
     "column_mapping": _sql(SQL_MAP, tail="""SELECT example_id, score, unnest(range(nn)) AS gold_col, unnest(m) AS pred_col
 FROM best WHERE wide_side = 'pred'"""),
-    "project_mapped": _sql(SQL_MAP, tail="""SELECT c.example_id, list_position(b.m, c.col_idx) - 1 AS col_idx, count(*) AS n, sum(CAST(num AS DECIMAL(20,4))) AS total, max(str) AS top
+    "project_mapped": _sql(SQL_MAP, tail="""SELECT c.example_id, list_position(b.m, c.col_idx) - 1 AS col_idx, count(*) AS n, CAST(sum(CAST(num AS DECIMAL(20,4))) AS DOUBLE) AS total, max(str) AS top
 FROM c JOIN best b ON b.example_id = c.example_id AND b.wide_side = 'pred' WHERE c.side = 'pred' AND list_contains(b.m, c.col_idx) GROUP BY 1, 2"""),
     "match_flex": _sql(SQL_BAG, SQL_ROWBAG, SQL_NORM, SQL_POS, SQL_MAP, SQL_FLEX,
                        tail="SELECT example_id, strict, rule <> 'none' AS flex, rule FROM flex"),

@@ -202,7 +202,7 @@ def run_packs(spark, sf):
     runs, cells = _run_packs(spark, sf)
     digest = cells.groupBy("example_id", "side", "query_id").agg(
         (F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols"),
-        F.sum(F.col("num").cast("decimal(24,4)")).alias("total"), F.min("str").alias("lo"), F.max("str").alias("hi"),
+        F.sum(F.col("num").cast("decimal(24,4)")).cast("double").alias("total"), F.min("str").alias("lo"), F.max("str").alias("hi"),
         F.max(F.when(F.col("row_idx") == 0, F.col("str"))).alias("first_str"))
     return runs.select("example_id", "side", "query_id", "ok").join(digest, ["example_id", "side", "query_id"], "left")
 
@@ -309,7 +309,7 @@ def _statement_digests() -> str:
             first = lo
         else:
             first = f"arg_min({strs[0]}, struct_pack({', '.join(f'a{i} := {c}' for i, c in enumerate(_in_order(nums, strs)))}))"
-        out.append(f"""{head}, true AS ok, nullif(count(*), 0) AS n_rows, CASE WHEN count(*) > 0 THEN {width} END AS n_cols, {total} AS total, {lo} AS lo, {hi} AS hi, {first} AS first_str FROM ({sql})""")
+        out.append(f"""{head}, true AS ok, nullif(count(*), 0) AS n_rows, CASE WHEN count(*) > 0 THEN {width} END AS n_cols, CAST({total} AS DOUBLE) AS total, {lo} AS lo, {hi} AS hi, {first} AS first_str FROM ({sql})""")
     return "\nUNION ALL ".join(out)
 
 
@@ -385,7 +385,7 @@ SELECT query_id, concat('**Question Classification:**', chr(10), chr(10), 'Class
   CASE WHEN p_partkey % 3 = 0 THEN concat('The following execution errors occurred:', chr(10), chr(10), 'Execution Errors:', chr(10), '- e0 ', p_brand, chr(10), '- e1 ', p_brand, chr(10), '- e2 ', p_brand, chr(10), '- e3 ', p_brand, chr(10),
     '- e4 ', p_brand, chr(10), '- e5 ', p_brand, chr(10), '- e6 ', p_brand, chr(10), chr(10)) ELSE '' END, 'Review the question, interpretations and queries thoroughly.') AS user FROM part""",
     "run_packs": _statement_digests(),
-    "reward_columns": f"WITH {fx.SQL_REPLIES} SELECT id, CASE WHEN fmt = 6 THEN 0.05 ELSE 0 END AS reward_format, CASE WHEN fmt = 6 THEN (id % 10) / 10 ELSE 0.25 END AS reward_quality FROM fx_responses",
+    "reward_columns": f"WITH {fx.SQL_REPLIES} SELECT id, CAST(CASE WHEN fmt = 6 THEN 0.05 ELSE 0 END AS DOUBLE) AS reward_format, CASE WHEN fmt = 6 THEN (id % 10) / 10 ELSE 0.25 END AS reward_quality FROM fx_responses",
 }
 
 

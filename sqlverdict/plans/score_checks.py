@@ -241,7 +241,7 @@ FROM dd WHERE side = 'pred' GROUP BY 1""",
     "example_prf_dedup": _KEPT + _PRF_TAIL,
     "example_prf_flex": cc._sql(cc.SQL_BAG, cc.SQL_ROWBAG, cc.SQL_NORM, cc.SQL_POS, cc.SQL_MAP, cc.SQL_FLEX, tail="""
 SELECT ck AS example_id, s AS precision, s AS recall, s AS f1, x AS precision_flex, x AS recall_flex, x AS f1_flex, x = 1 AS all_found_flex
-FROM (SELECT w.ck, CASE WHEN f.strict THEN 1 ELSE 0 END AS s, CASE WHEN f.rule <> 'none' THEN 1 ELSE 0 END AS x
+FROM (SELECT w.ck, CAST(CASE WHEN f.strict THEN 1 ELSE 0 END AS DOUBLE) AS s, CAST(CASE WHEN f.rule <> 'none' THEN 1 ELSE 0 END AS DOUBLE) AS x
   FROM (SELECT DISTINCT ck FROM fx_wide) w LEFT JOIN flex f ON f.example_id = w.ck)"""),
     "evaluate_guarded": _KEPT + f""", {_STATUS}
 SELECT ck AS example_id, status, CASE WHEN status = 'ok' THEN p ELSE 0 END AS precision, CASE WHEN status = 'ok' THEN r ELSE 0 END AS recall,
@@ -311,3 +311,28 @@ FROM (SELECT stage, epoch, count(*) AS n, avg(reward) AS m FROM fx_rewards GROUP
 min(reward) FILTER (reward <> 0.25) AS min_valid, max(reward) FILTER (reward <> 0.25) AS max_valid, avg(reward) FILTER (reward <> 0.25) AS mean_valid,
 count(*) FILTER (reward = 0.25) AS at_default, count(*) AS n FROM fx_rewards GROUP BY 1""",
 }
+
+# Means and rates are sums of doubles in any order: both sides round them to six places.
+_RATES = [f"{m}{t}" for t in ("", "_flex") for m in (
+    "avg_precision", "avg_recall", "avg_f1", "full_coverage_rate", "single_coverage_rate")]
+_ROUNDED = {
+    "resume_totals": ["avg_f1"], "coverage": _RATES, "by_type_total": _RATES, "category_stats": ["avg_f1"],
+    "correction_stats": ["total_gain", "avg_gain"], "throughput": ["seconds", "per_second"],
+    "quality_summary": ["avg_overall", "avg_semantic", "avg_schema"], "study_grid": ["base", "rag", "rag_lora"],
+    "class_metrics": ["accuracy", *[f"{m}_{k}" for m in ("precision", "recall", "f1") for k in ("macro", "weighted")]],
+    "class_report": ["precision", "recall", "f1"], "class_breakdown": ["accuracy", "pct"], "label_distribution": ["pct"],
+    "topk_accuracy": ["top1_accuracy", "top2_accuracy"], "reward_epochs": ["mean_reward"], "reward_stages": ["best_reward"],
+    "reward_summary": ["mean_all", "mean_valid"],
+}
+
+
+def _rounding(query, names):
+    def rounded(spark, sf):
+        return query(spark, sf).withColumns({n: F.round(n, 6) for n in names})
+    return rounded
+
+
+for _name, _columns in _ROUNDED.items():
+    QUERIES[_name] = _rounding(QUERIES[_name], _columns)
+    _six = ", ".join(f"round({c}, 6) AS {c}" for c in _columns)
+    ORACLE[_name] = f"SELECT * REPLACE ({_six}) FROM ({ORACLE[_name]})"

@@ -172,19 +172,19 @@ UNION ALL SELECT id, 'SELECT p_name FROM part', 0 FROM fx_responses WHERE fmt =
   lambda x: regexp_replace(x, '^\\s*(?:\\d+\\.|[-•])\\s*', '')) AS l FROM fx_responses)"""),
     "interpretation_lines": """SELECT id, unnest(l) AS interpretation, unnest(range(len(l))) AS pos FROM (SELECT concat(conv_id, '_', turn) AS id, list_transform(list_filter(list_transform(
   string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(x, '^\\s*(?:\\d+\\.|[-•])\\s*', '')) AS l FROM conversations)""",
-    "json_queries": _replies("""SELECT id, pos, sql, NULL AS analysis, 'direct' AS parse_mode FROM (
+    "json_queries": _replies("""SELECT id, pos, sql, CAST(NULL AS VARCHAR) AS analysis, 'direct' AS parse_mode FROM (
   SELECT id, 0 AS pos, json_extract_string(raw_text, '$.sql_queries[0]') AS sql FROM fx_responses WHERE fmt = 0
   UNION ALL SELECT id, 1, json_extract_string(raw_text, '$.sql_queries[1]') FROM fx_responses WHERE fmt = 0
   UNION ALL SELECT id, 0, json_extract_string(raw_text, '$.corrected_queries[0]') FROM fx_responses WHERE fmt = 1
   UNION ALL SELECT id, 0, json_extract_string(raw_text, '$.interpretations[0].sql_query') FROM fx_responses WHERE fmt = 2)"""),
     "json_recovery": """SELECT p_partkey AS id, 0 AS pos, concat('SELECT ', CASE WHEN p_partkey % 5 = 3 THEN '\\d' ELSE '' END, p_size) AS sql,
 CASE p_partkey % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'cleaned_escapes' WHEN 2 THEN 'cleaned_escapes' WHEN 3 THEN 'escapes' ELSE 'extra' END AS parse_mode FROM part""",
-    "reply_queries": _replies("""SELECT id, pos, sql, NULL AS analysis, CASE WHEN fmt <= 2 THEN 'json:direct' ELSE 'text' END AS parse_mode FROM (
+    "reply_queries": _replies("""SELECT id, pos, sql, CAST(NULL AS VARCHAR) AS analysis, CASE WHEN fmt <= 2 THEN 'json:direct' ELSE 'text' END AS parse_mode FROM (
   SELECT id, fmt, unnest(l) AS sql, unnest(range(len(l))) AS pos FROM (SELECT id, fmt, CASE fmt
     WHEN 0 THEN [json_extract_string(raw_text, '$.sql_queries[0]'), json_extract_string(raw_text, '$.sql_queries[1]')]
     WHEN 1 THEN ['SELECT 1'] WHEN 2 THEN ['SELECT p_size FROM part'] WHEN 3 THEN ['SELECT p_name FROM part; SELECT p_size FROM part']
     WHEN 4 THEN ['SELECT p_name FROM part', 'WITH t AS (SELECT 1) SELECT * FROM t'] WHEN 5 THEN ['SELECT 1', 'SELECT 2'] ELSE [] END AS l FROM fx_responses))"""),
-    "reply_corrections": _replies("""SELECT id, pos, sql, NULL AS analysis, CASE WHEN fmt <= 2 THEN 'json:direct' ELSE 'text' END AS parse_mode FROM (
+    "reply_corrections": _replies("""SELECT id, pos, sql, CAST(NULL AS VARCHAR) AS analysis, CASE WHEN fmt <= 2 THEN 'json:direct' ELSE 'text' END AS parse_mode FROM (
   SELECT id, fmt, unnest(l) AS sql, unnest(range(len(l))) AS pos FROM (SELECT id, fmt, CASE fmt
     WHEN 0 THEN [json_extract_string(raw_text, '$.sql_queries[0]'), json_extract_string(raw_text, '$.sql_queries[1]')]
     WHEN 1 THEN ['SELECT 1'] WHEN 2 THEN ['SELECT p_size FROM part'] WHEN 3 THEN ['SELECT p_name FROM part; SELECT p_size FROM part']
@@ -198,8 +198,8 @@ UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE p_br
     "numbered_list": "SELECT p_partkey AS id, unnest([0, 1]) AS pos, unnest([p_name, p_type]) AS item FROM part",
     "score_text": _replies("""SELECT id, CASE fmt WHEN 7 THEN CAST(substr(raw_text, 8) AS DOUBLE) WHEN 1 THEN 1.0 WHEN 4 THEN 1.0 WHEN 5 THEN 1.0
 WHEN 0 THEN coalesce(TRY_CAST(nullif(list_last(regexp_extract_all(raw_text, '\\b(0|1)\\b')), '') AS DOUBLE), 0) ELSE 0.0 END AS out FROM fx_responses"""),
-    "format_reward": _replies("SELECT id, CASE WHEN fmt = 6 THEN 0.05 ELSE 0 END AS out FROM fx_responses"),
-    "quality_gate": _replies("SELECT id, CASE WHEN fmt = 6 THEN 0.8 ELSE 0.25 END AS out FROM fx_responses"),
+    "format_reward": _replies("SELECT id, CAST(CASE WHEN fmt = 6 THEN 0.05 ELSE 0 END AS DOUBLE) AS out FROM fx_responses"),
+    "quality_gate": _replies("SELECT id, CAST(CASE WHEN fmt = 6 THEN 0.8 ELSE 0.25 END AS DOUBLE) AS out FROM fx_responses"),
     "schema_entities": f"WITH {_ENT} SELECT id AS db_id, n AS table, unnest(['id', 'name', seg]) AS column FROM ent",
     "statement_entities": f"""WITH {_ENT} SELECT id, 'table' AS kind, n AS name FROM ent UNION ALL SELECT id, 'table', 'other' FROM ent WHERE id % 3 = 1
 UNION ALL SELECT id, 'column', unnest(CASE id % 3 WHEN 0 THEN ['id', 'name', 'missing'] WHEN 1 THEN ['id', 'name'] ELSE [seg] END) FROM ent""",
