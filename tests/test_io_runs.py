@@ -145,3 +145,12 @@ def test_evaluate_reads_initial_statements_too(spark):
     after = score.evaluate(runs, cells)
     gain = score.correction_gain(after, before).agg(F.min("f1"), F.max("f1"), F.count("f1_improvement")).first()
     assert 0 <= gain[0] <= gain[1] <= 1 and gain[2] == after.count()
+
+
+def test_large_caps_rank_by_sort(spark, monkeypatch):
+    from sqlverdict.operators import numbering
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "b").alias("g"))
+    small = curate.capped_sample(df, 200, ["g"]).orderBy("id").collect()
+    monkeypatch.setattr(numbering, "GROUP_LIMIT", 0)
+    large = curate.capped_sample(df, 200, ["g"]).orderBy("id").collect()
+    assert small == large and len(large) == 600
