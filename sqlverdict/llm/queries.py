@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import rules, secrets
+from sqlverdict.llm import rules, secrets, substrings
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
@@ -20,6 +20,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(secrets.RULES).alias("spans"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every whole text once windows that start earlier elsewhere are removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every whole text."""
     return rules.apply_rules(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"))
@@ -27,6 +33,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_secret_scan": op5_secret_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}

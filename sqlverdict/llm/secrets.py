@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlverdict.llm.common import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -110,6 +112,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules=RULES, path: str = "p
     """``(path, digest, spans by rule)``: the ledger's rows of the current rule versions on every path."""
     current = ledger.where(F.concat_ws(":", "rule", "rule_version").isin([f"{r.name}:{r.version}" for r in rules]))
     by_blob = current.groupBy("digest").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("spans"))).alias(r.name) for r in rules])
+    by_blob = stored(by_blob, "by-blob")  # both sides of the join then shuffle alone, so a digest of many paths can be split
     paths = blobs_of(versions, path, text).select("path", "digest")
     return paths.join(by_blob, "digest", "left")
 
