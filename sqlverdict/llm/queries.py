@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import rules, secrets, substrings
+from sqlverdict.llm import neardup, rules, secrets, substrings
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every whole text."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every whole text, through a new ledger of blobs."""
     docs = named(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -32,6 +37,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
