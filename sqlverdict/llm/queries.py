@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import neardup, rules, secrets, substrings
+from sqlverdict.llm import bpe, neardup, rules, secrets, substrings
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
+#: Rank file of the encoder, among the public tokenizers.
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every whole text."""
@@ -31,6 +35,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and their decoded bytes, as digests."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every whole text."""
     return rules.apply_rules(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"))
@@ -40,6 +50,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
