@@ -1,8 +1,8 @@
 """Quality classifier (operator 3): supervised subword embeddings.
 
-A text is the average of learned vectors of its words and of its character n-grams (over
-bytes, blanks included, so they mark word ends), all hashed to ``BUCKETS`` rows; a softmax
-over two classes reads that average. Vectors and weights are trained together by stochastic
+A text is the average of learned vectors of its words, of its character n-grams (over bytes,
+blanks included, so they mark word ends), and of its word pairs reduced to whether both are
+the same word, all hashed to ``BUCKETS`` rows; a softmax over two classes reads that average. Vectors and weights are trained together by stochastic
 gradient descent in numpy, one document at a time.
 
 The sample that is trained on is bounded: at most ``sample`` labelled documents of each class,
@@ -34,6 +34,8 @@ from sqlverdict.llm.common import blocks, texts, word_hashes
 BUCKETS, GRAMS, DIMENSION = 1 << 17, (3, 4), 8
 SAMPLE, EPOCHS, RATE, SEED = 1500, 12, 1.0, 7
 THRESHOLD = 0.3
+#: Bucket of a pair of equal words.
+SAME = 1
 
 
 @dataclass(frozen=True)
@@ -56,19 +58,25 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
     return x >> np.uint32(32 - 17)
 
 
-def _word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of words, the index of each row's first, and how many words of each row equal the one before."""
     hashes, first = word_hashes(data, offsets)
-    return (hashes >> np.uint64(64 - 17)).astype(np.uint32), first
+    same = np.zeros(len(hashes) + 1, bool)
+    same[1:-1] = hashes[1:] == hashes[:-1]
+    same[first] = False
+    same = np.concatenate([[0], np.cumsum(same)])
+    return (hashes >> np.uint64(64 - 17)).astype(np.uint32), first, same[first[1:]] - same[first[:-1]]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct buckets of each text and how often each occurs."""
     for rows, data, offsets in blocks(batches):
-        words, first = _word_buckets(data, offsets)
+        words, first, same = _word_buckets(data, offsets)
         found = []
         for k in range(rows.num_rows):
             part = data[offsets[k]:offsets[k + 1]]
-            found.append(np.unique(np.concatenate([words[first[k]:first[k + 1]], *(_grams(part, n) for n in GRAMS)]), return_counts=True))
+            found.append(np.unique(np.concatenate([words[first[k]:first[k + 1]], np.full(same[k], SAME, np.uint32),
+                                                   *(_grams(part, n) for n in GRAMS)]), return_counts=True))
         yield pa.RecordBatch.from_arrays([
             rows.column(0), rows.column(2),
             pa.array([b.astype("<u4").tobytes() for b, _ in found], pa.binary()),
@@ -133,9 +141,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.weights
         for rows, data, offsets in blocks(batches):
-            words, first = _word_buckets(data, offsets)
+            words, first, same = _word_buckets(data, offsets)
             sums = np.concatenate([[0.0], np.cumsum(weights[words], dtype=np.float64)])
-            total, number = sums[first[1:]] - sums[first[:-1]], np.diff(first)
+            total, number = sums[first[1:]] - sums[first[:-1]] + same * np.float64(weights[SAME]), np.diff(first) + same
             for n in GRAMS:
                 sums = np.concatenate([[0.0], np.cumsum(weights[_grams(data, n)], dtype=np.float64)])
                 last = np.maximum(offsets[1:] - n + 1, offsets[:-1])

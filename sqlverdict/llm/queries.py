@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import bpe, neardup, rules, secrets, substrings
+from sqlverdict.llm import bpe, neardup, quality_model, rules, secrets, substrings
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
@@ -14,6 +14,12 @@ from sqlverdict.session import scratch_path
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every whole text, by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every whole text."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,6 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,
