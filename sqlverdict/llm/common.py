@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlverdict.session import scratch_path
 
@@ -61,9 +63,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words_column(text: Column) -> Column:
-    """Array of the words of ``text``."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add, whatever their case."""
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+def extended(df: DataFrame, added: str) -> T.StructType:
+    """Schema of ``df`` with the columns of the DDL string ``added``."""
+    return T.StructType(df.schema.fields + T.StructType.fromDDL(added).fields)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +92,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of at most ``BLOCK`` bytes of text: the rows, the bytes, and each row's offset (one more at the end).
 
-    The text is the column named ``text``; it holds no nulls.
+    The text is the column named ``text``; nulls count as empty.
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+        if column.null_count:
+            column = pc.fill_null(column, b"")
         if not len(column):
             continue
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]

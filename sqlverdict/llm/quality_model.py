@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlverdict.llm.common import blocks, texts, word_hashes
+from sqlverdict.llm.common import blocks, extended, texts, without, word_hashes
 
 BUCKETS, GRAMS, DIMENSION = 1 << 17, (3, 4), 8
 SAMPLE, EPOCHS, RATE, SEED = 1500, 12, 1.0, 7
@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score)``: the probability of label 1 for every text."""
+    """The input with ``score``, the probability of label 1 for every text."""
+    docs = without(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +152,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 total += sums[np.minimum(last, len(sums) - 1)] - sums[start]
                 number = number + (last - offsets[:-1])
             odds = total / np.maximum(number, 1) + shared.value.bias
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(1.0 / (1.0 + np.exp(-odds)))], names=["doc_id", "score"])
+            yield rows.append_column("score", pa.array(1.0 / (1.0 + np.exp(-odds))))
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, extended(docs, "score double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,9 +163,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document ``held_out``, ``score`` and ``predicted``, by a model of the labels that are not held out."""
+    """The input with ``held_out``, ``score`` and ``predicted``, by a model of the labels that are not held out."""
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    scored = score(docs, train(docs, known))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    docs = without(docs.where("doc_id IS NOT NULL"), "held_out", "predicted")
+    return score(docs, train(docs, known)).select(
+        "*", held_out(F.col("doc_id")).alias("held_out"), F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

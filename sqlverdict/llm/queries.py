@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import bpe, neardup, quality_model, rules, secrets, substrings, warc
+from sqlverdict.llm import bpe, decontam, lines, neardup, quality_model, rules, secrets, substrings, warc
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
@@ -14,10 +14,22 @@ from sqlverdict.session import scratch_path
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of every whole text once later repeated runs are deleted."""
+    kept = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by every whole text, within a fifth of their words."""
+    return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every whole text, by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_model.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality_model.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +70,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
