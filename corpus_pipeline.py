@@ -1,12 +1,58 @@
-"""A cleaning pipeline over ``documents``; each stage is one of the operators of ``sqlverdict.llm``."""
+"""A cleaning pipeline over ``documents``; each stage is one of the operators of ``sqlverdict.llm``.
+
+A stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept. All but
+the last return the columns of ``docs``. Documents without an id go in the first stage; null
+texts pass as they are, and every stage states its own rules in its operator's module.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sqlverdict.llm import bpe, decontam, lines, neardup, quality_model
+from sqlverdict.llm.queries import RANKS
 from sqlverdict.session import scratch_path
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_model.classify(docs, labels).where("predicted = 1").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs of lines; ``n_chars`` follows the text."""
+    kept = lines.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near copies."""
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("byte_bpe", encode),
+]
 #: The classifier and the encoder cannot be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 

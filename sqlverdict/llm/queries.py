@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import bpe, decontam, lines, neardup, quality_model, rules, secrets, substrings, warc
+from sqlverdict.llm import bpe, decontam, lines, neardup, quality_model, quotes, rules, secrets, substrings, warc
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
@@ -69,6 +69,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, linked to what it replies to, in reply order."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -79,6 +84,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {
     "op8_warc": """
