@@ -174,13 +174,15 @@ def parse_gold_list(df: DataFrame, ambig: str = "ambig_queries", gold: str = "go
 
     The first column is a list literal or JSON; unreadable text gives nothing. If
     that leaves nothing, the second is a list when it opens with ``[`` (unreadable:
-    the whole text), else statements separated by blank lines. Plain JSON lists of
-    strings are read by built-in functions, other literals by one helper.
+    the whole text), else statements separated by blank lines. JSON lists of strings,
+    and lists in single quotes that hold neither double quotes nor backslashes, are read by
+    built-in functions; only other literals (mixed quotes, numbers) go to one helper.
     """
     a, g = blank_to_null(F.col(ambig)), blank_to_null(F.col(gold))
 
     def plain(c: Column) -> Column:
-        items = F.try_variant_get(parse_json(F.when(~c.contains("\\"), c)), "$", "array<variant>")
+        text = F.when(~c.contains("\\"), F.when(c.contains('"'), c).otherwise(F.translate(c, "'", '"')))
+        items = F.try_variant_get(parse_json(text), "$", "array<variant>")
         return F.when(F.forall(items, lambda v: kind_of(v) == "STRING"), F.transform(
             items, lambda v: F.try_variant_get(v, "$", "string")))
 
