@@ -82,7 +82,7 @@ def mixture(
             if name not in sources:
                 continue
             rows = sources[name].filter(F.col("split") == source_split)
-            rows = capped_sample(rows, cap, (), seed, key) if cap else rows
+            rows = rows if cap is None else capped_sample(rows, cap, (), seed, key)
             parts.append(rows.withColumns({"split": F.lit(split), "dataset": F.lit(name)}))
     ids = F.create_map(*[F.lit(x) for pair in CATEGORY_IDS.items() for x in pair])
     return reduce(DataFrame.unionByName, parts).withColumn("label_id", F.try_element_at(ids, F.col("label")))

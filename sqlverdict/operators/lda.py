@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DIM = 2048
 FAN_IN = 16
 
 
@@ -74,14 +73,12 @@ def lda_fit(vectors: DataFrame, label: str, vector: str = "embedding", tol: floa
     """Class priors, means and pooled covariance (divisor n - K) from one pass.
 
     Tasks send only sums: d per class and d x d once, added up FAN_IN at a time on
-    the cluster. The driver gets the last few (d at most ``MAX_DIM``) and solves
-    the d x d system, dropping directions of next to no variance.
+    the cluster. The driver gets the last few and solves the d x d system, dropping
+    directions of next to no variance. It needs about 8 * d * d bytes a few times over.
     """
     dim = vectors.select(F.max(F.size(vector))).first()[0]
     if dim is None:
         raise ValueError("no vectors to fit")
-    if dim > MAX_DIM:
-        raise ValueError(f"vectors of {dim} dimensions; at most {MAX_DIM}")
     rows = vectors.select(F.col(label).alias(label), vector).filter(F.col(label).isNotNull())
     n_parts = (rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
     parts = rows.mapInPandas(_moments(label, vector), _SUMS).withColumn("at", F.spark_partition_id())

@@ -51,8 +51,12 @@ def first_per_group(df: DataFrame, n: int, by, *order) -> DataFrame:
     Small n: each task keeps n rows per group before the shuffle. Large n: ranks
     from a global sort, so that no task holds a whole group.
     """
+    if n <= 0:
+        return df.limit(0)
     if not by:
-        return df.orderBy(*order).limit(n)
+        if n <= GROUP_LIMIT:
+            return df.orderBy(*order).limit(n)
+        return dense_index(df, "_r", *order).filter(F.col("_r") < n).drop("_r")
     if n <= GROUP_LIMIT:
         rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
         return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")

@@ -14,7 +14,6 @@ from sqlverdict.schema import CATEGORY_NAMES
 
 # Formats of few-shot and retry texts, and the place for error lists.
 ERRORS_BEFORE = "Review the question, interpretations and queries thoroughly"
-MAX_ERRORS = 5
 
 
 def fill(template: str, **fields: Column) -> Column:
@@ -79,13 +78,13 @@ def fewshot_text(
     return texts.join(head, "query_id", "left").select("query_id", F.array_join(whole, "\n\n").alias("examples_text"))
 
 
-def generation_request(df: DataFrame, template: str, system: str = "") -> DataFrame:
-    """Adds ``system`` and ``user`` texts; earlier errors (first five) or guidance come in front.
+def generation_request(df: DataFrame, template: str, system: str = "", max_errors: int | None = 5) -> DataFrame:
+    """Adds ``system`` and ``user`` texts; the first ``max_errors`` earlier errors or guidance come in front.
 
     ``df(id, question, db_schema, examples_text, previous_errors, retry_guidance)``.
     """
     user = fill(template, db_schema=F.col("db_schema"), question=F.col("question"), examples_text=F.col("examples_text"))
-    errors = F.slice("previous_errors", 1, MAX_ERRORS)
+    errors = F.col("previous_errors") if max_errors is None else F.slice("previous_errors", 1, max_errors)
     listed = F.transform(errors, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e, F.lit("\n")))
     has_errors = F.coalesce(F.size("previous_errors") > 0, F.lit(False))
     has_guidance = F.coalesce(F.col("retry_guidance") != "", F.lit(False))
@@ -123,7 +122,7 @@ def training_rows(df: DataFrame, template: str, system: str = "", n: int | None
     ``df(id, question, db_dump, interpretations, ambig_type)``; dumps go into the
     prompt without data lines.
     """
-    rows = capped_sample(df, n, (), seed) if n else df
+    rows = df if n is None else capped_sample(df, n, (), seed)
     user = fill(template, db_dump=strip_inserts(F.col("db_dump")), question=F.col("question"))
 
     def message(role: str, content: Column) -> Column:

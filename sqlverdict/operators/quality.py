@@ -39,8 +39,10 @@ def schema_correctness(statements: DataFrame, dumps: DataFrame, first_columns: i
 
     0.6 x share of known tables (0 without tables) + 0.4 x share of known columns (1
     without columns), SQL words left out. Names in issues are sorted. Entities are
-    extracted once per dump. Statements without a dump get 0.5.
+    extracted once per dump; of several dumps of a database the smallest text counts.
+    Statements without a dump get 0.5. ``first_columns`` limits the names in an issue.
     """
+    dumps = dumps.groupBy("db_id").agg(F.min("db_dump").alias("db_dump"))
     schemas = dumps.select("db_id", schema_tables(F.col("db_dump")).alias("s")).select(
         "db_id", F.col("s.table").alias("_tables"), F.flatten(F.col("s.columns")).alias("_columns"))
     out = statements.join(schemas, "db_id", "left").withColumns({
@@ -72,15 +74,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def interpretation_quality(statements: DataFrame, dumps: DataFrame) -> DataFrame:
+def interpretation_quality(statements: DataFrame, dumps: DataFrame, max_error: int | None = None) -> DataFrame:
     """Overall score 0..10: 4 x similarity + 3 x schema correctness + 3 if it ran.
 
     ``statements(id, db_id, sql, ok, error, question_vec, interpretation_vec)``; a
-    missing vector counts as similarity 0.5.
+    missing vector counts as similarity 0.5. Error texts are whole unless ``max_error`` sets a length.
     """
     out = schema_correctness(statements, dumps).withColumn(
         "semantic_similarity", F.coalesce(cosine(F.col("question_vec"), F.col("interpretation_vec")), F.lit(0.5)))
-    failed = F.concat(F.lit("Execution error: "), F.substring(F.coalesce("error", F.lit("")), 1, 100))
+    said = F.coalesce("error", F.lit(""))
+    failed = F.concat(F.lit("Execution error: "), said if max_error is None else F.substring(said, 1, max_error))
     return out.withColumns({
         "execution_success": F.col("ok"),
         "overall_score": 4.0 * F.col("semantic_similarity") + 3.0 * F.col("schema_correctness")

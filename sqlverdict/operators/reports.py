@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sqlverdict.schema import AMBIGUITY_TYPES
 
-MAX_CONDITIONS = 1000
 METRICS = ("precision", "recall", "f1", "precision_flex", "recall_flex", "f1_flex")
 
 
@@ -228,17 +228,26 @@ def throughput(log: DataFrame, ts: str = "ts", *by: str) -> DataFrame:
         F.count("*").alias("n"), seconds.alias("seconds"), F.try_divide(F.count("*"), seconds).alias("per_second"))
 
 
-def study_grid(runs: dict[str, DataFrame] | DataFrame, metric: str = "f1", row: str = "dataset") -> DataFrame:
-    """One metric across conditions, conditions as columns.
+def study_rows(
+    runs: dict[str, DataFrame] | DataFrame, metrics: Sequence[str] = ("precision", "recall", "f1", "all_found", "one_found"), row: str = "dataset",
+) -> DataFrame:
+    """(row, condition, metric, value): every metric's mean over scored rows, for any number of conditions.
 
     Takes score tables by condition name, or one table with a ``condition`` column.
     """
+    table = runs
     if isinstance(runs, dict):
-        names = list(runs)
         table = reduce(DataFrame.unionByName, [df.withColumn("condition", F.lit(n)) for n, df in runs.items()])
-    else:
-        table = runs
-        names = sorted(r[0] for r in table.select("condition").distinct().limit(MAX_CONDITIONS + 1).collect())
-        if len(names) > MAX_CONDITIONS:
-            raise ValueError(f"more than {MAX_CONDITIONS} conditions; pivot a subset or keep them as rows")
-    return scored(table).groupBy(row).pivot("condition", names).agg(F.avg(metric))
+    means = scored(table).groupBy(row, "condition").agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
+    return means.unpivot([row, "condition"], list(metrics), "metric", "value")
+
+
+def study_grid(
+    runs: dict[str, DataFrame] | DataFrame, metric: str = "f1", row: str = "dataset", conditions: Sequence[str] | None = None,
+) -> DataFrame:
+    """One metric across conditions, the listed conditions as columns; by default the names of a dictionary of runs."""
+    if conditions is None:
+        if not isinstance(runs, dict):
+            raise ValueError("name the conditions that become columns, or use study_rows")
+        conditions = list(runs)
+    return study_rows(runs, [metric], row).groupBy(row).pivot("condition", list(conditions)).agg(F.first("value"))

@@ -5,14 +5,13 @@ Similarities are compared in double precision rounded to 9 places; ties go to th
 lower corpus id.
 
 Search is a blocked matrix product inside tasks that keeps only the best few per
-query and block, never all pairs. A query side of proven small size is broadcast
-against corpus partitions; a larger one is laid out on a grid of query and corpus
-blocks of bounded size.
+query and task, never all pairs. Queries are a stated set: they are broadcast in chunks
+of bounded rows and bytes, each over one scan of the corpus, which never shuffles.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sqlverdict.session import cut_lineage, fits
+from sqlverdict.operators.lda import LdaModel, lda_predict
+from sqlverdict.session import cut_lineage
 
-BROADCAST_QUERIES = 4096
-QUERY_BLOCK = 4096
-CORPUS_BLOCK = 65536
+CHUNK_ROWS = 4096
+CHUNK_BYTES = 32 << 20
 
 # Fixed value: the verdict mark in a validation reply.
 VERDICT_PATTERN = r"(?i)VALIDATION:\s*(CONFIRMED_U|SHOULD_RECLASSIFY)"
@@ -53,15 +52,15 @@ def _block_search(mode: str, quota: dict[str, int], skip_same_question: bool):
         c = c.sort_values("vec_id")
         cm = np.stack(c["embedding"].to_numpy()).astype(np.float64)
         ids = c["vec_id"].to_numpy()
-        text, label = c["question"].to_numpy(dtype=object), c["label"].to_numpy(dtype=object)
+        code, label = c["code"].to_numpy(np.int64), c["label"].to_numpy(dtype=object)
         labels = {v: label == v for v in set(label) if v is not None}
         nothing = np.array([v is None for v in label])
         out = []
         for start in range(0, len(q), 256):
             part = q.iloc[start:start + 256]
             sims = np.round(np.stack(part["embedding"].to_numpy()).astype(np.float64) @ cm.T, 9)
-            for i, (qid, question, want) in enumerate(zip(part["query_id"], part["question"], part["label"])):
-                usable = text != question if skip_same_question else np.ones(len(ids), dtype=bool)
+            for i, (qid, question, want) in enumerate(zip(part["query_id"], part["code"], part["label"])):
+                usable = code != question if skip_same_question else np.ones(len(ids), dtype=bool)
                 same = nothing if want is None else labels.get(want, np.zeros(len(ids), dtype=bool))
                 if mode == "all":
                     buckets = {"all": usable}
@@ -100,21 +99,39 @@ def _merge(quota: dict[str, int]):
     return merge
 
 
+def _chunks(q: DataFrame, rows: int, size: int) -> Iterator[pd.DataFrame]:
+    """Queries in frames bounded in rows and bytes; the driver holds one at a time."""
+    held, used = [], 0
+    for row in q.toLocalIterator():
+        held.append(row)
+        used += 8 * len(row["embedding"] or ()) + len(row["label"] or "") + 64
+        if len(held) >= rows or used >= size:
+            yield pd.DataFrame(held, columns=q.columns)
+            held, used = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=q.columns)
+
+
 def _search(
     queries: DataFrame, corpus: DataFrame, mode: str, quota: dict[str, int], skip_same_question: bool,
-    broadcast_queries: int = BROADCAST_QUERIES, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK,
+    chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """Best pairs per query and bucket, ranked."""
+    """Best pairs per query and bucket, ranked.
+
+    Questions travel as 64-bit codes. Each chunk of queries is broadcast over one scan of
+    the corpus, which stays where it is.
+    """
     label = {"all": F.lit(None).cast("string"), "type": F.col("ambig_type"), "category": F.col("category")}[mode]
-    q = queries.select(F.col("vec_id").alias("query_id"), "question", label.alias("label"), "embedding")
-    c = corpus.select("vec_id", "question", label.alias("label"), "embedding")
-    search = _block_search(mode, quota, skip_same_question)
+    code = F.xxhash64("question").alias("code")
+    q = queries.select(F.col("vec_id").alias("query_id"), code, label.alias("label"), "embedding")
+    c = corpus.select("vec_id", code, label.alias("label"), "embedding")
     spark = queries.sparkSession
-    if fits(q, broadcast_queries):
-        merge = _merge(quota)
-        shared = spark.sparkContext.broadcast(q.toPandas())
+    search, merge = _block_search(mode, quota, skip_same_question), _merge(quota)
+    found = spark.createDataFrame([], _OUT)
+    for chunk in _chunks(q, chunk_rows, chunk_bytes):
+        shared = spark.sparkContext.broadcast(chunk)
 
-        def scan(frames):
+        def scan(frames, shared=shared):
             best = None
             for frame in frames:
                 new = search(shared.value, frame)
@@ -122,9 +139,7 @@ def _search(
             if best is not None:
                 yield best
 
-        found = c.mapInPandas(scan, _OUT)
-    else:
-        found = _grid_search(q, c, search, query_block, corpus_block)
+        found = found.union(c.mapInPandas(scan, _OUT))
     found = found.withColumn("bucket", F.get(F.lit(list(_BUCKETS)), F.col("bucket")))
     order = W.partitionBy("query_id", "bucket").orderBy(F.col("similarity").desc(), "vec_id")
     limit = F.when(F.col("bucket") == "other", quota.get("other", 0)).otherwise(max(quota.get("same", 0), quota.get("all", 0)))
@@ -132,27 +147,6 @@ def _search(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).filter(F.col("rank") <= limit)
 
 
-def _grid_search(q: DataFrame, c: DataFrame, search, query_block: int, corpus_block: int) -> DataFrame:
-    """Query blocks x corpus blocks, each cell one bounded task.
-
-    Blocks are cut by row hash, so no label, source or duplicate group decides
-    their size. Every query meets every corpus block exactly once.
-    """
-    def blocks(df: DataFrame, size: int) -> int:
-        return max(1, math.ceil(df.select(F.lit(1)).count() / size))
-
-    nq, nc = blocks(q, query_block), blocks(c, corpus_block)
-    grid = F.sequence(F.lit(0), F.lit(nc - 1))
-    qs = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("cb", F.explode(grid))
-    cs = c.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(nc)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search(left, right)
-
-    return qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInPandas(cell, _OUT)
-
-
 def top_k(
     queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_exact: bool = True, **tuning: int
 ) -> DataFrame:
@@ -311,7 +305,8 @@ def retrieve(
     Queries carry ``category``, predicted ``ambig_type`` and ``confidence``. Ambiguous
     queries of type attachment or scope with confidence at or above ``threshold``
     take the hybrid path plus ``k_other`` further neighbours with other question
-    texts; all others go by category, and by plain neighbours if that finds none.
+    texts; all others, and those for which the hybrid path finds nothing, go by category,
+    and by plain neighbours if that finds none.
     """
     typed = queries.withColumn("ambig_type", F.when(F.col("confidence") >= min_confidence, F.col("ambig_type")))
     is_hybrid = F.coalesce(
@@ -321,6 +316,9 @@ def retrieve(
     columns = ["query_id", "rank", "vec_id", "similarity", "path"]
     pool = _pool(hybrid_q, corpus, max(10 * k, k + k_other), tuning)
     chosen = _rerank(hybrid_q, corpus, pool, structural, k, w_sem, w_str, True).withColumn("path", F.lit("hybrid"))
+    chosen = cut_lineage(chosen)
+    found = chosen.select(F.col("query_id").alias("vec_id")).distinct()
+    plain_q = plain_q.unionByName(hybrid_q.join(found, "vec_id", "left_anti").select(*plain_q.columns))
     out = chosen.select(*columns)
     if k_other > 0:
         texts = corpus.select("vec_id", "question")
@@ -330,7 +328,7 @@ def retrieve(
         have = chosen.groupBy("query_id").agg(F.count("*").alias("have"))
         out = out.unionByName(
             more.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k_other)
-            .join(have, "query_id", "left").fillna(0, ["have"])
+            .join(have, "query_id")
             .select("query_id", (F.col("have") + F.col("n")).cast("int").alias("rank"), "vec_id", "similarity",
                     F.lit("other").alias("path")))
     by_category = cut_lineage(top_k_by_category(plain_q, corpus, k, k_other, True, **tuning))
@@ -341,6 +339,22 @@ def retrieve(
     return out.unionByName(top_k(none, corpus, k, True, **tuning).withColumn("path", F.lit("plain")).select(*columns))
 
 
+def with_predicted_type(queries: DataFrame, model: LdaModel, min_confidence: float = 0.3) -> DataFrame:
+    """Queries with the classifier's first type and its probability; below ``min_confidence`` no type."""
+    best = F.get("predictions", F.lit(0))
+    named = lda_predict(queries.drop("ambig_type", "confidence"), model).withColumns({
+        "ambig_type": F.when(best["prob"] >= min_confidence, best["label"]), "confidence": best["prob"]})
+    return named.drop("predictions")
+
+
+def retrieve_predicted(
+    queries: DataFrame, corpus: DataFrame, structural, model: LdaModel, min_confidence: float = 0.3, **policy,
+) -> DataFrame:
+    """The retrieval policy with types that the classifier predicts from the queries' vectors."""
+    typed = cut_lineage(with_predicted_type(queries, model, min_confidence))
+    return retrieve(typed, corpus, structural, min_confidence=min_confidence, **policy)
+
+
 def vote_share(neighbours: DataFrame, corpus: DataFrame, structural, w_sem: float = 0.7, w_str: float = 0.3) -> DataFrame:
     """Share of hybrid similarity per ambiguity type among given neighbours; NULL is a group."""
     scored = with_hybrid(neighbours.select("query_id", "vec_id", "similarity"), corpus, structural, w_sem, w_str)

@@ -2,8 +2,10 @@
 
 Statements are Spark SQL. Each distinct (database, text) runs once as its own
 Spark job, a bounded number at a time; equal statements of other examples share
-the result. Only read-only single statements are accepted; anything else, and
-whatever fails, is an ``error`` row.
+the result. Submission is driver-side by nature: a statement is a job. A statement
+must parse as the inside of a subquery before it runs, which no write or command
+does, whatever it begins with. Anything else, and whatever fails, is an ``error``
+row with the whole message.
 """
 
 from __future__ import annotations
@@ -82,9 +84,9 @@ def run_statements(
     database; each database gets a session of its own, so that equal table names
     do not meet. Without it, statements see the current session.
 
-    Cells and outcomes are appended below ``out``, one folder per statement, as
-    each finishes. A run on the same ``out`` skips what is there, so a broken run
-    resumes. The driver holds only ``chunk`` statement texts at a time.
+    Cells are written below ``out`` as each statement finishes, outcomes once per
+    ``chunk`` statements. A run on the same ``out`` skips statements with an outcome, so a
+    broken run resumes. The driver holds only ``chunk`` statement texts at a time.
     """
     out = out or scratch_path(spark, "runs")
     todo = statements.select("db_id", "sql").distinct().withColumn(
@@ -107,29 +109,31 @@ def run_statements(
             sessions[db_id] = fresh
         return sessions[db_id]
 
-    def run(row) -> None:
+    def run(row) -> tuple[str, bool, str | None]:
         error = None
         try:
             if not row["readable"]:
                 raise ValueError("only select statements run")
             session = session_for(row["db_id"])
-            result = session.sql(row["sql"].strip().rstrip(";"))
+            text = row["sql"].strip().rstrip(";")
+            session.sql(f"EXPLAIN SELECT * FROM (\n{text}\n)")  # parses queries only; runs nothing
+            result = session.sql(text)
             cells = result_cells(result, row["ordered"]).withColumn("stmt", F.lit(row["stmt"]))
             cells.select(*[f.split()[0] for f in _CELLS.split(", ")]).write.mode("overwrite").parquet(
                 f"{out}/cells/part={row['stmt']}")
         except UnknownException:
             raise  # not the statement's fault: stop, and resume later
         except (PySparkException, ValueError) as problem:
-            error = str(problem).split("\n")[0][:500]
-        spark.createDataFrame([(row["stmt"], error is None, error)], _OUTCOME).coalesce(1).write.mode(
-            "overwrite").parquet(f"{out}/outcomes/part={row['stmt']}")
+            error = str(problem)
+        return row["stmt"], error is None, error
 
     rows = todo.orderBy("db_id", "stmt").toLocalIterator()
     with ThreadPoolExecutor(parallel) as pool:
         while batch := list(islice(rows, chunk)):
             for db_id in dict.fromkeys(r["db_id"] for r in batch if db_views):
                 session_for(db_id)
-            list(pool.map(run, batch))
+            outcomes = list(pool.map(run, batch))
+            spark.createDataFrame(outcomes, _OUTCOME).coalesce(1).write.mode("append").parquet(f"{out}/outcomes")
             for view in shared:
                 spark.catalog.dropGlobalTempView(view)
             sessions.clear()

@@ -22,8 +22,8 @@ def topk(spark, sf):
 
 
 def topk_grid(spark, sf):
-    """The same search on the block grid used for large query sides."""
-    return _shown(retrieve.top_k(*_sides(spark, sf), k=5, broadcast_queries=0, query_block=8, corpus_block=100))
+    """The same search in many chunks, as for a large query side."""
+    return _shown(retrieve.top_k(*_sides(spark, sf), k=5, chunk_rows=8, chunk_bytes=4000))
 
 
 def topk_by_category(spark, sf):
@@ -47,6 +47,13 @@ def retrieval_policy(spark, sf):
     return _shown(retrieve.retrieve(q, c, structural_scorer(q, c), k=3, k_other=2), "path")
 
 
+def policy_predicted(spark, sf):
+    """The policy with types that the classifier predicts."""
+    q, c = _sides(spark, sf)
+    model = lda.lda_fit(c.filter("ambig_type IS NOT NULL"), "ambig_type")
+    return _shown(retrieve.retrieve_predicted(q, c, structural_scorer(q, c), model, k=3, k_other=2), "path")
+
+
 def vote_share(spark, sf):
     q, c = _sides(spark, sf)
     near = retrieve.top_k(q, c, k=50)
@@ -88,7 +95,7 @@ def lda_topk_accuracy(spark, sf):
 
 QUERIES = {
     "topk": topk, "topk_grid": topk_grid, "topk_by_category": topk_by_category, "topk_by_type": topk_by_type,
-    "hybrid_rerank": hybrid_rerank, "retrieval_policy": retrieval_policy, "vote_share": vote_share,
+    "hybrid_rerank": hybrid_rerank, "retrieval_policy": retrieval_policy, "policy_predicted": policy_predicted, "vote_share": vote_share,
     "tfidf_sim": tfidf_sim, "softmax_route": softmax_route, "lda_predict": lda_predict,
     "lda_topk_accuracy": lda_topk_accuracy,
 }

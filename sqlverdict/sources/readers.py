@@ -24,9 +24,12 @@ SOURCES = {
     "spider": ("spider_dev", "spider_train"),
 }
 
+#: Settings with these in their names are never written.
+SECRET_WORDS = ("key", "token", "secret", "password", "credential")
+
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """A header CSV with quoted multi-line cells, every value text, rows numbered.
+    """A header CSV with quoted multi-line cells, every value text, rows numbered by file name and place.
 
     Multi-line CSV cannot be split, so land it once with ``land_examples`` and read
     the table from then on.
@@ -34,7 +37,8 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     csv = spark.read.options(
         header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", inferSchema=False, nullValue="\x00",
         emptyValue="").csv(path)
-    return dense_index(complete(csv), "row_idx")
+    placed = csv.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_at", F.monotonically_increasing_id())
+    return complete(dense_index(placed, "row_idx", "_file", "_at").drop("_file", "_at"))
 
 
 def land_examples(raw: DataFrame, path: str) -> None:
@@ -57,6 +61,11 @@ def read_sources(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def public_config(config: Mapping | None) -> str:
+    """A run's settings as JSON, without those whose names speak of secrets."""
+    return json.dumps({k: v for k, v in (config or {}).items() if not any(w in k.lower() for w in SECRET_WORDS)}, sort_keys=True)
+
+
 def write_results(scores: DataFrame, summary: DataFrame, path: str, config: Mapping | None = None, mode: str = "append") -> None:
     """Detailed rows (by dataset if there is one) and a one-row summary.
 
@@ -66,9 +75,8 @@ def write_results(scores: DataFrame, summary: DataFrame, path: str, config: Mapp
     rows = scores.withColumn("written_at", F.unix_micros(F.current_timestamp()))
     writer = rows.write.mode(mode)
     (writer.partitionBy("dataset") if "dataset" in scores.columns else writer).json(f"{path}/detailed")
-    clean = {k: v for k, v in (config or {}).items() if "key" not in k.lower() and "token" not in k.lower()}
     summary.withColumns({
-        "config": F.lit(json.dumps(clean, sort_keys=True)), "written_at": F.current_timestamp(),
+        "config": F.lit(public_config(config)), "written_at": F.current_timestamp(),
     }).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
@@ -95,7 +103,7 @@ def content_hash(df: DataFrame) -> str:
     h = F.xxhash64(row)
     low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
     got = df.agg(F.count("*"), F.sum(low.cast("decimal(20,0)")), F.sum(high.cast("decimal(20,0)"))).first()
-    return hashlib.sha256("|".join(str(v) for v in got).encode()).hexdigest()[:16]
+    return hashlib.sha256("|".join(str(v) for v in got).encode()).hexdigest()
 
 
 def save_vectors(vectors: DataFrame, path: str, source: str, split: str, version: str) -> None:
@@ -117,8 +125,7 @@ def load_vectors(spark: SparkSession, path: str, source: str, split: str, versio
 
 def write_stage_results(stages: DataFrame, path: str, config: Mapping | None = None) -> None:
     """Sample counts and best rewards per stage, with the run's config but no keys."""
-    clean = {k: v for k, v in (config or {}).items() if "key" not in k.lower()}
-    stages.withColumn("config", F.lit(json.dumps(clean, sort_keys=True))).coalesce(1).write.mode("overwrite").json(path)
+    stages.withColumn("config", F.lit(public_config(config))).coalesce(1).write.mode("overwrite").json(path)
 
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:

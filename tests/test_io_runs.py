@@ -68,7 +68,7 @@ def test_reports_splits_and_vectors_on_disk(spark, tmp_path):
     assert readers.load_vectors(spark, *place).count() == 1
     assert readers.load_vectors(spark, *place, rebuild=True) is None
     stages = reports.reward_stages(spark.createDataFrame([("scope", 0, 0.5)], "stage string, epoch int, reward double"))
-    readers.write_stage_results(stages, str(tmp_path / "stages"), {"seed": 1, "anthropic_api_key": "x"})
+    readers.write_stage_results(stages, str(tmp_path / "stages"), {"seed": 1, "api_key": "x"})
     assert json.loads(spark.read.json(str(tmp_path / "stages")).first()["config"]) == {"seed": 1}
 
 
