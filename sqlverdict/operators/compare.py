@@ -8,8 +8,6 @@ pairs they cannot settle ever touch cells again, through equi-joins on position.
 
 from __future__ import annotations
 
-from itertools import combinations, permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +20,8 @@ from sqlverdict.functions.cells import (
 from sqlverdict.session import cut_lineage
 
 PAIR = ("example_id", "pred_id", "gold_id")
-SALTS = 16
+# Rows of a result that meet their pairs in one join partition.
+ROW_BLOCK = 4096
 BROADCAST_PAIRS = 100_000
 PRINTS = ("bag", "raw_cells", "norm_cells", "row_bags", "norm_rows")
 
@@ -163,17 +162,22 @@ def _attach(valued: DataFrame, pairs: DataFrame, side: str, carry=(), small: boo
     """Cells of one side, once per pair that needs them.
 
     ``small`` says the pairs were counted and may be broadcast, so cells stay where
-    they are. Otherwise both inputs are salted by row position, so a result holding
-    a large share of all cells is spread over ``SALTS`` join partitions.
+    they are. Otherwise a result is joined in blocks of ``ROW_BLOCK`` rows, as many as it
+    has, so one that holds a large share of all cells is spread in proportion to its size.
+    Pairs without row counts are joined whole, where the adaptive skew join splits them.
     """
     id_name = "pred_id" if side == "pred" else "gold_id"
     want = pairs.select(*PAIR, *carry)
     mine = valued.filter(F.col("side") == side).drop("side").withColumnRenamed("query_id", id_name)
     if small:
         return mine.join(F.broadcast(want), ["example_id", id_name])
-    want = want.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mine = mine.withColumn("salt", F.pmod("row_idx", F.lit(SALTS)).cast("int"))
-    return mine.join(want, ["example_id", id_name, "salt"]).drop("salt")
+    rows = side[0] + "_n_rows"
+    if rows not in pairs.columns:
+        return mine.join(want, ["example_id", id_name])
+    last = F.floor(F.greatest(F.col(rows) - 1, F.lit(0)) / ROW_BLOCK)
+    want = pairs.select(*PAIR, *carry, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+    mine = mine.withColumn("_block", F.floor(F.col("row_idx") / ROW_BLOCK))
+    return mine.join(want, ["example_id", id_name, "_block"]).drop("_block")
 
 
 def _load_of(todo: DataFrame) -> int:
@@ -258,28 +262,61 @@ def _column_scores(wide: DataFrame, narrow: DataFrame) -> DataFrame:
     )
 
 
-def _best_map_udf():
-    """Best injective column map per pair from its grid of column scores.
+def best_assignment(grid: np.ndarray) -> tuple[int, list[int]]:
+    """Highest sum of one cell per column of ``grid`` from different rows, and the row of each column.
 
-    Built as a closure over nothing but libraries, so that executors need not
-    have this package installed. Candidates are tried in order of combination,
-    then permutation; the first with the highest score wins.
+    Of equal sums the set of rows that comes first in lexicographic order wins, then the first
+    order of that set. Both are ranks of exact integers below the sum, so one solution of the
+    assignment problem decides them at any width.
     """
+    w, n = grid.shape
+    places = w ** n  # orders of chosen rows, as digits of base w
+    sets = places << w  # sets of chosen rows, as bits, the first row highest
+    cost = [[-(int(grid[r, c]) * sets + ((1 << (w - 1 - r)) * places) + (w - 1 - r) * w ** (n - 1 - c)) for r in range(w)] for c in range(n)]
+    # Shortest augmenting paths over potentials, one column of the grid at a time.
+    high, low, owner = [0] * (n + 1), [0] * (w + 1), [0] * (w + 1)
+    for c in range(1, n + 1):
+        owner[0], at = c, 0
+        slack, via, seen = [None] * (w + 1), [0] * (w + 1), [False] * (w + 1)
+        while owner[at]:
+            seen[at] = True
+            row, step, nearest = owner[at], None, 0
+            for r in range(1, w + 1):
+                if seen[r]:
+                    continue
+                gap = cost[row - 1][r - 1] - high[row] - low[r]
+                if slack[r] is None or gap < slack[r]:
+                    slack[r], via[r] = gap, at
+                if step is None or slack[r] < step:
+                    step, nearest = slack[r], r
+            for r in range(w + 1):
+                if seen[r]:
+                    high[owner[r]] += step
+                    low[r] -= step
+                elif slack[r] is not None:
+                    slack[r] -= step
+            at = nearest
+        while at:
+            owner[at], at = owner[via[at]], via[at]
+    chosen = [0] * n
+    for r in range(1, w + 1):
+        if owner[r]:
+            chosen[owner[r] - 1] = r - 1
+    return int(sum(grid[r, c] for c, r in enumerate(chosen))), chosen
+
+
+def _best_map_udf():
+    """Best injective column map per pair from its grid of column scores; the grid is one row of bounded width."""
 
     def best_map(n_wide: pd.Series, n_narrow: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        tables, scores, maps = {}, [], []
+        scores, maps = [], []
         for w, n, cells in zip(n_wide, n_narrow, hits):
-            if (w, n) not in tables:
-                tables[w, n] = np.array(
-                    [p for c in combinations(range(w), n) for p in permutations(c)], dtype=np.int64
-                ).reshape(-1, n)
             grid = np.zeros((w, n), dtype=np.int64)
             for cell in cells:
                 grid[cell["w"], cell["n"]] = cell["hits"]
-            totals = grid[tables[w, n], np.arange(n)].sum(axis=1)
-            best = int(totals.argmax())
-            scores.append(int(totals[best]))
-            maps.append(tables[w, n][best].astype("int32"))
+            score, mapping = best_assignment(grid)
+            scores.append(score)
+            maps.append(np.array(mapping, dtype=np.int32))
         return pd.DataFrame({"score": scores, "mapping": maps})
 
     out = T.StructType([
@@ -294,7 +331,7 @@ def _map_columns(
     """``mapping[j]`` is the wide column for narrow column j; no row without a good map.
 
     ``todo`` carries ``n_wide``, ``n_narrow`` and ``n``, the row count. The list of
-    column scores holds at most max_pred x max_gold entries.
+    column scores holds at most one entry per pair of columns.
     """
     grids = _column_scores(wide, narrow).groupBy(*PAIR).agg(
         F.collect_list(F.struct("w", "n", "hits")).alias("hits")
@@ -308,12 +345,12 @@ def _map_columns(
 
 
 def column_mapping(
-    pairs: DataFrame, cells: DataFrame, max_pred: int = 10, max_gold: int = 5, min_share: float = 0.5
+    pairs: DataFrame, cells: DataFrame, max_pred: int | None = None, max_gold: int | None = None, min_share: float = 0.5
 ) -> DataFrame:
-    """Best map of predicted onto gold columns: one row per gold column.
+    """Best map of predicted onto gold columns, of any width: one row per gold column.
 
-    Pairs outside the width bounds or below ``min_share`` of equal cells have no
-    rows. Rows are aligned by position up to the shorter result.
+    Pairs below ``min_share`` of equal cells, or outside the width bounds if any are
+    set, have no rows. Rows are aligned by position up to the shorter result.
     """
     valued = with_values(cells)
     todo = _mappable(with_profiles(pairs, valued, []), max_pred, max_gold)
@@ -321,10 +358,14 @@ def column_mapping(
     return maps.select(*PAIR, "score", F.posexplode("mapping").alias("gold_col", "pred_col"))
 
 
-def _mappable(shaped: DataFrame, max_pred: int, max_gold: int) -> DataFrame:
+def _within(column: str, bound: int | None) -> Column:
+    return F.lit(True) if bound is None else F.col(column) <= bound
+
+
+def _mappable(shaped: DataFrame, max_pred: int | None, max_gold: int | None) -> DataFrame:
     return shaped.filter(
         (F.col("p_n_rows") > 0) & (F.col("g_n_rows") > 0) & (F.col("p_n_cols") >= F.col("g_n_cols"))
-        & (F.col("p_n_cols") <= max_pred) & (F.col("g_n_cols") <= max_gold)
+        & _within("p_n_cols", max_pred) & _within("g_n_cols", max_gold)
     ).withColumns({
         "n_wide": F.col("p_n_cols"), "n_narrow": F.col("g_n_cols"), "n": F.col("p_n_rows"),
     })
@@ -337,11 +378,8 @@ def project_columns(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     one projected copy per pair, with ``gold_id`` added.
     """
     want = mapping.select(*PAIR, "gold_col", F.col("pred_col").alias("col_idx"))
-    salted = want.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mine = cells.filter("side = 'pred'").withColumnRenamed("query_id", "pred_id").withColumn(
-        "salt", F.pmod("row_idx", F.lit(SALTS)).cast("int")
-    )
-    return mine.join(salted, ["example_id", "pred_id", "col_idx", "salt"]).drop("salt", "col_idx").withColumnsRenamed(
+    mine = cells.filter("side = 'pred'").withColumnRenamed("query_id", "pred_id")
+    return mine.join(want, ["example_id", "pred_id", "col_idx"]).drop("col_idx").withColumnsRenamed(
         {"gold_col": "col_idx", "pred_id": "query_id"}
     )
 
@@ -366,7 +404,7 @@ def _subset(pairs: DataFrame, valued: DataFrame) -> DataFrame:
 
 def match_flex(
     pairs: DataFrame, cells: DataFrame, min_similarity: float = 0.7, tolerance: float = 0.01,
-    max_wide: int = 10, max_narrow: int = 5, min_share: float = 0.5, profiles: DataFrame | None = None,
+    max_wide: int | None = None, max_narrow: int | None = None, min_share: float = 0.5, profiles: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``strict``, ``flex`` and ``rule`` (the first rule that held).
 
@@ -410,7 +448,7 @@ def match_flex(
     todo = state.filter(F.col("rule").isNull() & _same_rows()).withColumns({
         "n_wide": F.greatest("p_n_cols", "g_n_cols"), "n_narrow": F.least("p_n_cols", "g_n_cols"),
         "n": F.col("p_n_rows"), "pred_wide": wide_pred,
-    }).filter((F.col("n_wide") <= max_wide) & (F.col("n_narrow") <= max_narrow))
+    }).filter(_within("n_wide", max_wide) & _within("n_narrow", max_narrow))
     if load := _load_of(todo):
         small = load <= BROADCAST_PAIRS
         pred_cells = _attach(valued, todo, "pred", ["pred_wide"], small)

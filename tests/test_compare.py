@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,9 +56,27 @@ def test_golden_cases(spark):
         assert got[str(n)][f"rule_{rule}"] is want, (rule, p, g)
 
 
-def test_no_map_beyond_width_bounds(spark):
-    pairs, cells = tables(spark, [("w", False, [tuple(range(11))], [(1, 2)])])
-    assert compare.column_mapping(pairs, cells).count() == 0
+def test_map_of_any_width(spark):
+    gold = [tuple(range(k * 100, k * 100 + 12)) for k in range(3)]
+    pred = [tuple(["x"] * 4 + list(r[::-1]) + ["y"] * 4) for r in gold]
+    pairs, cells = tables(spark, [("w", False, pred, gold), ("v", False, [tuple(range(11))], [(1, 2)])])
+    got = {(r["example_id"], r["gold_col"]): (r["pred_col"], r["score"]) for r in compare.column_mapping(pairs, cells).collect()}
+    assert got == {("w", c): (15 - c, 36) for c in range(12)} | {("v", 0): (1, 2), ("v", 1): (2, 2)}
+    assert {r["example_id"]: r["flex"] for r in compare.match_flex(pairs, cells).collect()} == {"w": True, "v": True}
+    assert compare.column_mapping(pairs, cells, max_pred=10, max_gold=5).count() == 0
+
+
+def test_best_assignment_ties():
+    """The first set of columns, then the first order, as if all candidates were tried in turn."""
+    rng = random.Random(3)
+    for _ in range(300):
+        w = rng.randint(1, 5)
+        n = rng.randint(1, w)
+        grid = np.array([[rng.choice((0, 0, 1, 2)) for _ in range(n)] for _ in range(w)])
+        tried = [p for c in itertools.combinations(range(w), n) for p in itertools.permutations(c)]
+        totals = [sum(grid[r, c] for c, r in enumerate(p)) for p in tried]
+        best = totals.index(max(totals))
+        assert compare.best_assignment(grid) == (totals[best], list(tried[best]))
 
 
 def _random_result(rng, pool, rows=None, cols=None):
