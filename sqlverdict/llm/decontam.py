@@ -173,10 +173,11 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LE
 
 
 def report(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST_WORDS) -> DataFrame:
-    """Per document the items it holds in order, the fewest errors among them, and ``contaminated``."""
+    """Per document the items it holds in order, the fewest errors among them, ``contaminated`` and its opposite ``kept``."""
     found = hits(docs, items, rate, least).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.min("errors").alias("errors"))
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     none = F.array().cast("array<bigint>")
     return ids.join(found, "doc_id", "left").select(
-        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), "errors")
+        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), "errors",
+        F.col("item_ids").isNull().alias("kept"))
