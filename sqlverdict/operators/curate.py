@@ -12,11 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlverdict.functions.pytext import strip
+from sqlverdict.operators.examples import complete, derive_category, first_nonblank, present
 from sqlverdict.operators.numbering import dense_index, first_per_group
 from sqlverdict.schema import AMBIGUITY_TYPES, CATEGORY_IDS
 
 BROADCAST_GROUPS = 200_000
 
+# Labels of sources that hold one kind of question.
+SOURCE_LABELS = {"ambiqt": "AA", "spider": "AU"}
 # Stage order with its epochs, and the caps of the training mixture.
 STAGE_EPOCHS = {"scope": 2, "attachment": 2, "vague": 3, "mixed": 3}
 MIXTURE_CAPS = {
@@ -67,6 +71,20 @@ def capped_sample(
     return first_per_group(keyed, cap, list(by), "_k", key).drop("_k")
 
 
+def classifier_rows(raw: DataFrame, source: str) -> DataFrame:
+    """(id, split, db_dump, question, label) of a source for the question classifier.
+
+    Sources of one kind of question have its label; for all others the question's flags decide and
+    rows they cannot tell go. A given category column is not read. Questions must not be
+    blank, dumps may be.
+    """
+    fixed = SOURCE_LABELS.get(source)
+    label = F.lit(fixed) if fixed else derive_category("flags")
+    return complete(raw).filter(present("question") & label.isNotNull()).select(
+        F.col("row_idx").alias("id"), strip(F.col("split")).alias("split"), first_nonblank("db_dump_processed").alias("db_dump"),
+        strip(F.col("question")).alias("question"), label.alias("label"))
+
+
 def mixture(
     sources: Mapping[str, DataFrame], caps: Mapping[str, Mapping[str, tuple[str, int | None]]] = MIXTURE_CAPS,
     seed: int = 42, key: str = "id",

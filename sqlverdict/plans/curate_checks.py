@@ -90,18 +90,24 @@ def capped_sample(spark, sf):
     return curate.capped_sample(fx.examples(spark, sf), 15, ["dataset", "gt_category"], key="doc_id").select("doc_id")
 
 
+def _classifier_sources(spark, sf):
+    """Raw rows of the documents' four languages as three sources."""
+    raw = fx.raw_rows(spark, sf).join(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "lang"), "row_idx")
+    langs = {"ambrosia": ("en", "es"), "ambiqt": ("de",), "spider": ("fr",)}
+    return {n: curate.classifier_rows(raw.filter(F.col("lang").isin(*codes)), n) for n, codes in langs.items()}
+
+
+def classifier_rows(spark, sf):
+    parts = [df.withColumn("dataset", F.lit(n)) for n, df in _classifier_sources(spark, sf).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "dataset", "split", "db_dump", F.md5("question").alias("question"), "label")
+
+
 def mixture(spark, sf):
-    """Documents of four languages as three sources with a split each."""
-    d = fx.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), "lang",
-        F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "validation").otherwise("test").alias("split"),
-        F.when(F.col("doc_id") % 3 == 0, "U").when(F.col("doc_id") % 3 == 1, "AA").otherwise("AU").alias("label"))
-    langs = {"ambrosia": "en", "ambiqt": "de", "spider": "fr"}
+    """Labelled rows of documents in four languages, capped per source and split."""
     caps = {"train": {"ambrosia": ("train", 100), "ambiqt": ("train", 20), "spider": ("train", 20)},
             "validation": {"ambrosia": ("validation", 30), "ambiqt": ("test", 10), "spider": ("validation", 10)},
             "test": {"ambrosia": ("test", None)}}
-    out = curate.mixture({n: d.filter(F.col("lang") == lang).drop("lang") for n, lang in langs.items()}, caps)
-    return out.select("id", "split", "dataset", "label", "label_id")
+    return curate.mixture(_classifier_sources(spark, sf), caps).select("id", "split", "dataset", "label", "label_id")
 
 
 def balanced_sample(spark, sf):
@@ -245,7 +251,7 @@ QUERIES = {
     "load_corpus_ambiguous": load_corpus_ambiguous, "load_training": load_training, "derive_category": derive_category,
     "split_gold": split_gold, "parse_gold_list": parse_gold_list, "lda_rows": lda_rows, "question_rules": question_rules,
     "unanswerable_gold": unanswerable_gold, "group_split": group_split, "split_audit": split_audit, "split_types": split_types,
-    "capped_sample": capped_sample, "mixture": mixture, "balanced_sample": balanced_sample, "curriculum": curriculum,
+    "capped_sample": capped_sample, "mixture": mixture, "classifier_rows": classifier_rows, "balanced_sample": balanced_sample, "curriculum": curriculum,
     "curriculum_capped": curriculum_capped, "training_rows": training_rows, "fewshot_prompt": fewshot_prompt,
     "generation_request": generation_request, "correction_request": correction_request, "run_packs": run_packs,
     "run_pack_scores": run_pack_scores, "rule_columns": rule_columns, "reward_columns": reward_columns,
@@ -265,6 +271,14 @@ def _raw(tail):
     return f"WITH {fx.SQL_RAW}\n{tail}"
 
 
+_CLASSIFIER = """, labelled AS (SELECT row_idx AS id, dataset, trim(split) AS split, trim(db_dump_processed) AS db_dump, trim(question, ' ' || chr(9) || chr(10) || chr(13)) AS question,
+  CASE dataset WHEN 'ambiqt' THEN 'AA' WHEN 'spider' THEN 'AU' ELSE CASE WHEN question_type = 'unanswerable' THEN 'U' WHEN upper(is_ambiguous) = 'TRUE' THEN 'AA' WHEN upper(is_ambiguous) = 'FALSE' THEN 'AU' END END AS label
+  FROM (SELECT raw.*, CASE d.lang WHEN 'de' THEN 'ambiqt' WHEN 'fr' THEN 'spider' ELSE 'ambrosia' END AS dataset
+    FROM raw JOIN documents d ON d.doc_id = raw.row_idx WHERE d.lang IN ('en', 'es', 'de', 'fr'))
+  WHERE trim(question, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND label IS NOT NULL)
+"""
+
+
 def _ex(tail):
     return f"WITH {fx.SQL_EXAMPLES}{',' if tail.startswith('gs AS') else ''}\n{tail}"
 
@@ -347,13 +361,12 @@ CASE WHEN {_CAT} = 'AA' THEN ambig_type END AS corpus_type, CASE WHEN {_CAT} = '
     "split_audit": _ex(f"{_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT db_id) AS groups, 0 AS shared_groups FROM sp GROUP BY 1"),
     "split_types": _ex(f"{_SPLIT} SELECT split, ambig_type AS label, count(*) AS n, 100 * count(*) / t AS pct FROM sp JOIN (SELECT split, count(*) AS t FROM sp GROUP BY 1) USING (split) GROUP BY 1, 2, t"),
     "capped_sample": _ex("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY dataset, gt_category ORDER BY md5(concat('42', doc_id)), doc_id) AS r FROM fx_examples) WHERE r <= 15"),
-    "mixture": """WITH d AS (SELECT doc_id AS id, lang, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split,
-  CASE doc_id % 3 WHEN 0 THEN 'U' WHEN 1 THEN 'AA' ELSE 'AU' END AS label, CASE lang WHEN 'en' THEN 'ambrosia' WHEN 'de' THEN 'ambiqt' WHEN 'fr' THEN 'spider' END AS dataset FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY md5(concat('42', id)), id) AS r FROM d WHERE dataset IS NOT NULL),
+    "classifier_rows": _raw(_CLASSIFIER + "SELECT id, dataset, split, db_dump, md5(question) AS question, label FROM labelled"),
+    "mixture": _raw(_CLASSIFIER + """, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY md5(concat('42', id)), id) AS r FROM labelled),
 u AS (SELECT id, 'train' AS split, dataset, label FROM r WHERE split = 'train' AND r <= CASE dataset WHEN 'ambrosia' THEN 100 ELSE 20 END
   UNION ALL SELECT id, 'validation', dataset, label FROM r WHERE split = CASE dataset WHEN 'ambiqt' THEN 'test' ELSE 'validation' END AND r <= CASE dataset WHEN 'ambrosia' THEN 30 ELSE 10 END
   UNION ALL SELECT id, 'test', dataset, label FROM r WHERE split = 'test' AND dataset = 'ambrosia')
-SELECT id, split, dataset, label, CASE label WHEN 'U' THEN 0 WHEN 'AA' THEN 1 ELSE 2 END AS label_id FROM u""",
+SELECT id, split, dataset, label, CASE label WHEN 'U' THEN 0 WHEN 'AA' THEN 1 ELSE 2 END AS label_id FROM u"""),
     "balanced_sample": _ex("""SELECT doc_id, ambig_type FROM (SELECT *, row_number() OVER (PARTITION BY ambig_type ORDER BY md5(concat('42', doc_id)), doc_id) AS r FROM fx_examples)
 WHERE r <= 10 OR ambig_type NOT IN ('scope', 'attachment', 'vague')"""),
     "curriculum": _ex("""SELECT doc_id, stage, stage_num, CASE WHEN stage IN ('scope', 'attachment') THEN 2 ELSE 3 END AS epochs, md5(concat(42 + stage_num, doc_id)) AS shuffle_key FROM (
