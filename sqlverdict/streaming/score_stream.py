@@ -1,4 +1,10 @@
-"""Incremental scoring: arriving runs and cells become appended scores."""
+"""Incremental scoring: arriving runs and cells become appended scores.
+
+Runs and cells are flat files, a row per statement and a row per cell, so a result may be
+of any size. They are written first, below ``runs/part=<p>`` and ``cells/part=<p>``; then a
+marker per example says in which part they are and how many there should be. Markers
+are what is streamed: a micro-batch reads only the parts it names.
+"""
 
 from __future__ import annotations
 
@@ -8,39 +14,59 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sqlverdict.operators.score import evaluate
 
-RECORDS = (
-    "example_id STRING, runs ARRAY<STRUCT<side: STRING, query_id: STRING, pos: INT, sql: STRING, ordered: BOOLEAN, "
-    "ok: BOOLEAN, error: STRING>>, cells ARRAY<STRUCT<side: STRING, query_id: STRING, row_idx: BIGINT, col_idx: INT, "
-    "kind: STRING, num: DOUBLE, str: STRING>>"
-)
+MARKERS = "example_id STRING, part STRING, n_runs BIGINT, n_cells BIGINT"
+RUNS = ("example_id STRING, side STRING, query_id STRING, pos INT, sql STRING, ordered BOOLEAN, ok BOOLEAN, error STRING, part STRING")
+CELLS = ("example_id STRING, side STRING, query_id STRING, row_idx BIGINT, col_idx INT, kind STRING, num DOUBLE, str STRING, part STRING")
+#: Statuses of examples whose scores stand.
+SCORED = ("ok", "unanswerable")
+
 
+def arrived(markers: DataFrame, runs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(example_id, error): NULL where as many runs and cells are there as the marker says."""
+    counted = [df.groupBy("example_id").agg(F.count("*").alias(name)) for df, name in ((runs, "_r"), (cells, "_c"))]
+    both = markers.join(counted[0], "example_id", "left").join(counted[1], "example_id", "left").fillna(0, ["_r", "_c"])
+    short = (F.col("_r") != F.col("n_runs")) | (F.col("_c") != F.col("n_cells"))
+    return both.select("example_id", F.when(short, F.format_string(
+        "%d of %d runs, %d of %d cells", "_r", "n_runs", "_c", "n_cells")).alias("error"))
 
-def score_batch(records: DataFrame, dedup: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(scores, errors) of one batch; examples that could not be scored go to errors, not away."""
-    runs = records.select("example_id", F.explode("runs").alias("r")).select("example_id", "r.*")
-    cells = records.select("example_id", F.explode("cells").alias("c")).select("example_id", "c.*")
-    scores = evaluate(runs, cells, dedup)
-    return scores, scores.filter("status LIKE 'gold%'").select("example_id", "status", "error")
 
+def score_batch(markers: DataFrame, runs: DataFrame, cells: DataFrame, dedup: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(scores, errors) of one batch; examples that could not be scored go to errors, not away.
+
+    An example with missing or surplus rows has the status ``incomplete`` and no score; one
+    whose gold cannot be used has a zero score and an error row; so has any other status.
+    """
+    markers = markers.dropDuplicates(["example_id"])
+    mine = [df.join(markers.select("example_id"), "example_id", "left_semi") for df in (runs, cells)]
+    state = arrived(markers, *mine)
+    complete = state.filter("error IS NULL").select("example_id")
+    scores = evaluate(*[df.join(complete, "example_id", "left_semi").drop("part") for df in mine], dedup)
+    failed = scores.filter(~F.col("status").isin(*SCORED)).select("example_id", "status", "error")
+    return scores, failed.unionByName(state.filter("error IS NOT NULL").select("example_id", F.lit("incomplete").alias("status"), "error"))
 
-def score_stream(records: DataFrame, out: str, checkpoint: str, dedup: bool = True) -> StreamingQuery:
-    """Scores whatever has arrived, then stops; a restart goes on after the last batch.
+
+def score_stream(markers: DataFrame, path: str, out: str, checkpoint: str, dedup: bool = True) -> StreamingQuery:
+    """Scores whatever has arrived below ``path``, then stops; a restart goes on after the last batch.
 
     Each micro-batch overwrites its own folder, so a repeated batch leaves no
     second copy. An infrastructure failure fails the query.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scores, errors = score_batch(batch, dedup)
+        spark = batch.sparkSession
+        parts = [r["part"] for r in batch.select("part").distinct().toLocalIterator()]
+        runs, cells = (spark.read.schema(schema).json(f"{path}/{kind}").filter(F.col("part").isin(parts))
+                       for kind, schema in (("runs", RUNS), ("cells", CELLS)))
+        scores, errors = score_batch(batch.drop("part"), runs, cells, dedup)
         scores.write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
         errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
 
-    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return markers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_records(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """A folder of JSON example records as a stream."""
-    return spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", max_files).json(path)
+def read_markers(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """The JSON markers below ``path/markers`` as a stream; ``max_files`` is a rate per batch."""
+    return spark.readStream.schema(MARKERS).option("maxFilesPerTrigger", max_files).json(f"{path}/markers")
 
 
 def running_totals(spark: SparkSession, out: str) -> DataFrame:
@@ -48,3 +74,8 @@ def running_totals(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.parquet(f"{out}/scores")
     return rows.groupBy("status").agg(
         F.count("*").alias("n"), F.avg("f1").alias("avg_f1"), F.avg("f1_flex").alias("avg_f1_flex"))
+
+
+def error_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Examples by the kind of error that kept them from a score."""
+    return spark.read.parquet(f"{out}/errors").groupBy("status").agg(F.count("*").alias("n"))

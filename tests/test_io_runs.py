@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def test_reports_splits_and_vectors_on_disk(spark, tmp_path):
     assert json.loads(spark.read.json(str(tmp_path / "stages")).first()["config"]) == {"seed": 1}
 
 
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    for name, first in (("b", 3), ("a", 0)):
+        (tmp_path / f"{name}.csv").write_text("split,question\n" + "".join(f"test,q{first + k}\n" for k in range(3)))
+    got = readers.read_examples(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [(r["row_idx"], r["question"]) for r in got] == [(k, f"q{k}") for k in range(6)]
+
+
+def test_last_row_wins_without_times(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text("".join(json.dumps({"id": i, "f1": k + j / 10}) + "\n" for j in range(3) for i in "ab"))
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))
+    assert {r["id"]: r["f1"] for r in read_checkpoint(spark, str(tmp_path), "id string, f1 double").collect()} == {"a": 2.2, "b": 2.2}
+
+
 def test_dense_index_is_dense_and_ordered(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1009).repartition(7)
     got = dense_index(df, "i", "k").orderBy("k").select("i").collect()
@@ -118,22 +133,31 @@ def test_databases_are_kept_apart_and_runs_resume(spark, tmp_path):
 def test_stream_scores_what_arrives_once(spark, tmp_path):
     source, out, ck = (str(tmp_path / d) for d in ("in", "out", "ck"))
 
-    def arrive(name, value):
+    def write(kind, part, rows):
+        folder = tmp_path / "in" / kind / (f"part={part}" if kind != "markers" else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{part}.json").write_text("\n".join(map(json.dumps, rows)))
+
+    def arrive(name, value, rows=1, missing=0):
         side = [("gold", "g0", "a"), ("pred", "p0", "b")]
-        record = {"example_id": name,
-                  "runs": [{"side": s, "query_id": q, "pos": 0, "sql": t, "ordered": False, "ok": True} for s, q, t in side],
-                  "cells": [{"side": s, "query_id": q, "row_idx": 0, "col_idx": 0, "kind": "num", "num": v}
-                            for (s, q, _), v in zip(side, (1.0, value))]}
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(record))
+        write("runs", name, [{"example_id": name, "side": s, "query_id": q, "pos": 0, "sql": t, "ordered": False, "ok": True} for s, q, t in side])
+        cells = [{"example_id": name, "side": s, "query_id": q, "row_idx": r, "col_idx": 0, "kind": "num", "num": v + r}
+                 for (s, q, _), v in zip(side, (1.0, value)) for r in range(rows)]
+        write("cells", name, cells[missing:])
+        write("markers", name, [{"example_id": name, "part": name, "n_runs": 2, "n_cells": len(cells)}])
 
     arrive("hit", 1.0)
-    ss.score_stream(ss.read_records(spark, source), out, ck).awaitTermination()
+    ss.score_stream(ss.read_markers(spark, source), source, out, ck).awaitTermination()
     arrive("miss", 5.0)
-    ss.score_stream(ss.read_records(spark, source), out, ck).awaitTermination()
+    arrive("long", 1.0, rows=3000)
+    arrive("short", 1.0, missing=1)
+    ss.score_stream(ss.read_markers(spark, source), source, out, ck).awaitTermination()
     got = {r["example_id"]: r["f1"] for r in spark.read.parquet(out + "/scores").collect()}
-    assert got == {"hit": 1.0, "miss": 0.0}
-    assert ss.running_totals(spark, out).first()["n"] == 2
+    assert got == {"hit": 1.0, "miss": 0.0, "long": 1.0}
+    assert ss.running_totals(spark, out).first()["n"] == 3
+    errors = spark.read.parquet(out + "/errors").collect()
+    assert [(r["example_id"], r["status"], r["error"]) for r in errors] == [("short", "incomplete", "2 of 2 runs, 1 of 2 cells")]
+    assert {r["status"]: r["n"] for r in ss.error_totals(spark, out).collect()} == {"incomplete": 1}
 
 
 def test_evaluate_reads_initial_statements_too(spark):
