@@ -15,11 +15,14 @@ FAN_IN = 16
 
 @dataclass(frozen=True)
 class LdaModel:
-    """One coefficient row per class, classes in sorted order."""
+    """One coefficient row per class, classes in sorted order, and the moments they come from."""
 
     classes: tuple[str, ...]
     coef: np.ndarray
     intercept: np.ndarray
+    counts: np.ndarray
+    means: np.ndarray
+    covariance: np.ndarray
 
 
 def _moments(label: str, vector: str):
@@ -108,7 +111,7 @@ def lda_fit(vectors: DataFrame, label: str, vector: str = "embedding", tol: floa
     offsets = (means - centre) @ white
     coef = offsets @ white.T
     intercept = -0.5 * (offsets**2).sum(axis=1) + np.log(priors) - coef @ centre
-    return LdaModel(classes, coef, intercept)
+    return LdaModel(classes, coef, intercept, counts, means, within / (total - k))
 
 
 def lda_predict(vectors: DataFrame, model: LdaModel, top_k: int = 1, vector: str = "embedding") -> DataFrame:

@@ -12,7 +12,24 @@ from sqlverdict.operators.curate import capped_sample
 from sqlverdict.functions.pytext import strip
 from sqlverdict.schema import CATEGORY_NAMES
 
-# Formats of few-shot and retry texts, and the place for error lists.
+# The texts of few-shot, retry and repair prompts, and the place for error lists.
+CLASSIFICATION_HEAD = "**Question Classification:**\n\nClassification probabilities:\n"
+PROBABILITY_LINE = "  - {name}: %.4f\n"
+LIKELY_HEAD, LIKELY_TAIL = "\nThe question is most likely: **", "**\n\n"
+SHOWN_SAME, SHOWN_OTHER, SHOWN_TAIL = "Showing {n} example(s) from **", "** category and {n} example(s) from **", "** category.\n\n"
+HEADER_END = "---\n\n"
+EXAMPLE_HEAD, EXAMPLE_CATEGORY, EXAMPLE_TYPE = "**Example ", "** (Category: ", ", Ambiguity Type: "
+EXAMPLE_SCHEMA, EXAMPLE_QUESTION = "):\n\nDatabase Schema:\n", "\n\nQuestion: "
+MANY_QUERIES_HEAD, MANY_QUERIES_TAIL = "\n\n**This question has ", " valid SQL queries:**"
+ONE_QUERY = "\n\n**This question has 1 valid SQL query:**"
+EXAMPLE_SQL = "\n\nSQL "
+RETRY_HEAD = "\n\n**RETRY CONTEXT - Previous Attempt Failed:**\n"
+RETRY_ERRORS = "\n**Previous SQL Execution Errors:**\n"
+RETRY_GUIDANCE = "\n**Failure Analysis and Guidance:**\n"
+RETRY_TAIL = ("\n**IMPORTANT:** Use the schema and error information above to avoid making the same mistakes. "
+              "Generate corrected SQL queries.\n")
+NO_EXAMPLES = "No examples provided."
+ERRORS_HEAD = "The following execution errors occurred:\n\nExecution Errors:\n"
 ERRORS_BEFORE = "Review the question, interpretations and queries thoroughly"
 
 
@@ -33,17 +50,16 @@ def _category_name(c: Column) -> Column:
 
 
 def _header(k_same: int | None, k_other: int | None) -> Column:
-    rows = [F.lit("**Question Classification:**\n\nClassification probabilities:\n")]
+    rows = [F.lit(CLASSIFICATION_HEAD)]
     for cat, col in (("U", "p_u"), ("AA", "p_aa"), ("AU", "p_au")):
-        rows.append(F.format_string(f"  - {CATEGORY_NAMES[cat]}: %.4f\n", F.coalesce(F.col(col), F.lit(0.0))))
+        rows.append(F.format_string(PROBABILITY_LINE.format(name=CATEGORY_NAMES[cat]), F.coalesce(F.col(col), F.lit(0.0))))
     name = _category_name(F.col("category"))
     other = F.when(F.col("category") == "AA", "AU").when(F.col("category") == "AU", "AA").otherwise("AA/AU")
-    rows.append(F.concat(F.lit("\nThe question is most likely: **"), name, F.lit("**\n\n")))
+    rows.append(F.concat(F.lit(LIKELY_HEAD), name, F.lit(LIKELY_TAIL)))
     if k_same and k_other:
         rows.append(F.concat(
-            F.lit(f"Showing {k_same} example(s) from **"), name, F.lit(f"** category and {k_other} example(s) from **"),
-            _category_name(other), F.lit("** category.\n\n")))
-    return F.concat(*rows, F.lit("---\n\n"))
+            F.lit(SHOWN_SAME.format(n=k_same)), name, F.lit(SHOWN_OTHER.format(n=k_other)), _category_name(other), F.lit(SHOWN_TAIL)))
+    return F.concat(*rows, F.lit(HEADER_END))
 
 
 def fewshot_text(
@@ -59,15 +75,14 @@ def fewshot_text(
         corpus.select("vec_id", "question", "category", "ambig_type", "db_dump", "gold_queries"), "vec_id")
     typed = (F.col("category") == "AA") & (F.coalesce(F.col("ambig_type"), F.lit("")) != "")
     part = F.concat(
-        F.lit("**Example "), F.col("rank").cast("string"), F.lit("** (Category: "), _category_name(F.col("category")),
-        F.when(typed, F.concat(F.lit(", Ambiguity Type: "), "ambig_type")).otherwise(""), F.lit("):\n\nDatabase Schema:\n"),
-        strip(strip_inserts(F.coalesce("db_dump", F.lit("")), any_case=False)), F.lit("\n\nQuestion: "), "question")
+        F.lit(EXAMPLE_HEAD), F.col("rank").cast("string"), F.lit(EXAMPLE_CATEGORY), _category_name(F.col("category")),
+        F.when(typed, F.concat(F.lit(EXAMPLE_TYPE), "ambig_type")).otherwise(""), F.lit(EXAMPLE_SCHEMA),
+        strip(strip_inserts(F.coalesce("db_dump", F.lit("")), any_case=False)), F.lit(EXAMPLE_QUESTION), "question")
     if include_sql:
         n = F.coalesce(F.size("gold_queries"), F.lit(0))
-        count = F.when(n > 1, F.concat(F.lit("\n\n**This question has "), n.cast("string"), F.lit(" valid SQL queries:**"))).otherwise(
-            "\n\n**This question has 1 valid SQL query:**")
+        count = F.when(n > 1, F.concat(F.lit(MANY_QUERIES_HEAD), n.cast("string"), F.lit(MANY_QUERIES_TAIL))).otherwise(ONE_QUERY)
         numbered = F.transform("gold_queries", lambda q, i: F.concat(
-            F.lit("\n\nSQL "), (i + 1).cast("string"), F.lit(": "), q))
+            F.lit(EXAMPLE_SQL), (i + 1).cast("string"), F.lit(": "), q))
         part = F.concat(part, F.when(n > 0, F.concat(count, F.array_join(numbered, ""))).otherwise(""))
     texts = near.select("query_id", F.struct("rank", part.alias("text")).alias("p")).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]).alias("parts"))
@@ -89,11 +104,10 @@ def generation_request(df: DataFrame, template: str, system: str = "", max_error
     has_errors = F.coalesce(F.size("previous_errors") > 0, F.lit(False))
     has_guidance = F.coalesce(F.col("retry_guidance") != "", F.lit(False))
     retry = F.concat(
-        F.lit("\n\n**RETRY CONTEXT - Previous Attempt Failed:**\n"),
-        F.when(has_errors, F.concat(F.lit("\n**Previous SQL Execution Errors:**\n"), F.array_join(listed, ""))).otherwise(""),
-        F.when(has_guidance, F.concat(F.lit("\n**Failure Analysis and Guidance:**\n"), "retry_guidance", F.lit("\n"))).otherwise(""),
-        F.lit("\n**IMPORTANT:** Use the schema and error information above to avoid making the same mistakes. "
-              "Generate corrected SQL queries.\n"))
+        F.lit(RETRY_HEAD),
+        F.when(has_errors, F.concat(F.lit(RETRY_ERRORS), F.array_join(listed, ""))).otherwise(""),
+        F.when(has_guidance, F.concat(F.lit(RETRY_GUIDANCE), "retry_guidance", F.lit("\n"))).otherwise(""),
+        F.lit(RETRY_TAIL))
     return df.withColumns({
         "system": F.lit(system), "user": F.when(has_errors | has_guidance, F.concat(retry, user)).otherwise(user)})
 
@@ -105,11 +119,11 @@ def correction_request(df: DataFrame, template: str, system: str = "", anchor: s
     """
     queries = F.array_join(F.transform("sql_queries", lambda q, i: F.concat(
         F.lit("Query "), (i + 1).cast("string"), F.lit(":\n"), q)), "\n\n")
-    shown = F.coalesce(F.nullif(F.col("examples_text"), F.lit("")), F.lit("No examples provided."))
+    shown = F.coalesce(F.nullif(F.col("examples_text"), F.lit("")), F.lit(NO_EXAMPLES))
     user = fill(template, db_schema=F.col("db_schema"), question=F.col("question"), examples_text=shown, queries_text=queries)
     errors = F.filter("execution_errors", lambda e: e.isNotNull() & (e != ""))
     block = F.concat(
-        F.lit("The following execution errors occurred:\n\nExecution Errors:\n"),
+        F.lit(ERRORS_HEAD),
         F.array_join(F.transform(errors, lambda e: F.concat(F.lit("- "), e)), "\n"), F.lit("\n\n" + anchor))
     has = F.coalesce(F.size("execution_errors") > 0, F.lit(False))
     return df.withColumns({

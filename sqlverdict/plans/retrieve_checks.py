@@ -78,6 +78,24 @@ def softmax_route(spark, sf):
         "doc_id", "category", "validated", *[F.round(p, 6).alias(p) for p in ("p_u", "p_aa", "p_au")])
 
 
+def _model(spark, sf):
+    return lda.lda_fit(fx.vectors(spark, sf, "corpus").filter("ambig_type IS NOT NULL"), "ambig_type")
+
+
+def lda_means(spark, sf):
+    """Class counts and means that the classifier is fitted from."""
+    m = _model(spark, sf)
+    rows = [(c, int(n), i, float(v)) for c, n, mean in zip(m.classes, m.counts, m.means) for i, v in enumerate(mean)]
+    return spark.createDataFrame(rows, "ambig_type string, n bigint, dim int, mean double").withColumn("mean", F.round("mean", 6) + 0.0)
+
+
+def lda_covariance(spark, sf):
+    """The pooled covariance within classes."""
+    m = _model(spark, sf)
+    rows = [(i, j, float(v)) for i, row in enumerate(m.covariance) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "i int, j int, value double").withColumn("value", F.round("value", 6) + 0.0)
+
+
 def lda_predict(spark, sf):
     q, c = _sides(spark, sf)
     model = lda.lda_fit(c.filter("ambig_type IS NOT NULL"), "ambig_type")
@@ -96,7 +114,7 @@ def lda_topk_accuracy(spark, sf):
 QUERIES = {
     "topk": topk, "topk_grid": topk_grid, "topk_by_category": topk_by_category, "topk_by_type": topk_by_type,
     "hybrid_rerank": hybrid_rerank, "retrieval_policy": retrieval_policy, "policy_predicted": policy_predicted, "vote_share": vote_share,
-    "tfidf_sim": tfidf_sim, "softmax_route": softmax_route, "lda_predict": lda_predict,
+    "tfidf_sim": tfidf_sim, "softmax_route": softmax_route, "lda_predict": lda_predict, "lda_means": lda_means, "lda_covariance": lda_covariance,
     "lda_topk_accuracy": lda_topk_accuracy,
 }
 
@@ -138,6 +156,10 @@ fill AS (SELECT query_id, vec_id, cq, similarity, {k} - miss + n AS rank FROM (S
   FROM (SELECT *, {_TOP} AS place FROM sims) s JOIN shortq USING (query_id) WHERE place <= miss + 1 AND miss > 0 AND qq <> cq) WHERE n <= miss)"""
 
 
+_LDA = """flat AS (SELECT vec_id, ambig_type, count(*) OVER (PARTITION BY ambig_type, dim) AS n, dim, x FROM (
+  SELECT vec_id, ambig_type, unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM fx_vec WHERE part = 'corpus' AND ambig_type IS NOT NULL))"""
+
+
 def _sql(*ctes: str, tail: str) -> str:
     return "WITH " + ",\n".join((fx.SQL_VEC, *ctes)) + "\n" + tail
 
@@ -178,6 +200,13 @@ pr AS (SELECT a.id AS query_id, b.id AS vec_id FROM tt a JOIN tt b ON a.conv_id
 SELECT pr.query_id, pr.vec_id, round(coalesce(any_value(d.s), 0), 6) AS structural FROM pr LEFT JOIN (
   SELECT pr.query_id, pr.vec_id, sum(a.w * b.w) AS s FROM pr JOIN wt a ON a.side = 'q' AND a.id = pr.query_id JOIN wt b ON b.side = 'c' AND b.id = pr.vec_id AND b.term = a.term GROUP BY 1, 2) d
   ON d.query_id = pr.query_id AND d.vec_id = pr.vec_id GROUP BY 1, 2""",
+    "lda_means": _sql(_LDA, tail="""
+SELECT ambig_type, any_value(n) AS n, (dim - 1)::INT AS dim, round(avg(x), 6) + 0.0 AS mean FROM flat GROUP BY ambig_type, dim"""),
+    "lda_covariance": _sql(_LDA, tail="""
+, centred AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY ambig_type, dim) AS x FROM flat),
+k AS (SELECT count(*) - count(DISTINCT ambig_type) AS free FROM fx_vec WHERE part = 'corpus' AND ambig_type IS NOT NULL)
+SELECT (a.dim - 1)::INT AS i, (b.dim - 1)::INT AS j, round(sum(a.x * b.x) / any_value(free), 6) + 0.0 AS value
+FROM centred a JOIN centred b ON a.vec_id = b.vec_id, k GROUP BY 1, 2"""),
     "softmax_route": f"""WITH {fx.SQL_LOGITS}, e AS (SELECT *, exp(l_u) AS a, exp(l_aa) AS b, exp(l_au) AS c FROM fx_logits),
 g AS (SELECT *, CASE WHEN l_u >= l_aa AND l_u >= l_au THEN 'U' WHEN l_aa >= l_au THEN 'AA' ELSE 'AU' END AS cat FROM e)
 SELECT doc_id, CASE WHEN cat = 'U' AND doc_id % 3 = 0 THEN 'AA' ELSE cat END AS category, cat = 'U' AND verdict IS NOT NULL AS validated,
