@@ -219,14 +219,14 @@ SQL_EXAMPLES = """fx_examples AS (SELECT doc_id, concat('test_', CAST(doc_id AS
             WHEN doc_id % 3 = 0 THEN 'scope' WHEN doc_id % 3 = 1 THEN 'attachment' ELSE 'vague' END AS ambig_type,
        CAST(doc_id % 5 AS DOUBLE) / 4 AS prec, CAST(doc_id % 4 AS DOUBLE) / 3 AS rec
 FROM (SELECT d.doc_id, d.source, CASE WHEN l.toxic = 1 THEN 'U' WHEN l.quality = 0 THEN 'AA' ELSE 'AU' END AS gt_category
-      FROM documents d JOIN labels l ON d.doc_id = l.doc_id) t)"""
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) t)"""
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source")
     gt = F.when(F.col("toxic") == 1, "U").when(F.col("quality") == 0, "AA").otherwise("AU")
     k = F.col("doc_id")
-    return d.join(table(spark, sf, "labels"), "doc_id").select(
+    return d.join(table(spark, sf, "labels"), "doc_id", "left").select(
         "doc_id", F.concat(F.lit("test_"), k).alias("example_id"), F.concat(F.lit("db"), k % 37).alias("db_id"),
         F.col("source").alias("dataset"), gt.alias("gt_category"),
     ).withColumns({

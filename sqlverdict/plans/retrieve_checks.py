@@ -36,8 +36,7 @@ def topk_by_type(spark, sf):
 
 def hybrid_rerank(spark, sf):
     q, c = _sides(spark, sf)
-    typed = q.filter("ambig_type IS NOT NULL")
-    out = retrieve.hybrid_rerank(typed, c, structural_scorer(q, c), k=5)
+    out = retrieve.hybrid_rerank(q, c, structural_scorer(q, c), k=5)
     return _shown(out, F.round("hybrid", 6).alias("hybrid"), "bucket")
 
 
@@ -177,7 +176,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY simila
     "topk_by_type": _sql(tail="""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bucket DESC, r) AS rank, vec_id, round(similarity, 6) AS similarity, bucket
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY similarity DESC, vec_id) AS r
   FROM (SELECT *, CASE WHEN qt IS NOT DISTINCT FROM ct THEN 'same' ELSE 'other' END AS bucket FROM sims WHERE qq <> cq)) WHERE r <= CASE bucket WHEN 'same' THEN 4 ELSE 2 END"""),
-    "hybrid_rerank": _sql(_STRUCT, _hybrid(0.7, 0.3, 5, "c.qt IS NOT NULL"), tail="""
+    "hybrid_rerank": _sql(_STRUCT, _hybrid(0.7, 0.3, 5, "true"), tail="""
 SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity, round(hybrid, 6) AS hybrid, 'type' AS bucket FROM chosen
 UNION ALL SELECT query_id, rank, vec_id, round(similarity, 6), NULL, 'fill' FROM fill"""),
     "retrieval_policy": _sql(f"""hy AS (SELECT vec_id FROM fx_vec q WHERE part = 'query' AND category = 'AA' AND ambig_type IN ('attachment', 'scope') AND {_CONF} >= 0.7)""",

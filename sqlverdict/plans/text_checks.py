@@ -28,7 +28,7 @@ def _reply_column(expr):
 
 
 def quantifier_marker(spark, sf):
-    d = fx.table(spark, sf, "documents").filter("lang = 'en'")
+    d = fx.table(spark, sf, "documents")
     return d.select("doc_id", tx.quantifier_marker(F.col("text")).alias("marker"))
 
 
@@ -161,7 +161,7 @@ ORACLE = {
     "schema_skeleton": _dumps(f"SELECT db_id, {_SKELETON} AS out FROM fx_dumps"),
     "embedding_text": _dumps(f"SELECT db_id, concat('Question: ', t, chr(10), 'Schema: ', {_SKELETON}) AS out FROM fx_dumps"),
     "quantifier_marker": """SELECT doc_id, CASE WHEN len(q) > 0 THEN concat('QUANT_', array_to_string(q, ' ')) ELSE '' END AS marker FROM (
-SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w IN ('each', 'every', 'all', 'some', 'any')) AS q FROM documents WHERE lang = 'en')""",
+SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w IN ('each', 'every', 'all', 'some', 'any')) AS q FROM documents)""",
     "yes_no": "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'yes') THEN 'yes' WHEN contains(lower(text), 'no') THEN 'no' ELSE 'n/a' END AS answer FROM conversations",
     "extract_statements": _replies(_PARTS.format("""SELECT id, CASE fmt WHEN 3 THEN ['SELECT p_name FROM part', 'SELECT p_size FROM part']
   WHEN 4 THEN ['SELECT p_name FROM part', 'WITH t AS (SELECT 1) SELECT * FROM t'] ELSE [raw_text] END AS l FROM fx_responses""")),
