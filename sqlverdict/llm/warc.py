@@ -36,8 +36,8 @@ from sqlverdict.session import scratch_path
 
 #: Shortest payload that is stored once.
 LEAST = 100
-#: Bytes of an archive that one read task covers, and gaps up to which ranges are read together.
-STRETCH, GAP = 8 << 20, 64 << 10
+#: Bytes of an archive that are planned together, gaps up to which ranges are read together, and bytes that a task reads.
+STRETCH, GAP, TASK = 8 << 20, 64 << 10, 64 << 20
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
@@ -136,7 +136,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(selected: DataFrame) -> DataFrame:
     """Records of the selected index rows; a revisit's payload is empty, its digest that of the payload it refers to."""
-    stretches = selected.groupBy("archive", F.floor(F.col("offset") / STRETCH).alias("stretch")).agg(
+    # Rows of the index say little about the bytes behind them, so the number of tasks follows those bytes.
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // TASK), min(-(-size // STRETCH), selected.sparkSession.sparkContext.defaultParallelism), 1)
+    placed = selected.select("archive", F.floor(F.col("offset") / STRETCH).alias("stretch"), "offset", "length")
+    stretches = placed.repartition(tasks, "archive", "stretch").groupBy("archive", "stretch").agg(
         F.collect_list(F.struct("offset", "length")).alias("ranges"))
     return stretches.select("archive", "ranges").mapInArrow(_read, RECORD)
 
