@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlverdict.llm.common import blocks, extended, texts, without, word_hashes
+from sqlverdict.llm.common import blocks, extended, stored, texts, without, word_hashes
 
 BUCKETS, GRAMS, DIMENSION = 1 << 17, (3, 4), 8
 SAMPLE, EPOCHS, RATE, SEED = 1500, 12, 1.0, 7
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     """A model of ``labels (doc_id, label)``, labels 0 or 1, fitted on a bounded sample of them."""
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    labels = labels.join(ids, "doc_id", "left_semi")
+    labels = stored(labels.join(ids, "doc_id", "left_semi"), "labels")
     count = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     if len(count) < 2:
         share = next(iter(count)) if count else 0.5
@@ -121,13 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     chosen = [labels.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     # At most 2 * sample ids: small enough to broadcast whatever the corpus.
     picked = texts(docs).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    found = picked.mapInArrow(_features, "doc_id long, label int, buckets binary, counts binary").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    rows = []
-    for label, buckets, counts in zip(found["label"], found["buckets"], found["counts"]):
-        counts = np.frombuffer(counts, "<u4").astype(np.float32)
-        if len(counts):
-            rows.append((int(label), np.frombuffer(buckets, "<u4"), counts / counts.sum()))
+    found = stored(picked.mapInArrow(_features, "doc_id long, label int, buckets binary, counts binary"), "features")
+    by_id = {}
+    for row in found.toLocalIterator():  # a row at a time: the driver keeps the arrays only
+        counts = np.frombuffer(row["counts"], "<u4").astype(np.float32)
+        if len(counts) and row["doc_id"] not in by_id:
+            by_id[row["doc_id"]] = row["label"], np.frombuffer(row["buckets"], "<u4"), counts / counts.sum()
+    rows = [by_id[k] for k in sorted(by_id)]
     used = {k: sum(1 for r in rows if r[0] == k) for k in (0, 1)}
     total = sum(count.values())
     weight = {k: count[k] / total * sum(used.values()) / max(used[k], 1) for k in (0, 1)}
