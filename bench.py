@@ -15,7 +15,7 @@ from sqlverdict.session import build_session  # noqa: E402
 HEADLINE = (
     "strict_rate", "match_strict", "match_normalized", "match_semantic", "match_subset", "column_mapping", "match_flex",
     "result_dedup", "example_prf_dedup", "evaluate_guarded", "coverage", "by_type_total", "class_report",
-    "reward_stages", "topk", "topk_by_category", "hybrid_rerank", "tfidf_sim", "softmax_route", "lda_predict",
+    "reward_stages", "topk", "topk_grid", "topk_by_category", "hybrid_rerank", "retrieval_policy", "quality_ranking", "run_packs", "tfidf_sim", "softmax_route", "lda_predict",
     "extract_statements", "reply_queries", "format_reward", "schema_correctness", "load_examples", "load_corpus",
     "group_split", "capped_sample", "curriculum", "fewshot_prompt",
 )
