@@ -9,6 +9,10 @@ extended both ways as far as windows agree: all windows of one fingerprint are c
 id, or further up in the same one) are later repeats. Neighbouring repeats make up runs of any
 length. All lines of later repeats are deleted; the first occurrence stays.
 
+With ``words``, fewer consecutive lines are a run too if they have that many words in all, so a
+passage on one or two lines is found like a longer one. Windows that shorter ones make up anyway
+are not posted: where these are later repeats, so are their parts.
+
 Null and empty texts have no lines and stay as they are. Rows that repeat a ``doc_id`` count
 once (``common.named``). An empty table gives no rows. Other columns pass through; columns
 named like those added here are replaced.
@@ -17,6 +21,8 @@ named like those added here are replaced.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -29,9 +35,12 @@ from sqlverdict.llm.common import extended, named, stored, without
 
 #: Least number of lines in a run.
 RUN = 3
+#: Least number of words in a run of fewer lines, where such runs count.
+WORDS = 5
 #: Blanks at the ends of lines that do not count.
 BLANKS = " \t\n\x0b\x0c\r"
 _SPANS = "_starts"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _lines(text: str | None) -> tuple[list[str], list[int]]:
@@ -40,36 +49,54 @@ def _lines(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [k for k, line in enumerate(lines) if line.strip(BLANKS)]
 
 
-def _windows(run_length: int):
+def _posted(counts: list[int], run_length: int, words: int | None) -> Iterator[tuple[int, int]]:
+    """``(start, length)`` of the windows over lines of so many words that shorter windows do not make up."""
+    if words is None:
+        yield from ((s, run_length) for s in range(len(counts) - run_length + 1))
+        return
+    sums = [0, *itertools.accumulate(counts)]
+    for s in range(len(counts)):
+        for length in range(1, min(run_length, len(counts) - s) + 1):
+            if length < run_length and sums[s + length] - sums[s] < words:
+                continue
+            parts = [(a, b) for a in range(s, s + length) for b in range(a + 1, s + length + 1) if b - a < length and sums[b] - sums[a] >= words]
+            if len({k for a, b in parts for k in range(a, b)}) < length:
+                yield s, length
+
+
+def _windows(run_length: int, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, fingers, keys = [], [], [], []
+            ids, starts, lengths, fingers, keys = [], [], [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 lines, places = _lines(text.as_py())
-                if len(places) < run_length:
+                if words is None and len(places) < run_length:
                     continue
-                digests = [hashlib.blake2b(lines[k].strip(BLANKS).encode(), digest_size=16).digest() for k in places]
+                bodies = [lines[k].strip(BLANKS).encode() for k in places]
+                digests = [hashlib.blake2b(body, digest_size=16).digest() for body in bodies]
                 values = [struct.unpack_from("<q", d)[0] for d in digests]
-                for s in range(len(places) - run_length + 1):
+                counts = [0 if words is None else len(_WORD.findall(body)) for body in bodies]
+                for s, length in _posted(counts, run_length, words):
                     ids.append(doc_id.as_py())
                     starts.append(s)
-                    fingers.append(min(values[s:s + run_length]))
-                    keys.append(hashlib.blake2b(b"".join(digests[s:s + run_length]), digest_size=16).digest())
+                    lengths.append(length)
+                    fingers.append(min(values[s:s + length]))
+                    keys.append(hashlib.blake2b(b"".join(digests[s:s + length]), digest_size=16).digest())
             one, two = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(fingers, pa.int64()), pa.array(one.copy()), pa.array(two.copy())],
-                names=["doc_id", "start", "finger", "one", "two"])
+                pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(fingers, pa.int64()),
+                pa.array(one.copy()), pa.array(two.copy())], names=["doc_id", "start", "length", "finger", "one", "two"])
     return run
 
 
-def _delete(run_length: int, text_at: int, spans_at: int):
+def _delete(text_at: int, spans_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, gone = [], [], []
             for text, spans in zip(batch.column(text_at), batch.column(spans_at)):
                 text = text.as_py()
                 lines, places = _lines(text)
-                removed = {places[s + j] for s in (spans.as_py() or ()) for j in range(run_length)}
+                removed = {places[s["start"] + j] for s in (spans.as_py() or ()) for j in range(s["length"])}
                 total.append(len(places))
                 gone.append(len(removed))
                 kept.append("\n".join(line for k, line in enumerate(lines) if k not in removed) if removed else text)
@@ -79,20 +106,21 @@ def _delete(run_length: int, text_at: int, spans_at: int):
     return run
 
 
-def later_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``(doc_id, start)`` of the windows that also start earlier; places count lines with a word."""
-    windows = stored(docs.select("doc_id", "text").mapInArrow(_windows(run), "doc_id long, start int, finger long, one long, two long"), "windows")
+def later_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """``(doc_id, start, length)`` of the windows that also start earlier; places count lines with a word."""
+    windows = stored(docs.select("doc_id", "text").mapInArrow(
+        _windows(run, words), "doc_id long, start int, length int, finger long, one long, two long"), "windows")
     positions = windows.groupBy("finger").agg(F.count("*").alias("n")).where("n > 1").select("finger")
     met = stored(windows.join(stored(positions, "fingerprints"), "finger"), "met")
     first = met.groupBy("finger", "one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stored(first.select("finger", "one", "two", "first"), "firsts")
-    return met.join(first, ["finger", "one", "two"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start")
+    return met.join(first, ["finger", "one", "two"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "length")
 
 
-def remove_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """The input with later repeated runs of lines deleted from ``text``, ``n_lines`` with a word, and ``n_removed``."""
     docs = without(named(docs), "n_lines", "n_removed", _SPANS)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    repeats = later_repeats(docs, run).groupBy("doc_id").agg(F.collect_list("start").alias(_SPANS))
+    repeats = later_repeats(docs, run, words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias(_SPANS))
     joined = docs.join(repeats, "doc_id", "left").select(*docs.columns, _SPANS)
-    return joined.mapInArrow(_delete(run, docs.columns.index("text"), len(docs.columns)), extended(docs, "n_lines long, n_removed long"))
+    return joined.mapInArrow(_delete(docs.columns.index("text"), len(docs.columns)), extended(docs, "n_lines long, n_removed long"))

@@ -20,6 +20,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one or two lines of enough words are a run too."""
+    kept = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), words=lines.WORDS)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by every whole text, within a fifth of their words."""
     return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op1_line_dedup_words": op1_line_dedup_words,
 }
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))
@@ -126,6 +133,21 @@ gone AS (SELECT DISTINCT n.doc_id, n.p FROM later JOIN n ON n.doc_id = later.doc
 SELECT b.doc_id, count(*) FILTER (body <> '') AS n_lines, count(gone.p) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY b.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
 FROM b LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.p = b.p GROUP BY b.doc_id
+""",
+    "op1_line_dedup_words": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+b AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM l),
+n AS (SELECT doc_id, p, body, len({_WORDS.replace("text", "body")}) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b WHERE body <> ''),
+w AS (SELECT doc_id, k, 1 AS size, body AS run FROM n WHERE words >= {lines.WORDS}
+      UNION ALL SELECT a.doc_id, a.k, 2, a.body || chr(10) || m.body
+      FROM n a JOIN n m ON m.doc_id = a.doc_id AND m.k = a.k + 1 WHERE a.words + m.words >= {lines.WORDS}
+      UNION ALL SELECT a.doc_id, a.k, 3, a.body || chr(10) || m.body || chr(10) || z.body
+      FROM n a JOIN n m ON m.doc_id = a.doc_id AND m.k = a.k + 1 JOIN n z ON z.doc_id = a.doc_id AND z.k = a.k + 2),
+later AS (SELECT doc_id, k, size FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, k) > 1),
+gone AS (SELECT DISTINCT n.doc_id, n.p FROM later JOIN n ON n.doc_id = later.doc_id AND n.k BETWEEN later.k AND later.k + later.size - 1)
+SELECT b.doc_id, count(*) FILTER (body <> '') AS n_lines, count(gone.p) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY b.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
+FROM b LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.p = b.p GROUP BY b.doc_id
 """,
     "op4_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
@@ -165,7 +187,8 @@ again AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id,
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) t(k) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines,
              coalesce(covered.n, 0) AS n_repeat_words, len(list_filter(words, lambda x: lower(x) IN ({_STOP}))) AS n_stop
       FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
 v AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
