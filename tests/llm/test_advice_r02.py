@@ -2,7 +2,7 @@
 
 import random
 
-from sqlverdict.llm import lines
+from sqlverdict.llm import lines, quotes
 from tests.llm import brute
 
 
@@ -35,3 +35,15 @@ def test_line_dedup_by_words(spark):
     got = {r["doc_id"]: r["text"] or "" for r in lines.remove_repeats(docs, words=lines.WORDS).collect()}
     assert got == want
     assert (want[1001], want[1003], want[1005]) == ("", "a b", "2\n ")
+
+
+def test_quotes_inside_messages(spark):
+    """A sentence of a longer line, rewrapped lines, two of three paragraphs; too few words stay open."""
+    first = "One two three four five six. Short one! Seven eight nine ten\neleven twelve thirteen.\n\nSecond part goes on here.\n\nThird part."
+    messages = [
+        (0, first), (1, "Nothing. One two three four."), (2, "> Short one!\na"), (3, "> seven eight nine\n> ten ELEVEN twelve\nb"),
+        (4, "> thirteen.\n>\n> Second part goes\n> on here.\nc"), (5, "> two three four\nd"), (6, "> One two three four.\ne"),
+        (7, "> two three four five seven\nf"), (8, "> said only later on by nine\ng"), (9, "h said only later on by nine i")]
+    docs = spark.createDataFrame([(1, t, "u", x) for t, x in messages] + [(2, 0, "u", "> Short one!")], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.conversations(docs).collect()}
+    assert got == {(1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 6): 1, **{(1, k): None for k in (0, 1, 5, 7, 8, 9)}, (2, 0): None}
