@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 2): pigeonhole edit matching over words.
 
 Texts and items become sequences of words: maximal runs of letters, digits and underscores,
-lower-cased, so symbols, case and spacing hide nothing. An item of m words is found in a
+lower-cased, so symbols, case and spacing hide nothing. In scripts without spaces between words
+(``_UNSPACED``) each character is a word. An item of m words is found in a
 text if some stretch of it is within ``errors = floor(rate * m)`` insertions, deletions and
 substitutions of words. The item is split into ``errors + 1`` pieces; one of them must occur
 unchanged. Exact piece hits come from hashed lookups, and each hit is verified on the
@@ -11,7 +12,8 @@ Items are a stated query set. They are read in blocks of at most ``BLOCK_BYTES``
 block is broadcast in one pass over the texts, which never shuffle.
 
 Null and empty texts hold no item; items without a word are found nowhere. Items of fewer than
-``LEAST_WORDS`` words say too little to name a leak and are not searched. Equal items are
+``least`` words are not searched; with ``least=1``, as the query and the pipeline have it, items of
+one to four words are found too, unchanged. Equal items are
 reported each. Rows that repeat a ``doc_id`` are searched each. Empty tables on either side
 give no hits. Columns of the texts pass through ``clean``.
 """
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 RATE, LEAST_WORDS = 0.2, 5
 BLOCK_BYTES = 4 << 20
 HITS = "doc_id long, item_id long, errors int, start int, end int"
-_WORD = re.compile(r"\w+")
+#: Thai to Tibetan, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?!\W)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
 

@@ -2,7 +2,8 @@
 
 import random
 
-from sqlverdict.llm import lines, quotes
+import corpus_pipeline
+from sqlverdict.llm import lines, queries, quotes
 from tests.llm import brute
 
 
@@ -47,3 +48,15 @@ def test_quotes_inside_messages(spark):
     docs = spark.createDataFrame([(1, t, "u", x) for t, x in messages] + [(2, 0, "u", "> Short one!")], "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in quotes.conversations(docs).collect()}
     assert got == {(1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 6): 1, **{(1, k): None for k in (0, 1, 5, 7, 8, 9)}, (2, 0): None}
+
+
+def test_short_items_and_unspaced_scripts(spark, tmp_path):
+    """Items of one to four words are found unchanged, items without spaces inside a longer run of characters."""
+    rows = {1: "so a quick, QUICK fox ran", 2: "quick brown fox", 3: "昨日、この文章は評価の問題ですと言った", 4: "この文章は評価の答題です", 5: "この本は別です", 6: None, 7: "foxes"}
+    items = {10: "Quick fox", 11: "この文章は評価の問題です", 12: "fox"}
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: list(r["item_ids"]) for r in queries.op2_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: [10, 12], 2: [12], 3: [11], 4: [11], 5: [], 6: [], 7: []}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()} == {5, 6, 7}
