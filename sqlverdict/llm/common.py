@@ -119,12 +119,10 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a block in order, and the index of each row's first word (one more at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the words of a block in order, and the index of each row's first word (one more at the end)."""
     n = len(data)
-    if lower:
-        data = _LOWER[data]
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.ones(n, bool)
@@ -132,18 +130,49 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     starts = np.flatnonzero(inside & (before | edge[:n]))
     after = np.ones(n, bool)
     after[:-1] = ~inside[1:]
-    ends = np.flatnonzero(inside & (after | edge[1:]))
+    ends = np.flatnonzero(inside & (after | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; spans are in order and apart."""
     hashes = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK)))
-        low, high = starts[at], ends[to - 1] + 1
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK + 1)))
+        low, high = starts[at], ends[to - 1]
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, high - low), out=sums[1:])
         s = starts[at:to] - low
-        hashes[at:to] = (sums[ends[at:to] + 1 - low] - sums[s]) * _power("down", pow(_BASE, -1, 2**64), high - low)[s]
+        hashes[at:to] = (sums[ends[at:to] - low] - sums[s]) * _power("down", pow(_BASE, -1, 2**64), high - low)[s]
         at = to
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return mix(hashes)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block in order, and the index of each row's first word (one more at the end)."""
+    if lower:
+        data = _LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), first
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """Code of each word, equal for equal words of the block only, and the words by code."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1  # where a span starts at another's end, the marks cancel and the sum goes on
+    spans = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(inside[:-1], dtype=np.int8) > 0])])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:

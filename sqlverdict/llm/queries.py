@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlverdict.llm import bpe, decontam, lines, neardup, quality_model, quotes, rules, secrets, substrings, warc
+from sqlverdict.llm import bpe, decontam, lines, neardup, quality_model, queries_phrases, quotes, rules, secrets, substrings, warc
 from sqlverdict.llm.common import named, table
 from sqlverdict.session import scratch_path
 
@@ -92,7 +92,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
     "op1_line_dedup_words": op1_line_dedup_words,
-}
+} | queries_phrases.QUERIES
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))
 
@@ -201,4 +201,4 @@ f AS (SELECT *, concat_ws(',',
         CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.5 THEN 'repeats' END) AS failed_rules FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
 """,
-}
+} | queries_phrases.ORACLE
