@@ -76,14 +76,15 @@ def build(labels: list[str], entries: list[list[bytes]]) -> Trie:
     """The trie of distinct ``(label, words)``; the entry of an accepting state is its index in the lists."""
     names = sorted(set(labels))
     words, inverse = np.unique(np.array([w for e in entries for w in e], object), return_inverse=True)
+    inverse = inverse.astype(np.int64)
     often = np.argsort(-np.bincount(inverse, minlength=len(words)), kind="stable")  # frequent words get low codes
     code = np.empty(len(words), np.int64)
     code[often] = np.arange(1, len(words) + 1)
     codes = code[inverse]
-    lengths = np.array([len(e) for e in entries])
+    lengths = np.array([len(e) for e in entries], np.int64)
     starts = np.cumsum(lengths) - lengths
     digits = 1 if len(words) < 256 else 2 if len(words) < 1 << 16 else 3 if len(words) < 1 << 24 else 4
-    node = np.searchsorted(np.array(names, object), np.array(labels, object))
+    node = np.searchsorted(np.array(names, object), np.array(labels, object)).astype(np.int64)
     total, parents, symbols = len(names), [], []
     ends = np.full(len(entries), -1)
     for depth in range(lengths.max(initial=0)):

@@ -135,7 +135,7 @@ def result(df):
     return {(r["lang"], r["rank"]): (r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("bits, block, broadcast", [(26, 1 << 16, 48 << 20), (8, 40, 1)])
+@pytest.mark.parametrize("bits, block, broadcast", [(26, 1 << 16, 48 << 20), (8, 400, 1)])
 def test_collocations(spark, bits, block, broadcast, monkeypatch):
     """Bitmaps that are full, many blocks and a broadcast for each change nothing."""
     monkeypatch.setattr(collocations, "BROADCAST", broadcast)
