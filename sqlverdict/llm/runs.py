@@ -10,7 +10,8 @@ words, that no neighbouring word extends. Each of its words therefore occurs ``R
    neighbouring matches at lag ``q``, so it has ``REPEATS - 1`` of them at consecutive multiples of ``q``: only
    these places are compared (``n / q`` of them), and a match is extended both ways from there.
    Places inside a run of a smaller period found before are passed over: two periods that overlap that
-   far have a common divisor that is a period too, so the lag is not the smallest one.
+   far have a common divisor that is a period too, so the lag is not the smallest one. So are stretches
+   that lie wholly in such a run.
 
 Work is ``n log n`` for a text of ``n`` words left after splitting, plus the lengths of the runs. Each text is
 handled whole; a very long one is a block of its own. Nothing is shuffled.
@@ -93,7 +94,7 @@ def scan(codes: np.ndarray, least: int = LEAST, repeats: int = REPEATS) -> list[
             after = _reach(lambda k, m: codes[j + k:j + k + m] == codes[j + q + k:j + q + k + m], 1, n - q - j)
             before = _reach(lambda k, m: codes[j - k - m:j - k] == codes[j + q - k - m:j + q - k], -1, j)
             until, start, length = j + after, j - before, before + after + q
-            if length >= max(least, repeats * q):
+            if length >= max(least, repeats * q) and inside[start] < start + length:
                 found.append((start, length, q))
                 inside[start:start + length] = np.maximum(inside[start:start + length], start + length)
     return sorted(found, key=lambda r: (r[0], r[2]))
