@@ -7,13 +7,13 @@ scan of the texts:
 1. Words are counted exactly. Only frequent ones can be part of a candidate.
 2. For two, three and four words, tasks count hashes of the phrases whose two shorter parts may
    be frequent; Spark sums them. Sums can only be too large (hashes that meet), so the ones that
-   reach ``least`` are a safe superset. They become a bitmap of ``bits`` positions, broadcast for
-   the next length: its size is fixed, and one that fills up prunes less but loses nothing.
-3. Phrases whose hashes are left are the candidates, as text, each once.
-4. Candidates are dealt into blocks of about ``block`` phrases; a task builds the double-array trie of
-   a block. Tries are broadcast in groups of at most ``BROADCAST`` bytes (their size is checked), and each
+   reach ``least`` are a safe superset, the candidates. Joins with the shorter phrases and the words
+   give their text. Their hashes become a bitmap of ``bits`` positions, broadcast for the next
+   length: its size is fixed, and one that fills up prunes less but loses nothing.
+3. Candidates are dealt into ranges of about ``block`` phrases; a task builds the double-array trie of
+   a range. Tries are broadcast in groups of at most ``BROADCAST`` bytes (their size is checked), and each
    group is one scan: numpy advances the states of all positions at once, word by word, bincounts
-   accepting states, and Spark sums the counts of the tasks. These counts are exact.
+   accepting states, and Spark sums the arrays of counts of the tasks. These counts are exact.
 
 Cuts, scores and dropping are joins and aggregations of counted phrases. Integers of the score
 are decimals, so products may pass 64 bits. The first ``top`` of a language are ranked in two
@@ -33,9 +33,8 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +45,12 @@ from sqlverdict.llm.common import blocks, lower_bytes, mix, signed, span_hashes,
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 #: Positions of a bitmap, as a power of two (8 MB).
 BITS = 26
-#: Phrases in a block of candidates, and bytes of tries in one broadcast.
-BLOCK_PHRASES, BROADCAST = 1 << 16, 48 << 20
+#: Phrases in a range of candidates, and bytes of tries in one broadcast.
+BLOCK_PHRASES, BROADCAST = 1 << 17, 48 << 20
 #: Values that a task holds before it sums or sends them.
 _HELD = 1 << 21
+#: Counts sent as one array, and tasks whose arrays are summed first.
+_CHUNK, _TASKS = 4096, 256
 _SALTS = 64
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
@@ -81,24 +82,26 @@ class _Tokens:
         data = np.frombuffer(self.words.buffers()[2] or b"", np.uint8)
         return mix(span_hashes(data, ends[:-1], ends[1:])[self.codes] ^ seeds[self.lang]) if len(self.codes) else np.zeros(0, np.uint64)
 
-    def levels(self, maps: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For one word and up: phrase hash by start, and the starts whose phrase may be a candidate.
-
-        There is one level more than maps: its phrases have parts that may all be frequent.
-        """
+    def parts(self, maps: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all phrases of one word more than there are maps, where all parts may be frequent:
+        that of all words but the last, and that of the last."""
         word = self.hashes()
         gram, at = word, np.arange(len(word))
-        for k in range(len(maps) + 1):
+        for k, found in enumerate(maps):
             if k:
-                at = at[:-1][at[1:] == at[:-1] + 1] if len(at) else at  # both shorter parts are left
-                at = at[at + k < self.until[at]]
                 longer = np.zeros(len(gram), np.uint64)
-                longer[at] = mix(gram[at] * _FACTOR + word[at + k])
+                longer[at] = _join(gram[at], word[at + k])
                 gram = longer
-            if k < len(maps):
-                place = (gram[at] & np.uint64((1 << bits) - 1)).astype(np.int64)
-                at = at[maps[k][place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
-            yield gram, at
+            place = (gram[at] & np.uint64((1 << bits) - 1)).astype(np.int64)
+            at = at[found[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+            at = at[:-1][at[1:] == at[:-1] + 1] if len(at) else at  # the part without the first word is left too
+            at = at[at + k + 1 < self.until[at]]
+        return gram[at], word[at + len(maps)]
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from those of its parts."""
+    return mix(left * _FACTOR + right)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tokens]:
@@ -107,63 +110,69 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tokens]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for t in _tokens(batches):
         if not len(t.codes):
             continue
         keys, first, counts = np.unique(t.lang * len(t.words) + t.codes, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([
+        held.append(pa.table([
             pa.array(t.langs, pa.string()).take(pa.array(keys // len(t.words))),
             t.words.cast(pa.large_string()).cast(pa.string()).take(pa.array(keys % len(t.words))),
-            pa.array(signed(t.hashes()[first])), pa.array(counts.astype(np.int64))], names=["lang", "word", "hash", "n"])
+            pa.array(signed(t.hashes()[first])), pa.array(counts.astype(np.int64))], names=["lang", "word", "hash", "n"]))
+        size += len(keys)
+        if size > _HELD // 8:
+            yield from _summed(held, "lang", "word", "hash")
+            held, size = [], 0
+    if held:
+        yield from _summed(held, "lang", "word", "hash")
+
 
+def _summed(held: list[pa.Table], *keys: str) -> list[pa.RecordBatch]:
+    out = pa.concat_tables(held).group_by(list(keys)).aggregate([("n", "sum")])
+    return out.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).to_batches()
 
-def _count_hashes(maps: Broadcast, bits: int):
+
+def _count_parts(maps: Broadcast, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for t in _tokens(batches):
-            gram, at = list(t.levels(maps.value, bits))[-1]
-            held.append(gram[at])
-            size += len(at)
+            held.append(t.parts(maps.value, bits))
+            size += len(held[-1][0])
             if size > _HELD:
                 yield summed(held)
                 held, size = [], 0
         if held:
             yield summed(held)
 
-    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts.astype(np.int64))], names=["hash", "n"])
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        left, right = (np.concatenate(x) for x in zip(*held))
+        hashes = _join(left, right)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        at = np.flatnonzero(np.r_[len(hashes) > 0, hashes[1:] != hashes[:-1]][:len(hashes)])
+        first, counts = order[at], np.diff(np.r_[at, len(hashes)])
+        return pa.RecordBatch.from_arrays([pa.array(signed(left[first])), pa.array(signed(right[first])), pa.array(counts.astype(np.int64))], names=["left", "right", "n"])
     return run
 
 
-def _name_candidates(maps: Broadcast, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
-        for t in _tokens(batches):
-            langs, phrases, new = [], [], [seen]
-            for k, (gram, at) in enumerate(t.levels(maps.value, bits)):
-                if not 0 < k < len(maps.value):
-                    continue
-                values, first = np.unique(gram[at], return_index=True)
-                known = np.searchsorted(seen, values)
-                fresh = (known == len(seen)) | (seen[np.minimum(known, len(seen) - 1)] != values) if len(seen) else np.ones(len(values), bool)
-                new.append(values[fresh])
-                words = t.words.to_pylist() if fresh.any() else []
-                for i in at[first[fresh]]:
-                    langs.append(t.langs[t.lang[i]])
-                    phrases.append(b" ".join(words[c] for c in t.codes[i:i + k + 1]))
-            seen = np.sort(np.concatenate(new)) if sum(map(len, new)) < 2 * _HELD else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
-    return run
+def _hash_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signed(_join(left, right)))], names=["left", "right", "hash"])
 
 
-def _build_trie(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["lang", "phrase"]).reset_index(drop=True)
-    trie = double_array.build(list(group["lang"]), [p.encode().split(b" ") for p in group["phrase"]])
-    size = len(group)
-    return pd.DataFrame({
-        "block": [group["block"][0]] * (size + 1), "entry": [*range(size), -1], "lang": [*group["lang"], None],
-        "phrase": [*group["phrase"], None], "size": [*[0] * size, trie.nbytes], "trie": [*[None] * size, pickle.dumps(trie)]})
+def _build_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    if not rows:
+        return
+    rows.sort()
+    trie = double_array.build([lang for lang, _ in rows], [p.encode().split(b" ") for _, p in rows])
+    size = len(rows)
+    yield pa.RecordBatch.from_arrays([
+        pa.array([TaskContext.get().partitionId()] * (size + 1), pa.int32()), pa.array([*range(size), -1], pa.int32()),
+        pa.array([*(lang for lang, _ in rows), None], pa.string()), pa.array([*(p for _, p in rows), None], pa.string()),
+        pa.array([0] * size + [trie.nbytes], pa.int64()), pa.array([None] * size + [pickle.dumps(trie)], pa.binary())],
+        names=["block", "entry", "lang", "phrase", "size", "trie"])
 
 
 def _count_entries(tries: Broadcast, longest: int):
@@ -177,10 +186,34 @@ def _count_entries(tries: Broadcast, longest: int):
                 codes = np.array([known.get(w, 0) for w in words], np.int64)
                 if len(t.codes):
                     counts[k] += np.bincount(double_array.walk(trie, roots[t.lang], codes[t.codes], t.until, longest), minlength=len(counts[k]))
+        task = TaskContext.get().partitionId() // _TASKS
         for (block, _, _), n in zip(all_tries, counts):
-            met = np.flatnonzero(n)
+            yield from _chunks({(block, k): n[k * _CHUNK:(k + 1) * _CHUNK] for k in range(-(-len(n) // _CHUNK))}, task)
+    return run
+
+
+def _chunks(sums: dict[tuple[int, int], np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
+    keys = [key for key, n in sums.items() if n.any()]
+    yield pa.RecordBatch.from_arrays([
+        pa.array([b for b, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array([task] * len(keys), pa.int32()),
+        pa.array([sums[key].tobytes() for key in keys], pa.binary())], names=["block", "chunk", "task", "counts"])
+
+
+def _sum_chunks(least: int | None):
+    """Sums of the arrays of each chunk, as arrays again, or as the entries that reach ``least``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                counts = np.frombuffer(counts.as_buffer(), np.int64)
+                sums[block, chunk] = sums[block, chunk] + counts if (block, chunk) in sums else counts.copy()
+        if least is None:
+            yield from _chunks(sums, 0)
+            return
+        for (block, chunk), n in sums.items():
+            met = np.flatnonzero(n >= least)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(met), block, np.int32)), pa.array(met.astype(np.int32)), pa.array(n[met])], names=["block", "entry", "n"])
+                pa.array(np.full(len(met), block, np.int32)), pa.array((met + chunk * _CHUNK).astype(np.int32)), pa.array(n[met])], names=["block", "entry", "n"])
     return run
 
 
@@ -201,24 +234,28 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     words = stored(docs.mapInArrow(_count_words, "lang string, word string, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n")), "words")
     frequent = words.where(F.col("n") >= least)
-    maps = [_bitmap(frequent, bits)]
+    single = frequent.select("lang", F.col("word").alias("phrase"), "hash")
+    names, shorter, candidates = [_bitmap(frequent, bits)], single, None
     for k in range(2, longest + 1):
-        sent = sc.broadcast(maps)
-        sums = docs.mapInArrow(_count_hashes(sent, bits), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        maps.append(_bitmap(stored(sums.where(F.col("n") >= least), f"sums-{k}"), bits))
+        sent = sc.broadcast(names)
+        sums = docs.mapInArrow(_count_parts(sent, bits), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+        sums = sums.where(F.col("n") >= least).select("left", "right").mapInArrow(_hash_parts, "left long, right long, hash long")
+        last = single.select(F.col("lang").alias("other"), F.col("phrase").alias("word"), F.col("hash").alias("right"))
+        long = sums.join(shorter.withColumnRenamed("hash", "left"), "left").join(last, "right").where("lang = other")
+        shorter = stored(long.select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "hash"), f"phrases-{k}")
         sent.unpersist()
-    sent = sc.broadcast(maps)
-    candidates = stored(docs.mapInArrow(_name_candidates(sent, bits), "lang string, phrase string").distinct(), "candidates")
-    sent.unpersist()
+        names.append(_bitmap(shorter, bits))
+        candidates = shorter if candidates is None else candidates.unionByName(shorter)
     n_blocks = max(1, math.ceil(candidates.count() / block))
-    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_blocks)).cast("int"))
-    built = stored(dealt.groupBy("block").applyInPandas(_build_trie, "block int, entry int, lang string, phrase string, size long, trie binary"), "tries")
+    ranges = candidates.select("lang", "phrase").repartitionByRange(n_blocks, "lang", "phrase")
+    built = stored(ranges.mapInArrow(_build_tries, "block int, entry int, lang string, phrase string, size long, trie binary"), "tries")
     tries = built.where("entry < 0")
     found = None
     for group in _groups({r["block"]: r["size"] for r in tries.select("block", "size").collect()}):
         sent = sc.broadcast([(r["block"], pickle.loads(r["trie"])) for r in tries.where(F.col("block").isin(group)).select("block", "trie").collect()])
-        scan = docs.mapInArrow(_count_entries(sent, longest), "block int, entry int, n long").groupBy("block", "entry").agg(F.sum("n").alias("n"))
-        scan = stored(scan.where(F.col("n") >= least), "counts")
+        arrays = "block int, chunk int, task int, counts binary"
+        scan = docs.mapInArrow(_count_entries(sent, longest), arrays).repartition("block", "chunk", "task").mapInArrow(_sum_chunks(None), arrays)
+        scan = stored(scan.repartition("block", "chunk").mapInArrow(_sum_chunks(least), "block int, entry int, n long"), "counts")
         found = scan if found is None else found.unionByName(scan)
         sent.unpersist()
     single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
