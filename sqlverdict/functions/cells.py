@@ -207,3 +207,9 @@ def profile_results(
         *keys, "n_rows", F.col("n_cols").cast("int").alias("n_cols"), *(["odd"] if want_odd else []), *bag,
         *[F.array(*_columns(p)).alias(p) for p in by_row],
     )
+
+
+def column_prints(valued: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``print`` of each column of each result: its normalised cells by row. Equal for equal columns."""
+    hashed = valued.select(*keys, "col_idx", *_hashes("cp", F.col("row_idx"), F.col("nn"), F.col("nx")))
+    return hashed.groupBy(*keys, "col_idx").agg(*_member_sums("cp")).select(*keys, "col_idx", F.array(*_columns("cp")).alias("print"))

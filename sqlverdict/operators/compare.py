@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlverdict.functions.cells import (
-    bool_value, number_of, profile_results, same, with_values,
+    bool_value, column_prints, number_of, profile_results, same, with_values,
 )
 from sqlverdict.session import cut_lineage
 
@@ -325,23 +325,46 @@ def _best_map_udf():
     return F.pandas_udf(best_map, out)
 
 
-def _map_columns(
-    todo: DataFrame, wide: DataFrame, narrow: DataFrame, min_share: float
-) -> DataFrame:
+def _best_maps(todo: DataFrame, hits: DataFrame) -> DataFrame:
+    """Best map of each pair from ``hits(PAIR, w, n, hits)``; a list of them holds at most one entry per pair of columns."""
+    grids = hits.groupBy(*PAIR).agg(F.collect_list(F.struct("w", "n", "hits")).alias("hits"))
+    best = todo.select(*PAIR, "n_wide", "n_narrow", "n").join(grids, list(PAIR)).withColumn(
+        "best", _best_map_udf()("n_wide", "n_narrow", "hits"))
+    return best.select(*PAIR, "n", "n_narrow", "best.score", "best.mapping")
+
+
+def _equal_columns(todo: DataFrame, valued: DataFrame) -> DataFrame:
+    """``(PAIR, w, n, hits)`` of columns whose fingerprints are equal, for pairs of equally many rows."""
+    prints = column_prints(valued)
+    sides = [prints.filter(F.col("side") == side).select("example_id", F.col("query_id").alias(f"{side}_id"), F.col("col_idx").alias(f"{side}_col"), "print")
+             for side in ("pred", "gold")]
+    want = todo.filter(_same_rows()).select(*PAIR, "pred_wide", "n")
+    both = want.join(sides[0], ["example_id", "pred_id"]).join(sides[1], ["example_id", "gold_id", "print"])
+    return both.select(
+        *PAIR, F.when(F.col("pred_wide"), F.col("pred_col")).otherwise(F.col("gold_col")).cast("int").alias("w"),
+        F.when(F.col("pred_wide"), F.col("gold_col")).otherwise(F.col("pred_col")).cast("int").alias("n"), F.col("n").alias("hits"))
+
+
+def _map_columns(todo: DataFrame, valued: DataFrame, min_share: float, small: bool = False) -> DataFrame:
     """``mapping[j]`` is the wide column for narrow column j; no row without a good map.
 
-    ``todo`` carries ``n_wide``, ``n_narrow`` and ``n``, the row count. The list of
-    column scores holds at most one entry per pair of columns.
+    ``todo`` carries shapes, ``pred_wide``, ``n_wide``, ``n_narrow`` and ``n``, the row count. A map where every
+    narrow column has an equal wide one scores as high as any can, so it is found from the fingerprints of
+    columns alone, the same choice among equal columns included. Only other pairs join their cells.
     """
-    grids = _column_scores(wide, narrow).groupBy(*PAIR).agg(
-        F.collect_list(F.struct("w", "n", "hits")).alias("hits")
-    )
-    best = todo.select(*PAIR, "n_wide", "n_narrow", "n").join(grids, list(PAIR)).withColumn(
-        "best", _best_map_udf()("n_wide", "n_narrow", "hits")
-    )
-    return best.filter(
-        (F.col("best.score") > 0) & (F.col("best.score") >= F.col("n") * F.col("n_narrow") * min_share)
-    ).select(*PAIR, "best.score", "best.mapping", (F.col("best.score") == F.col("n") * F.col("n_narrow")).alias("full"))
+    full = F.col("score") == F.col("n") * F.col("n_narrow")
+    equal = _equal_columns(todo, valued)
+    whole = equal.groupBy(*PAIR).agg(F.count_distinct("n").alias("met")).join(todo.select(*PAIR, "n_narrow"), list(PAIR)).filter("met = n_narrow")
+    maps = cut_lineage(_best_maps(todo, equal.join(whole.select(*PAIR), list(PAIR), "left_semi")).filter(full))
+    rest = todo.join(maps, list(PAIR), "left_anti")
+    if not rest.isEmpty():
+        rest = cut_lineage(rest)
+        cells = {side: _attach(valued, rest, side, ["pred_wide"], small) for side in ("pred", "gold")}
+        wide = cells["pred"].filter("pred_wide").unionByName(cells["gold"].filter("NOT pred_wide"), True)
+        narrow = cells["gold"].filter("pred_wide").unionByName(cells["pred"].filter("NOT pred_wide"), True)
+        maps = maps.unionByName(_best_maps(rest, _column_scores(wide, narrow)))
+    return maps.filter((F.col("score") > 0) & (F.col("score") >= F.col("n") * F.col("n_narrow") * min_share)).select(
+        *PAIR, "score", "mapping", full.alias("full"))
 
 
 def column_mapping(
@@ -353,8 +376,8 @@ def column_mapping(
     set, have no rows. Rows are aligned by position up to the shorter result.
     """
     valued = with_values(cells)
-    todo = _mappable(with_profiles(pairs, valued, []), max_pred, max_gold)
-    maps = _map_columns(todo, _attach(valued, todo, "pred"), _attach(valued, todo, "gold"), min_share)
+    todo = _mappable(with_profiles(pairs, valued, []), max_pred, max_gold).withColumn("pred_wide", F.lit(True))
+    maps = _map_columns(todo, valued, min_share)
     return maps.select(*PAIR, "score", F.posexplode("mapping").alias("gold_col", "pred_col"))
 
 
@@ -429,6 +452,18 @@ def match_flex(
         .when(identical & plain, "percentage").alias("rule"),
     ))
 
+    # The cells of open pairs are parsed and written once; later stages read no others.
+    contained = F.lit(False)
+    if has_similarity:
+        contained = ~F.col("ordered") & F.coalesce(F.col("similarity") > min_similarity, F.lit(False))
+    unsettled = state.filter(F.col("rule").isNull() & (_same_rows() | contained))
+    if not _load_of(unsettled):
+        rule = F.coalesce("rule", F.when(F.col("strict"), "strict").otherwise("none"))
+        return state.select(*pairs.columns, "strict", (rule != "none").alias("flex"), rule.alias("rule"))
+    results = unsettled.select("example_id", F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(f"{side}_id").alias("query_id")) for side in ("pred", "gold")])).alias("r"))
+    valued = cut_lineage(valued.join(results.select("example_id", "r.*").distinct(), ["example_id", "side", "query_id"], "left_semi"))
+
     # Stage 1: positional rules and normalised rows on equal shapes.
     todo = state.filter(F.col("rule").isNull() & _same_shape())
     if load := _load_of(todo):
@@ -450,12 +485,7 @@ def match_flex(
         "n": F.col("p_n_rows"), "pred_wide": wide_pred,
     }).filter(_within("n_wide", max_wide) & _within("n_narrow", max_narrow))
     if load := _load_of(todo):
-        small = load <= BROADCAST_PAIRS
-        pred_cells = _attach(valued, todo, "pred", ["pred_wide"], small)
-        gold_cells = _attach(valued, todo, "gold", ["pred_wide"], small)
-        wide = pred_cells.filter("pred_wide").unionByName(gold_cells.filter("NOT pred_wide"), True)
-        narrow = gold_cells.filter("pred_wide").unionByName(pred_cells.filter("NOT pred_wide"), True)
-        maps = _map_columns(todo, wide, narrow, min_share).drop("score")
+        maps = _map_columns(todo, valued, min_share, load <= BROADCAST_PAIRS).drop("score")
         identity = _same_shape() & (F.col("mapping") == F.sequence(F.lit(0), F.size("mapping") - 1))
         state = cut_lineage(_settle(
             state.join(maps, key, "left")
@@ -472,8 +502,7 @@ def match_flex(
     # Stage 4: containment, only where a similarity above the bound is given.
     if has_similarity:
         state = cut_lineage(state)
-        open_pair = F.col("rule").isNull() & ~F.col("ordered") & F.coalesce(
-            F.col("similarity") > min_similarity, F.lit(False))
+        open_pair = F.col("rule").isNull() & contained
         inside = _subset(state.filter(open_pair), valued)
         state = state.join(inside, key, "left").withColumn(
             "rule", F.when(open_pair, F.when(F.coalesce("subset", F.lit(True)), "subset").otherwise("none"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sqlverdict.operators import compare, reports, score
+from sqlverdict.operators import reports, score
 from sqlverdict.plans import compare_checks as cc
 from sqlverdict.plans import fixtures as fx
 from sqlverdict.sources.checkpoint import pending
@@ -36,8 +36,7 @@ def _strict_prf(dedup):
         runs, cells = _multi(spark, sf)
         distinct = score.dedup_statements(runs)
         kept = score.result_dedup(runs, cells) if dedup else distinct.filter("side = 'pred'")
-        pairs = compare.pair_up(distinct.filter("side = 'gold'").unionByName(kept))
-        out = score.score_examples(runs, compare.match_strict(pairs, cells), kept)
+        out = score.score_examples(runs, score.match_counts(distinct.filter("side = 'gold'").unionByName(kept), cells), kept)
         return out.select("example_id", "num_queries", "num_unique_queries", "n_gold", "precision", "recall", "f1",
                           "all_found", "one_found", "num_correct")
     return query
@@ -45,7 +44,7 @@ def _strict_prf(dedup):
 
 def example_prf_flex(spark, sf):
     runs, cells = fx.cell_runs(spark, sf), fx.cells(spark, sf)
-    out = score.score_examples(runs, compare.match_flex(compare.pair_up(runs), cells))
+    out = score.score_examples(runs, score.match_counts(runs, cells, flex=True))
     return out.select("example_id", "precision", "recall", "f1", "precision_flex", "recall_flex", "f1_flex", "all_found_flex")
 
 
@@ -76,8 +75,7 @@ def correction_gain(spark, sf):
     runs, cells = _multi(spark, sf)
 
     def f1(part):
-        pairs = compare.pair_up(score.dedup_statements(part))
-        return score.score_examples(part, compare.match_strict(pairs, cells)).select("example_id", "f1")
+        return score.score_examples(part, score.match_counts(score.dedup_statements(part), cells)).select("example_id", "f1")
 
     first = f1(runs.filter("(side = 'gold' OR pos <= 2) AND example_id % 3 <> 1"))
     return score.correction_gain(f1(runs), first).select(
