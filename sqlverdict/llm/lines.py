@@ -1,17 +1,15 @@
 """Line dedup (operator 1): winnowing over line hashes.
 
-A run is ``run`` or more consecutive lines that have a word, compared without the blanks at
-their ends; lines without a word are passed over and stay. Every window of ``run`` lines
-selects its least line hash as a fingerprint, so a run that occurs twice shares a fingerprint
-for certain. Fingerprints found at one position only go. Around the others the match is
-extended both ways as far as windows agree: all windows of one fingerprint are compared by
-128-bit hashes of their lines, and windows that also start earlier (in a document of smaller
-id, or further up in the same one) are later repeats. Neighbouring repeats make up runs of any
-length. All lines of later repeats are deleted; the first occurrence stays.
-
-With ``words``, fewer consecutive lines are a run too if they have that many words in all, so a
-passage on one or two lines is found like a longer one. Windows that shorter ones make up anyway
-are not posted: where these are later repeats, so are their parts.
+A run is ``run`` or more consecutive lines that have a word, or fewer with ``words`` words in all (``None``:
+no fewer lines), compared without the blanks at their ends; lines without a word are passed over and stay.
+Every least run is a window and selects its least line hash (the leftmost of equal ones). Only the selected
+lines are posted, each once with its position, so a run that occurs twice shares a fingerprint for certain. Fingerprints
+found at one position only go. From the positions of the others the match is extended to both sides,
+as far as the windows that selected the line reach: windows are compared by 128-bit hashes of their lines, and those that also
+start earlier (in a document of smaller id, or further up in the same one) are later repeats. Neighbouring
+repeats make up runs of any length. All lines of later repeats are deleted; the first occurrence stays.
+
+Windows that shorter ones make up anyway are not looked at: where these are later repeats, so are their parts.
 
 Null and empty texts have no lines and stay as they are. Rows that repeat a ``doc_id`` count
 once (``common.named``). An empty table gives no rows. Other columns pass through; columns
@@ -64,28 +62,29 @@ def _posted(counts: list[int], run_length: int, words: int | None) -> Iterator[t
                 yield s, length
 
 
-def _windows(run_length: int, words: int | None):
+_WINDOW = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("one", pa.int64()), ("two", pa.int64())]))
+
+
+def _fingerprints(run_length: int, words: int | None):
+    """``(doc_id, finger, windows)``: the lines that windows select, each with those windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, lengths, fingers, keys = [], [], [], [], []
+            ids, fingers, windows = [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 lines, places = _lines(text.as_py())
-                if words is None and len(places) < run_length:
-                    continue
                 bodies = [lines[k].strip(BLANKS).encode() for k in places]
                 digests = [hashlib.blake2b(body, digest_size=16).digest() for body in bodies]
                 values = [struct.unpack_from("<q", d)[0] for d in digests]
                 counts = [0 if words is None else len(_WORD.findall(body)) for body in bodies]
+                selected: dict[int, list[dict]] = {}
                 for s, length in _posted(counts, run_length, words):
-                    ids.append(doc_id.as_py())
-                    starts.append(s)
-                    lengths.append(length)
-                    fingers.append(min(values[s:s + length]))
-                    keys.append(hashlib.blake2b(b"".join(digests[s:s + length]), digest_size=16).digest())
-            one, two = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(fingers, pa.int64()),
-                pa.array(one.copy()), pa.array(two.copy())], names=["doc_id", "start", "length", "finger", "one", "two"])
+                    one, two = struct.unpack("<qq", digests[s] if length == 1 else hashlib.blake2b(b"".join(digests[s:s + length]), digest_size=16).digest())
+                    least = min(range(s, s + length), key=values.__getitem__)
+                    selected.setdefault(least, []).append({"start": s, "length": length, "one": one, "two": two})
+                ids += [doc_id.as_py()] * len(selected)
+                fingers += [values[k] for k in selected]
+                windows += selected.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fingers, pa.int64()), pa.array(windows, _WINDOW)], names=["doc_id", "finger", "windows"])
     return run
 
 
@@ -106,18 +105,19 @@ def _delete(text_at: int, spans_at: int):
     return run
 
 
-def later_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+def later_repeats(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """``(doc_id, start, length)`` of the windows that also start earlier; places count lines with a word."""
-    windows = stored(docs.select("doc_id", "text").mapInArrow(
-        _windows(run, words), "doc_id long, start int, length int, finger long, one long, two long"), "windows")
-    positions = windows.groupBy("finger").agg(F.count("*").alias("n")).where("n > 1").select("finger")
-    met = stored(windows.join(stored(positions, "fingerprints"), "finger"), "met")
-    first = met.groupBy("finger", "one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stored(first.select("finger", "one", "two", "first"), "firsts")
-    return met.join(first, ["finger", "one", "two"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "length")
+    posted = stored(docs.select("doc_id", "text").mapInArrow(
+        _fingerprints(run, words), "doc_id long, finger long, windows array<struct<start:int,length:int,one:long,two:long>>"), "posted")
+    common = posted.groupBy("finger").agg(F.count("*").alias("n")).where("n > 1").select("finger")
+    met = posted.join(stored(common, "fingerprints"), "finger").select("doc_id", F.explode("windows").alias("w"))
+    met = stored(met.select("doc_id", "w.*"), "met")
+    first = met.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select("one", "two", "first"), "firsts")
+    return met.join(first, ["one", "two"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "length")
 
 
-def remove_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """The input with later repeated runs of lines deleted from ``text``, ``n_lines`` with a word, and ``n_removed``."""
     docs = without(named(docs), "n_lines", "n_removed", _SPANS)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -21,9 +21,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where one or two lines of enough words are a run too."""
-    kept = lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), words=lines.WORDS)
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    """The same, under the name it had while the other took runs of three lines only."""
+    return op1_line_dedup(spark, sf_dir)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,20 +120,7 @@ FROM d LEFT JOIN labels ON labels.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-ORACLE: dict[str, str] = {
-    "op1_line_dedup": r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
-b AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM l),
-n AS (SELECT doc_id, p, body, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b WHERE body <> ''),
-w AS (SELECT a.doc_id, a.k, a.body || chr(10) || m.body || chr(10) || z.body AS run
-      FROM n a JOIN n m ON m.doc_id = a.doc_id AND m.k = a.k + 1 JOIN n z ON z.doc_id = a.doc_id AND z.k = a.k + 2),
-later AS (SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, k) > 1),
-gone AS (SELECT DISTINCT n.doc_id, n.p FROM later JOIN n ON n.doc_id = later.doc_id AND n.k BETWEEN later.k AND later.k + 2)
-SELECT b.doc_id, count(*) FILTER (body <> '') AS n_lines, count(gone.p) AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY b.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
-FROM b LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.p = b.p GROUP BY b.doc_id
-""",
-    "op1_line_dedup_words": rf"""
+_LINES = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
 b AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM l),
 n AS (SELECT doc_id, p, body, len({_WORDS.replace("text", "body")}) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b WHERE body <> ''),
@@ -148,7 +134,11 @@ gone AS (SELECT DISTINCT n.doc_id, n.p FROM later JOIN n ON n.doc_id = later.doc
 SELECT b.doc_id, count(*) FILTER (body <> '') AS n_lines, count(gone.p) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY b.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
 FROM b LEFT JOIN gone ON gone.doc_id = b.doc_id AND gone.p = b.p GROUP BY b.doc_id
-""",
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": _LINES,
+    "op1_line_dedup_words": _LINES,
     "op4_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g FROM (

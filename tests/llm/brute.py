@@ -14,20 +14,25 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def line_dedup(docs, run=3):
+def line_dedup(docs, run=3, words=5):
+    """Lines of a run of three, or of fewer with so many words, go where the run stood earlier."""
     first, parsed = {}, {}
+
+    def windows(bodies):
+        for s in range(len(bodies)):
+            for n in range(1, min(run, len(bodies) - s) + 1):
+                if n == run or sum(len(WORD.findall(x)) for x in bodies[s:s + n]) >= words:
+                    yield s, n, tuple(bodies[s:s + n])
+
     for d in sorted(docs):
         lines = (docs[d] or "").split("\n")
         places = [k for k, line in enumerate(lines) if line.strip(BLANKS)]
-        parsed[d] = lines, places
-        for s in range(len(places) - run + 1):
-            first.setdefault(tuple(lines[k].strip(BLANKS) for k in places[s:s + run]), (d, s))
+        parsed[d] = lines, places, [lines[k].strip(BLANKS) for k in places]
+        for s, _, body in windows(parsed[d][2]):
+            first.setdefault(body, (d, s))
     out = {}
-    for d, (lines, places) in parsed.items():
-        gone = set()
-        for s in range(len(places) - run + 1):
-            if first[tuple(lines[k].strip(BLANKS) for k in places[s:s + run])] != (d, s):
-                gone |= set(places[s:s + run])
+    for d, (lines, places, bodies) in parsed.items():
+        gone = {k for s, n, body in windows(bodies) if first[body] != (d, s) for k in places[s:s + n]}
         out[d] = len(places), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
