@@ -23,8 +23,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; ``n_chars`` follows the text."""
-    kept = lines.remove_repeats(docs)
+    """Texts without later repeated runs of lines; ``n_chars`` follows the text.
+
+    A text that holds nothing else, such as a later copy, goes; one without words from the start stays.
+    """
+    kept = lines.remove_repeats(docs).where("n_lines = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
