@@ -183,7 +183,7 @@ m AS (SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(w
       FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
 v AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 f AS (SELECT *, concat_ws(',',
-        CASE WHEN n_words < 50 OR n_words > 100000 THEN 'length' END,
+        CASE WHEN n_words < 50 THEN 'length' END,
         CASE WHEN n_words = 0 OR word_chars < 1.5 * n_words OR word_chars > 20 * n_words THEN 'word_length' END,
         CASE WHEN word_chars > 0 AND n_symbols / word_chars > 0.1 THEN 'symbols' END,
         CASE WHEN n_words = 0 OR n_stop / n_words < 0.02 THEN 'stop_words' END,

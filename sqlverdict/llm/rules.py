@@ -23,14 +23,14 @@ STOP_WORDS = (
 ).split()
 #: (name, measure, lower bound or None, upper bound or None): a text is kept if all hold.
 RULES = (
-    ("length", "n_words", 50, 100_000),
+    ("length", "n_words", 50, None),
     ("word_length", "mean_word_chars", 1.5, 20.0),
     ("symbols", "symbol_ratio", None, 0.10),
     ("stop_words", "stop_ratio", 0.02, None),
     ("dup_lines", "dup_line_ratio", None, 0.50),
     ("repeats", "repeat_ratio", None, 0.50),
 )
-#: Bits of a sort key that hold a position; the rest hold the hash of a window.
+#: Bits of a sort key that hold a position; the rest hold the hash of a window. Texts that need more are counted by their words.
 _POSITION = 24
 
 
@@ -39,42 +39,63 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside three-word windows that occur at least twice in ``words``.
+def _neighbours(keys: Column, met) -> Column:
+    """What ``met`` says of each key and the next, where it is not null."""
+    return F.filter(F.zip_with(F.slice(keys, F.lit(1), F.size(keys) - 1), F.slice(keys, F.lit(2), F.size(keys) - 1), met), lambda m: m.isNotNull())
 
-    Windows become longs of hash and position; equal windows are neighbours after one
-    sort of primitives. Words are compared again where the hash bits agree.
+
+def _covered(met: Column) -> Column:
+    """Number of words in windows at the places ``p`` and ``q`` of equal neighbours."""
+    places = F.sort_array(F.array_distinct(F.concat(F.transform(met, lambda x: x["p"]), F.transform(met, lambda x: x["q"]))))
+
+    def count(p: Column) -> Column:
+        gaps = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.least(F.lit(3), b - a))
+        return F.when(F.size(p) > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g)).otherwise(F.lit(0).cast("long"))
+
+    return _bound(places, count)
+
+
+def _starts(words: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(words) - 3)
+
+
+def _by_hash(words: Column, bits: int) -> Column:
+    """The count from longs of hash and position, equal windows neighbours after one sort of primitives.
+
+    Null where that cannot tell: positions need more than ``bits``, or different windows agree in the
+    bits of the hash that are left, so that one might lie between two equal ones.
     """
-    def key(w: Column, i: Column) -> Column:
-        window = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return F.shiftleft(F.shiftright(window, _POSITION), _POSITION).bitwiseOR(i.cast("long"))
+    def key(i: Column) -> Column:
+        window = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        return F.shiftleft(F.shiftright(window, bits), bits).bitwiseOR(i.cast("long"))
 
     def place(k: Column) -> Column:
-        return k.bitwiseAND(F.lit((1 << _POSITION) - 1)).cast("int")
+        return k.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
-    def same(w: Column, a: Column, b: Column) -> Column:
+    def met(a: Column, b: Column) -> Column:
         p, q = place(a), place(b)
-        return ((F.shiftright(a, _POSITION) == F.shiftright(b, _POSITION)) & (F.get(w, p) == F.get(w, q))
-                & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2)))
+        same = (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
+        return F.when(F.shiftright(a, bits) == F.shiftright(b, bits), F.struct(p.alias("p"), q.alias("q"), same.alias("same")))
+
+    keys = F.sort_array(F.transform(_starts(words), key))
+    count = _bound(_bound(keys, lambda k: _neighbours(k, met)), lambda m: F.when(F.forall(m, lambda x: x["same"]), _covered(m)))
+    return F.when(F.size(words) < 1 << bits, count)
+
 
-    def count(w: Column) -> Column:
-        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: key(w, i)))
+def _by_words(words: Column) -> Column:
+    """The same count from the windows themselves, for texts where hashes cannot tell."""
+    keys = F.array_sort(F.transform(_starts(words), lambda i: F.struct(
+        F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("p"))))
 
-        def pairs(k: Column) -> Column:
-            """Positions of each key that equals its next neighbour, and of that neighbour."""
-            met = F.filter(F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1),
-                                      lambda a, b: F.when(same(w, a, b), F.struct(place(a).alias("p"), place(b).alias("q")))),
-                           lambda m: m.isNotNull())
-            return _bound(met, lambda m: F.sort_array(F.array_distinct(F.concat(
-                F.transform(m, lambda x: x["p"]), F.transform(m, lambda x: x["q"])))))
+    def met(x: Column, y: Column) -> Column:
+        return F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.struct(x["p"].alias("p"), y["p"].alias("q")))
 
-        def covered(p: Column) -> Column:
-            gaps = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.least(F.lit(3), b - a))
-            return F.when(F.size(p) > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g)).otherwise(F.lit(0).cast("long"))
+    return _bound(_bound(keys, lambda k: _neighbours(k, met)), _covered)
 
-        return _bound(F.when(F.size(keys) > 1, _bound(keys, pairs)).otherwise(F.array().cast("array<int>")), covered)
 
-    return F.when(F.size(words) >= 4, _bound(words, count)).otherwise(F.lit(0).cast("long"))
+def _repeat_words(words: Column, bits: int = _POSITION) -> Column:
+    """Words inside three-word windows that occur at least twice in ``words``; exact at any length."""
+    return F.when(F.size(words) >= 4, _bound(words, lambda w: F.coalesce(_by_hash(w, bits), _by_words(w)))).otherwise(F.lit(0).cast("long"))
 
 
 def measures(docs: DataFrame) -> DataFrame:

@@ -53,6 +53,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 SPAN = "struct<start:int,end:int>"
+#: Matches that are walked before their spans are put together.
+_GROUP = 256
 LEDGER = T.StructType([
     T.StructField("digest", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("rule_version", T.IntegerType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
@@ -67,8 +69,12 @@ def spans_of(text: Column, folded: Column, rule: Rule) -> Column:
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
     steps = F.arrays_zip(F.transform(F.slice(pieces, F.lit(1), F.size(whole)), F.length).alias("gap"),
                          F.transform(whole, F.length).alias("size"), F.transform(tested, F.length).alias("tested"))
-    # The running position is the end of the last match, kept beside the spans so far.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    # The running position is the end of the last match, kept beside the spans so far. Matches are walked in
+    # groups, and groups are moved to their places afterwards, so no step copies all spans before it.
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct((span["start"] + by).alias("start"), (span["end"] + by).alias("end"))
 
     def step(s: Column, m: Column) -> Column:
         first = s["at"] + m["gap"]
@@ -76,12 +82,23 @@ def spans_of(text: Column, folded: Column, rule: Rule) -> Column:
         found = F.array(F.struct(first.alias("start"), last.alias("end")))
         return F.struct(last.alias("at"), F.when(m["tested"] >= rule.least, F.concat(s["spans"], found)).otherwise(s["spans"]).alias("spans"))
 
+    def walk(group: Column) -> Column:
+        return F.aggregate(group, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def place(s: Column, g: Column) -> Column:
+        return F.struct((s["at"] + g["at"]).alias("at"), F.concat(s["spans"], F.array(F.transform(g["spans"], lambda x: moved(x, s["at"])))).alias("spans"))
+
+    def spans(m: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(m), F.lit(1)) - 1) / _GROUP).cast("int")), lambda k: F.slice(m, (k * _GROUP + 1).cast("int"), _GROUP))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("spans"))
+        return F.aggregate(F.transform(groups, walk), start, place, lambda s: F.flatten(s["spans"]))
+
     likely = F.lit(False)
     for hint in rule.hints:
         likely = likely | folded.contains(hint)
     if not rule.hints:
         likely = text.rlike(pattern)
-    return F.when(likely, F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(likely, F.transform(F.array(steps), spans)[0]).otherwise(none)
 
 
 def blobs_of(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
