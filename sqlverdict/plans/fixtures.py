@@ -284,19 +284,18 @@ def rewards(spark: SparkSession, sf: str) -> DataFrame:
 # --- vectors ------------------------------------------------------------------
 
 SQL_VEC = """fx_vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label,
-       CASE WHEN vec_id % 25 = 0 THEN 'query' ELSE 'corpus' END AS part,
        concat('q', CAST(label AS VARCHAR(20)), '_', CAST(vec_id % 8 AS VARCHAR(20))) AS question,
        CASE WHEN label % 2 = 0 THEN 'AA' ELSE 'AU' END AS category,
        CASE WHEN label % 2 = 1 THEN NULL WHEN label % 3 = 0 THEN 'scope' WHEN label % 3 = 1 THEN 'attachment' ELSE 'vague' END AS ambig_type
 FROM embeddings),
 sims AS (SELECT q.vec_id AS query_id, c.vec_id, q.question AS qq, c.question AS cq, q.category AS qc, c.category AS cc, q.ambig_type AS qt, c.ambig_type AS ct,
-  round(list_dot_product(q.e, c.e), 9) AS similarity FROM fx_vec q JOIN fx_vec c ON q.part = 'query' AND c.part = 'corpus')"""
+  round(list_dot_product(q.e, c.e), 9) AS similarity FROM fx_vec q JOIN fx_vec c ON q.vec_id % 20 = 0)"""
 
 
 def vectors(spark: SparkSession, sf: str, part: str) -> DataFrame:
-    """``part`` is query (every 25th vector) or corpus."""
+    """``part`` is query (every vector whose id is divisible by 20) or corpus (all)."""
     label, k = F.col("label"), F.col("vec_id")
-    mine = (k % 25 == 0) if part == "query" else (k % 25 != 0)
+    mine = (k % 20 == 0) if part == "query" else F.lit(True)
     return table(spark, sf, "embeddings").filter(mine).select(
         "vec_id", "embedding", "label", F.concat(F.lit("q"), label, F.lit("_"), k % 8).alias("question"),
         F.when(label % 2 == 0, "AA").otherwise("AU").alias("category"),

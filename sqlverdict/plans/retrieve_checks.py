@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sqlverdict.operators import lda, reports, retrieve
-from sqlverdict.operators.textsim import structural_scorer, tfidf_fit, tfidf_similarity
+from sqlverdict.operators.textsim import PostingIndex, structural_scorer, structural_top_k, tfidf_fit, tfidf_similarity
 from sqlverdict.plans import fixtures as fx
 
 
@@ -71,6 +71,13 @@ def tfidf_sim(spark, sf):
     return out.select("query_id", "vec_id", F.round("structural", 6).alias("structural"))
 
 
+def structural_topk(spark, sf):
+    """Messages most similar in structure to every message whose id is divisible by 20, among all messages."""
+    t = fx.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).cast("bigint").alias("vec_id"), "text")
+    out = structural_top_k(t.filter("vec_id % 20 = 0"), PostingIndex(t, "text"), k=5)
+    return out.select("query_id", "rank", "vec_id", F.round("structural", 6).alias("structural"))
+
+
 def softmax_route(spark, sf):
     lg = fx.logits(spark, sf)
     return retrieve.route(lg.drop("verdict"), lg.select("doc_id", "verdict")).select(
@@ -113,7 +120,7 @@ def lda_topk_accuracy(spark, sf):
 QUERIES = {
     "topk": topk, "topk_grid": topk_grid, "topk_by_category": topk_by_category, "topk_by_type": topk_by_type,
     "hybrid_rerank": hybrid_rerank, "retrieval_policy": retrieval_policy, "policy_predicted": policy_predicted, "vote_share": vote_share,
-    "tfidf_sim": tfidf_sim, "softmax_route": softmax_route, "lda_predict": lda_predict, "lda_means": lda_means, "lda_covariance": lda_covariance,
+    "tfidf_sim": tfidf_sim, "structural_topk": structural_topk, "softmax_route": softmax_route, "lda_predict": lda_predict, "lda_means": lda_means, "lda_covariance": lda_covariance,
     "lda_topk_accuracy": lda_topk_accuracy,
 }
 
@@ -137,10 +144,10 @@ vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM docs WHERE side = 'c')) / (
 wt AS (SELECT side, id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY side, id)) AS w FROM tf JOIN vocab USING (term))"""
 
 
-_VEC_DOCS = """docs AS (SELECT 'c' AS side, vec_id AS id, question AS t FROM fx_vec WHERE part = 'corpus'
-  UNION ALL SELECT 'q', vec_id, question FROM fx_vec WHERE part = 'query')"""
+_VEC_DOCS = """docs AS (SELECT 'c' AS side, vec_id AS id, question AS t FROM fx_vec
+  UNION ALL SELECT 'q', vec_id, question FROM fx_vec WHERE vec_id % 20 = 0)"""
 _STRUCT = _tfidf(_VEC_DOCS) + """,
-fq AS (SELECT question, min(vec_id) AS first_id FROM fx_vec WHERE part = 'corpus' GROUP BY 1),
+fq AS (SELECT question, min(vec_id) AS first_id FROM fx_vec GROUP BY 1),
 st AS (SELECT a.id AS query_id, b.id AS first_id, sum(a.w * b.w) AS s FROM wt a JOIN wt b ON a.side = 'q' AND b.side = 'c' AND a.term = b.term
   JOIN fq ON fq.first_id = b.id GROUP BY 1, 2)"""
 
@@ -156,7 +163,7 @@ fill AS (SELECT query_id, vec_id, cq, similarity, {k} - miss + n AS rank FROM (S
 
 
 _LDA = """flat AS (SELECT vec_id, ambig_type, count(*) OVER (PARTITION BY ambig_type, dim) AS n, dim, x FROM (
-  SELECT vec_id, ambig_type, unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM fx_vec WHERE part = 'corpus' AND ambig_type IS NOT NULL))"""
+  SELECT vec_id, ambig_type, unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM fx_vec WHERE ambig_type IS NOT NULL))"""
 
 
 def _sql(*ctes: str, tail: str) -> str:
@@ -179,7 +186,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY simila
     "hybrid_rerank": _sql(_STRUCT, _hybrid(0.7, 0.3, 5, "true"), tail="""
 SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity, round(hybrid, 6) AS hybrid, 'type' AS bucket FROM chosen
 UNION ALL SELECT query_id, rank, vec_id, round(similarity, 6), NULL, 'fill' FROM fill"""),
-    "retrieval_policy": _sql(f"""hy AS (SELECT vec_id FROM fx_vec q WHERE part = 'query' AND category = 'AA' AND ambig_type IN ('attachment', 'scope') AND {_CONF} >= 0.7)""",
+    "retrieval_policy": _sql(f"""hy AS (SELECT vec_id FROM fx_vec q WHERE vec_id % 20 = 0 AND category = 'AA' AND ambig_type IN ('attachment', 'scope') AND {_CONF} >= 0.7)""",
         _STRUCT, _hybrid(0.3, 0.7, 3, "c." + _IS_HYBRID), _near("near", "5"), f"""hyb AS (SELECT query_id, rank, vec_id, cq, similarity FROM chosen UNION ALL SELECT query_id, rank, vec_id, cq, similarity FROM fill),
 others AS (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM near
   WHERE {_IS_HYBRID} AND (query_id, cq) NOT IN (SELECT (query_id, cq) FROM hyb)),
@@ -199,11 +206,16 @@ pr AS (SELECT a.id AS query_id, b.id AS vec_id FROM tt a JOIN tt b ON a.conv_id
 SELECT pr.query_id, pr.vec_id, round(coalesce(any_value(d.s), 0), 6) AS structural FROM pr LEFT JOIN (
   SELECT pr.query_id, pr.vec_id, sum(a.w * b.w) AS s FROM pr JOIN wt a ON a.side = 'q' AND a.id = pr.query_id JOIN wt b ON b.side = 'c' AND b.id = pr.vec_id AND b.term = a.term GROUP BY 1, 2) d
   ON d.query_id = pr.query_id AND d.vec_id = pr.vec_id GROUP BY 1, 2""",
+    "structural_topk": "WITH " + _tfidf("""tt AS (SELECT conv_id * 100 + turn AS id, text FROM conversations),
+docs AS (SELECT 'c' AS side, id, text AS t FROM tt UNION ALL SELECT 'q', id, text FROM tt WHERE id % 20 = 0)""") + """,
+s AS (SELECT a.id AS query_id, b.id AS vec_id, sum(a.w * b.w) AS s FROM wt a JOIN wt b ON a.side = 'q' AND b.side = 'c' AND b.term = a.term AND b.id <> a.id GROUP BY 1, 2)
+SELECT query_id, rank, vec_id, round(s, 6) AS structural FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "lda_means": _sql(_LDA, tail="""
 SELECT ambig_type, any_value(n) AS n, (dim - 1)::INT AS dim, round(avg(x), 6) + 0.0 AS mean FROM flat GROUP BY ambig_type, dim"""),
     "lda_covariance": _sql(_LDA, tail="""
 , centred AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY ambig_type, dim) AS x FROM flat),
-k AS (SELECT count(*) - count(DISTINCT ambig_type) AS free FROM fx_vec WHERE part = 'corpus' AND ambig_type IS NOT NULL)
+k AS (SELECT count(*) - count(DISTINCT ambig_type) AS free FROM fx_vec WHERE ambig_type IS NOT NULL)
 SELECT (a.dim - 1)::INT AS i, (b.dim - 1)::INT AS j, round(sum(a.x * b.x) / any_value(free), 6) + 0.0 AS value
 FROM centred a JOIN centred b ON a.vec_id = b.vec_id, k GROUP BY 1, 2"""),
     "softmax_route": f"""WITH {fx.SQL_LOGITS}, e AS (SELECT *, exp(l_u) AS a, exp(l_aa) AS b, exp(l_au) AS c FROM fx_logits),
