@@ -1,11 +1,11 @@
 """Execute statements and keep their results as cells.
 
-Statements are Spark SQL. Each distinct (database, text) runs once as its own
-Spark job, a bounded number at a time; equal statements of other examples share
-the result. Submission is driver-side by nature: a statement is a job. A statement
-must parse as the inside of a subquery before it runs, which no write or command
-does, whatever it begins with. Anything else, and whatever fails, is an ``error``
-row with the whole message.
+Statements are Spark SQL. Each distinct (database, text) runs once; equal statements of
+other examples share the result. Statements are planned one by one on the driver, where
+``guard`` lets only queries over the given tables pass, and run together: the results
+of a part of a chunk are one union, numbered by one sort and written by one job, so jobs grow with chunks
+and not with statements. Where a chunk fails, its halves run, down to the statement whose fault
+it is. What is not allowed, and whatever fails, is an ``error`` row with the whole message.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import islice
 
 from pyspark.errors import PySparkException, UnknownException
@@ -23,12 +24,13 @@ from pyspark.sql import types as T
 
 from sqlverdict.functions.cells import EXACT, LONG, norm_value, raw_value, sort_key
 from sqlverdict.functions.pytext import has_order_by, is_statement
-from sqlverdict.operators.numbering import dense_index
+from sqlverdict.operators.guard import checked
+from sqlverdict.operators.numbering import grouped_rank
 from sqlverdict.session import scratch_path
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 _CELLS = "stmt STRING, row_idx BIGINT, col_idx INT, kind STRING, num DOUBLE, str STRING"
-_OUTCOME = "stmt STRING, ok BOOLEAN, error STRING"
+_OUTCOME = "stmt STRING, ok BOOLEAN, error STRING, chunk STRING"
 _TABLE_NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -52,26 +54,30 @@ def cell_of(value: Column, kind: T.DataType) -> Column:
     return F.struct(F.when(value.isNull(), "null").otherwise(tag).alias("kind"), num.alias("num"), text.alias("str"))
 
 
-def result_cells(result: DataFrame, ordered: bool) -> DataFrame:
-    """(row_idx, col_idx, kind, num, str) of a query result.
+def result_rows(result: DataFrame, ordered: bool, stmt: str) -> DataFrame:
+    """(stmt, place, t, o, tie, cells): the rows of a query result with what orders them.
 
     Rows of an ordered statement keep their order. An unordered result has none in
     Spark, so its rows are put in the order of their normalised cells, texts before
     other values, which makes positional rules repeatable and lines up grouped
     results whatever the place of their key columns.
     """
-    width = len(result.schema.fields)
-    safe = result.toDF(*[f"c{i}" for i in range(width)])
-    row = safe.select(F.array(*[
-        cell_of(F.col(f"c{i}"), f.dataType) for i, f in enumerate(result.schema.fields)]).alias("cells"))
-    if ordered:
-        numbered = dense_index(row, "row_idx")
-    else:
-        keys = F.transform("cells", lambda c: sort_key(norm_value(raw_value(c["kind"], c["num"], c["str"]))))
-        row = row.withColumn("k", keys)
-        texts, others = F.filter("k", lambda k: k["rank"] == 2), F.filter("k", lambda k: k["rank"] < 2)
-        numbered = dense_index(row.select("cells", texts.alias("t"), others.alias("o")), "row_idx", "t", "o", F.to_json("cells"))
-    return numbered.select("row_idx", F.posexplode("cells").alias("col_idx", "c")).select("row_idx", "col_idx", "c.*")
+    fields = result.schema.fields
+    safe = result.toDF(*[f"c{i}" for i in range(len(fields))])
+    row = safe.select(F.array(*[cell_of(F.col(f"c{i}"), f.dataType) for i, f in enumerate(fields)]).alias("cells"))
+    keys = F.transform("cells", lambda c: sort_key(norm_value(raw_value(c["kind"], c["num"], c["str"]))))
+    row = row.withColumn("place", F.monotonically_increasing_id() if ordered else F.lit(0).cast("long"))
+    row = row.withColumn("k", F.slice(keys, 1, 0) if ordered else keys)
+    tie = F.lit("") if ordered else F.to_json("cells")
+    return row.select(F.lit(stmt).alias("stmt"), "place", F.filter("k", lambda k: k["rank"] == 2).alias("t"),
+                      F.filter("k", lambda k: k["rank"] < 2).alias("o"), tie.alias("tie"), "cells")
+
+
+def result_cells(rows: DataFrame) -> DataFrame:
+    """(stmt, row_idx, col_idx, kind, num, str) of the results of many statements, numbered by one sort."""
+    numbered = grouped_rank(rows, "stmt", "_r", "place", "t", "o", "tie")
+    return numbered.select("stmt", (F.col("_r") - 1).alias("row_idx"), F.posexplode("cells").alias("col_idx", "c")).select(
+        "stmt", "row_idx", "col_idx", "c.*")
 
 
 def run_statements(
@@ -82,11 +88,11 @@ def run_statements(
 
     Returns (query_runs, result_cells). ``db_views(db_id)`` names the tables of a
     database; each database gets a session of its own, so that equal table names
-    do not meet. Without it, statements see the current session.
+    do not meet. Without it, statements see the tables of the current session.
 
-    Cells are written below ``out`` as each statement finishes, outcomes once per
-    ``chunk`` statements. A run on the same ``out`` skips statements with an outcome, so a
-    broken run resumes. The driver holds only ``chunk`` statement texts at a time.
+    Cells are written below ``out`` in ``parallel`` jobs per ``chunk`` statements, then their outcomes, which name
+    the job's part; cells of a part without outcomes do not count. A run on the same ``out`` skips statements with an
+    outcome, so a broken run resumes. The driver holds only ``chunk`` statement texts at a time.
     """
     out = out or scratch_path(spark, "runs")
     todo = statements.select("db_id", "sql").distinct().withColumn(
@@ -94,45 +100,58 @@ def run_statements(
             "readable": is_statement(F.col("sql")), "ordered": has_order_by(F.col("sql"))})
     done = _outcomes(spark, out)
     todo = todo.join(done.select("stmt"), "stmt", "left_anti")
-    sessions: dict[str, SparkSession] = {}
+    sessions: dict[str, tuple[SparkSession, set[str] | None]] = {}
     shared: list[str] = []
 
-    def session_for(db_id: str) -> SparkSession:
+    def session_for(db_id: str) -> tuple[SparkSession, set[str] | None]:
         if db_views is None:
-            return spark
+            return spark, None
         if db_id not in sessions:
-            fresh = spark.newSession()
+            fresh, names = spark.newSession(), set()
             for name, df in db_views(db_id).items():
                 if not _TABLE_NAME.match(name):
                     raise ValueError(f"bad table name {name}")
                 shared.append(_share(df, fresh, db_id, name))
-            sessions[db_id] = fresh
+                names.add(name)
+            sessions[db_id] = fresh, names
         return sessions[db_id]
 
-    def run(row) -> tuple[str, bool, str | None]:
-        error = None
+    def plan(row) -> DataFrame | str:
         try:
             if not row["readable"]:
                 raise ValueError("only select statements run")
-            session = session_for(row["db_id"])
-            text = row["sql"].strip().rstrip(";")
-            session.sql(f"EXPLAIN SELECT * FROM (\n{text}\n)")  # parses queries only; runs nothing
-            result = session.sql(text)
-            cells = result_cells(result, row["ordered"]).withColumn("stmt", F.lit(row["stmt"]))
-            cells.select(*[f.split()[0] for f in _CELLS.split(", ")]).write.mode("overwrite").parquet(
-                f"{out}/cells/part={row['stmt']}")
+            session, names = session_for(row["db_id"])
+            return result_rows(checked(session, row["sql"].strip().rstrip(";"), names), row["ordered"], row["stmt"])
         except UnknownException:
             raise  # not the statement's fault: stop, and resume later
         except (PySparkException, ValueError) as problem:
-            error = str(problem)
-        return row["stmt"], error is None, error
+            return str(problem)
+
+    def write(planned: list[tuple[str, DataFrame]]) -> list[tuple[str, bool, str | None, str]]:
+        """Outcomes of planned statements; their cells are written by one job, or by those of both halves where it fails."""
+        if not planned:
+            return []
+        name = hashlib.sha256("".join(stmt for stmt, _ in planned).encode()).hexdigest()
+        try:
+            result_cells(reduce(DataFrame.union, [rows for _, rows in planned])).write.mode("overwrite").parquet(f"{out}/cells/chunk={name}")
+        except UnknownException:
+            raise
+        except PySparkException as problem:
+            if len(planned) == 1:
+                return [(planned[0][0], False, str(problem), name)]
+            half = len(planned) // 2
+            return write(planned[:half]) + write(planned[half:])
+        return [(stmt, True, None, name) for stmt, _ in planned]
 
     rows = todo.orderBy("db_id", "stmt").toLocalIterator()
     with ThreadPoolExecutor(parallel) as pool:
         while batch := list(islice(rows, chunk)):
-            for db_id in dict.fromkeys(r["db_id"] for r in batch if db_views):
+            for db_id in dict.fromkeys(row["db_id"] for row in batch):
                 session_for(db_id)
-            outcomes = list(pool.map(run, batch))
+            plans = list(pool.map(lambda row: (row["stmt"], plan(row)), batch))
+            outcomes = [(stmt, False, error, None) for stmt, error in plans if isinstance(error, str)]
+            good = [(stmt, df) for stmt, df in plans if not isinstance(df, str)]
+            outcomes += [o for part in pool.map(write, [good[k::parallel] for k in range(parallel)]) for o in part]
             spark.createDataFrame(outcomes, _OUTCOME).coalesce(1).write.mode("append").parquet(f"{out}/outcomes")
             for view in shared:
                 spark.catalog.dropGlobalTempView(view)
@@ -149,20 +168,25 @@ def _share(df: DataFrame, session: SparkSession, db_id: str, name: str) -> str:
     return shared
 
 
-def _outcomes(spark: SparkSession, out: str) -> DataFrame:
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The table at ``path``, empty if nothing is there; any other failure is one."""
     try:
-        return spark.read.schema(_OUTCOME).parquet(f"{out}/outcomes")
-    except PySparkException:
-        return spark.createDataFrame([], _OUTCOME)
+        return spark.read.schema(schema).parquet(path)
+    except PySparkException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _outcomes(spark: SparkSession, out: str) -> DataFrame:
+    return _read(spark, _OUTCOME, f"{out}/outcomes")
 
 
 def _collect_runs(spark: SparkSession, statements: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
     named = statements.withColumn("stmt", F.sha2(F.concat_ws("\x01", "db_id", "sql"), 256))
-    runs = named.join(_outcomes(spark, out), "stmt").select(
+    outcomes = _outcomes(spark, out)
+    runs = named.join(outcomes, "stmt").select(
         "example_id", "side", "query_id", F.col("pos").cast("int").alias("pos"), "sql",
         has_order_by(F.col("sql")).alias("ordered"), "ok", "error")
-    try:
-        cells = spark.read.schema(_CELLS).parquet(f"{out}/cells")
-    except PySparkException:
-        cells = spark.createDataFrame([], _CELLS)
-    return runs, cells.join(named.select("stmt", "example_id", "side", "query_id"), "stmt").drop("stmt", "part")
+    cells = _read(spark, _CELLS + ", chunk STRING", f"{out}/cells").join(outcomes.where("ok").select("stmt", "chunk"), ["stmt", "chunk"])
+    return runs, cells.join(named.select("stmt", "example_id", "side", "query_id"), "stmt").drop("stmt", "chunk")
