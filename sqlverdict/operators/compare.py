@@ -201,6 +201,7 @@ def _norm_same() -> Column:
 
 def _percentage_cell(a: Column, b: Column) -> Column:
     ratio = F.try_divide(a, b)
+    # One percent around a ratio of 1, 100 and 1/100.
     near = (
         ((ratio > 0.99) & (ratio < 1.01)) | ((ratio > 99.0) & (ratio < 101.0))
         | ((ratio > 0.0099) & (ratio < 0.0101))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from sqlverdict.functions.pytext import blank_to_null, collapse_spaces, strip
 from sqlverdict.functions.text import kind_of, parse_json
+from sqlverdict.operators.numbering import first_per_group
 from sqlverdict.schema import RAW_COLUMNS
 
 
@@ -96,7 +97,8 @@ def question_with_suffix() -> Column:
 
 
 def first_rows(df: DataFrame, n: int | None) -> DataFrame:
-    return df if not n else df.orderBy("row_idx").limit(n)
+    """The first n rows; no limit, and also a limit of 0, keeps all. A large n stays in as many partitions as it fills."""
+    return df if not n else first_per_group(df, n, [], "row_idx")
 
 
 def load_examples(
