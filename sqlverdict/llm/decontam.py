@@ -6,7 +6,8 @@ lower-cased, so symbols, case and spacing hide nothing. In scripts without space
 text if some stretch of it is within ``errors = floor(rate * m)`` insertions, deletions and
 substitutions of words. The item is split into ``errors + 1`` pieces; one of them must occur
 unchanged. Exact piece hits come from hashed lookups, and each hit is verified on the
-stretch around it with Myers' bit-parallel distance, whatever the item's length.
+stretch around it with Myers' bit-parallel distance, whatever the item's length. The distance
+gives the end of the best stretch; the same run backwards from there gives its start.
 
 Items are a stated query set. They are read in blocks of at most ``BLOCK_BYTES`` of text, and each
 block is broadcast in one pass over the texts, which never shuffle.
@@ -72,6 +73,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
         self.codes: dict[str, int] = {}
         self.items: list[tuple[int, int, int, list[int], dict[int, int]]] = []
+        self.backward: dict[int, dict[int, int]] = {}
         pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item_id, text in items:
             words = [self.codes.setdefault(w, len(self.codes) + 1) for w in words_of(text)]
@@ -96,6 +98,16 @@ class Items:
             key = (key * _FACTOR + w) % 2**64
         return key
 
+    def _start(self, k: int, stretch: list[int]) -> int:
+        """Start of the shortest stretch that ends with ``stretch`` and is as near to item ``k`` as any."""
+        _, m, _, item, _ = self.items[k]
+        if k not in self.backward:
+            masks: dict[int, int] = {}
+            for j, w in enumerate(reversed(item)):
+                masks[w] = masks.get(w, 0) | 1 << j
+            self.backward[k] = masks
+        return len(stretch) - distance(self.backward[k], m, stretch[::-1])[1]
+
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """``(item_id, errors, start, end)`` of every item found, in words; the best stretch of each."""
         words = words_of(text)
@@ -125,7 +137,7 @@ class Items:
                     best, end = distance(masks, m, coded[start:t - low + m + errors])
                     if best <= errors and (k not in found or best < found[k][0]):
                         found[k] = (best, start, start + end)
-        return [(self.items[k][0], *where) for k, where in found.items()]
+        return [(self.items[k][0], errors, low + self._start(k, coded[low:end]), end) for k, (errors, low, end) in found.items()]
 
 
 def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
