@@ -8,6 +8,8 @@ pairs they cannot settle ever touch cells again, through equi-joins on position.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,30 +111,72 @@ def _norm_equal(ordered: Column) -> Column:
     return F.when(_both_empty(), True).otherwise(_same_shape() & equal)
 
 
-def match_unordered(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Strict rule without order: equal multisets of raw cells. Adds ``strict``."""
-    out = with_profiles(pairs, with_values(cells), ["bag"])
-    return out.select(*pairs.columns, _bag_equal().alias("strict"))
+def match_unordered(pairs: DataFrame, cells: DataFrame, exact: bool = False) -> DataFrame:
+    """Strict rule without order: equal multisets of raw cells. Adds ``strict``.
+
+    Here and in the other rules over fingerprints, ``exact`` confirms matches from the values.
+    """
+    return _decided(pairs, cells, "strict", _bag_equal(), {"bag": F.lit(True)}, exact)
 
 
-def match_ordered(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+def match_ordered(pairs: DataFrame, cells: DataFrame, exact: bool = False) -> DataFrame:
     """Strict rule with order: row by row equal bags of raw cells. Adds ``strict``."""
-    out = with_profiles(pairs, with_values(cells), ["row_bags"])
-    return out.select(*pairs.columns, _rows_equal().alias("strict"))
+    return _decided(pairs, cells, "strict", _rows_equal(), {"row_bags": F.lit(True)}, exact)
 
 
-def match_strict(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+def match_strict(pairs: DataFrame, cells: DataFrame, exact: bool = False) -> DataFrame:
     """Ordered rule where the gold statement is ordered, else the unordered one."""
-    out = with_profiles(pairs, with_values(cells), ["bag", "row_bags"])
-    return out.select(
-        *pairs.columns, F.when(F.col("ordered"), _rows_equal()).otherwise(_bag_equal()).alias("strict")
-    )
+    ordered = F.col("ordered")
+    return _decided(pairs, cells, "strict", F.when(ordered, _rows_equal()).otherwise(_bag_equal()),
+                    {"row_bags": ordered, "bag": ~_true(ordered)}, exact)
 
 
-def match_normalized(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+def match_normalized(pairs: DataFrame, cells: DataFrame, exact: bool = False) -> DataFrame:
     """Normalised rows equal: in order, or as a multiset of rows. Adds ``normalized``."""
-    out = with_profiles(pairs, with_values(cells), ["norm_cells", "norm_rows"])
-    return out.select(*pairs.columns, _norm_equal(F.col("ordered")).alias("normalized"))
+    ordered = F.col("ordered")
+    return _decided(pairs, cells, "normalized", _norm_equal(ordered), {"norm_cells": ordered, "norm_rows": ~_true(ordered)}, exact)
+
+
+def _true(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False))
+
+
+def _decided(pairs: DataFrame, cells: DataFrame, name: str, equal: Column, rules: dict[str, Column], exact: bool) -> DataFrame:
+    """Pairs with ``name``: whether the fingerprints ``rules``, each for the pairs of its condition, are equal."""
+    valued = with_values(cells)
+    out = with_profiles(pairs, valued, list(rules)).withColumn(name, equal)
+    if not exact:
+        return out.select(*pairs.columns, name)
+    out = cut_lineage(out.select(*pairs.columns, name, "p_n_rows", "g_n_rows"))
+    wrong = [unequal(out.filter(F.col(name) & _true(where)), valued, rule) for rule, where in rules.items()]
+    wrong = reduce(DataFrame.unionByName, wrong).withColumn("_wrong", F.lit(True))
+    return out.join(wrong, list(PAIR), "left").withColumn(name, F.col(name) & F.col("_wrong").isNull()).select(*pairs.columns, name)
+
+
+# What two results must hold equally often to be equal under a fingerprint.
+MEMBERS = {
+    "bag": ["rn", "rx"], "row_bags": ["row_idx", "rn", "rx"], "raw_cells": ["row_idx", "col_idx", "rn", "rx"],
+    "norm_cells": ["row_idx", "col_idx", "nn", "nx"], "norm_rows": ["whole"],
+}
+
+
+def unequal(pairs: DataFrame, valued: DataFrame, rule: str) -> DataFrame:
+    """Of pairs with equal fingerprints under ``rule``, those whose values differ: exact counts, no hashes.
+
+    Members of a result are counted before they meet the pairs, and only results of the given pairs are read.
+    """
+    members = MEMBERS[rule]
+    if rule == "norm_rows":  # one row of a result is as wide as its columns, however many rows there are
+        row = F.array_sort(F.collect_list(F.struct("col_idx", "nn", "nx")))
+        valued = valued.groupBy("example_id", "side", "query_id", "row_idx").agg(row.alias("whole"))
+    block = F.floor(F.col("row_idx") / ROW_BLOCK)
+    slim = valued.groupBy("example_id", "side", "query_id", block.alias("_b"), *members).agg(F.count("*").alias("d"))
+    if "row_idx" not in members:
+        slim = slim.withColumn("row_idx", F.col("_b") * ROW_BLOCK)
+    slim = slim.drop("_b")
+    signed = _attach(slim, pairs, "pred").unionByName(_attach(slim.withColumn("d", -F.col("d")), pairs, "gold"))
+    gaps = signed.groupBy(*PAIR, *members).agg(F.sum("d").alias("d"))
+    return gaps.filter("d <> 0").select(*PAIR).distinct()
 
 
 def confirm_bags(pairs: DataFrame, cells: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sqlverdict.functions.pytext import strip
 from sqlverdict.operators.examples import complete, derive_category, first_nonblank, present
-from sqlverdict.operators.numbering import dense_index, first_per_group
+from sqlverdict.operators.numbering import dense_index, first_by_digest
 from sqlverdict.schema import AMBIGUITY_TYPES, CATEGORY_IDS
 
 BROADCAST_GROUPS = 200_000
@@ -65,10 +65,10 @@ def capped_sample(
 ) -> DataFrame:
     """At most ``cap`` random rows per group, or of the whole table without groups.
 
-    A huge group costs no more than its share of the scan: see ``first_per_group``.
+    A huge group costs no more than its share of the scan: see ``first_by_digest``.
     """
     keyed = df.withColumn("_k", shuffle_key(seed, F.col(key)))
-    return first_per_group(keyed, cap, list(by), "_k", key).drop("_k")
+    return first_by_digest(keyed, cap, list(by), "_k", key).drop("_k")
 
 
 def classifier_rows(raw: DataFrame, source: str) -> DataFrame:
@@ -140,4 +140,4 @@ def curriculum(
     out = out.withColumn("shuffle_key", shuffle_key(F.col("stage_num") + seed, F.col(key)))
     if cap is None:
         return out
-    return first_per_group(out, cap, ["stage"], "shuffle_key", key)
+    return first_by_digest(out, cap, ["stage"], "shuffle_key", key)

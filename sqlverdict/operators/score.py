@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlverdict.functions.cells import profile_results, with_values
 from sqlverdict.functions.pytext import has_order_by, strip
-from sqlverdict.operators.compare import PRINTS, match_flex, stored_profiles
+from sqlverdict.operators.compare import PAIR, PRINTS, match_flex, stored_profiles, unequal
 from sqlverdict.operators.numbering import first_per_group
 from sqlverdict.session import cut_lineage
 
@@ -29,13 +29,36 @@ def dedup_statements(runs: DataFrame) -> DataFrame:
     ).select(*runs.columns)
 
 
-def gold_duplicates(runs: DataFrame, cells: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def gold_duplicates(runs: DataFrame, cells: DataFrame, profiles: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Examples where two gold statements give identical ordered results.
 
-    ``dup_pos`` is the first position whose result was already there.
+    ``dup_pos`` is the first position whose result was already there. ``exact`` confirms
+    equal fingerprints from the cells.
     """
-    gold = dedup_statements(runs.filter("side = 'gold' AND ok"))
-    return _gold_duplicates(_joined_profiles(gold, cells, ["raw_cells"], profiles))
+    gold = _joined_profiles(dedup_statements(runs.filter("side = 'gold' AND ok")), cells, ["raw_cells"], profiles)
+    return _confirmed_duplicates(gold, cells) if exact else _gold_duplicates(gold)
+
+
+def _confirmed_duplicates(gold: DataFrame, cells: DataFrame) -> DataFrame:
+    """Later results are compared with the first of their fingerprint; those unlike it among themselves again.
+
+    One round is enough unless fingerprints of different results are equal.
+    """
+    result = ["example_id", "n_rows", "n_cols", "raw_cells"]
+    rest = cut_lineage(gold.select(*result, "pos", "query_id").withColumn(
+        "raw_cells", F.coalesce("raw_cells", F.array().cast("array<bigint>"))))
+    valued = with_values(cells.filter("side = 'gold'")).withColumn("side", F.explode(F.array(F.lit("pred"), F.lit("gold"))))
+    found = None
+    while True:
+        firsts = rest.groupBy(*result).agg(F.min_by("query_id", "pos").alias("gold_id"), F.min("pos").alias("_first"))
+        later = rest.join(firsts, result).filter("pos > _first").withColumnRenamed("query_id", "pred_id")
+        later = cut_lineage(later.withColumns({"p_n_rows": F.col("n_rows"), "g_n_rows": F.col("n_rows")}))
+        wrong = cut_lineage(unequal(later, valued, "raw_cells"))
+        same = later.join(wrong, list(PAIR), "left_anti").select("example_id", "pos")
+        found = same if found is None else found.unionByName(same)
+        if wrong.isEmpty():
+            return found.groupBy("example_id").agg(F.min("pos").alias("dup_pos"))
+        rest = cut_lineage(later.join(wrong, list(PAIR), "left_semi").select(*result, "pos", F.col("pred_id").alias("query_id")))
 
 
 def _gold_duplicates(gold: DataFrame) -> DataFrame:

@@ -398,6 +398,8 @@ SELECT query_id, concat('**Question Classification:**', chr(10), chr(10), 'Class
   CASE WHEN p_partkey % 3 = 0 THEN concat('The following execution errors occurred:', chr(10), chr(10), 'Execution Errors:', chr(10), '- e0 ', p_brand, chr(10), '- e1 ', p_brand, chr(10), '- e2 ', p_brand, chr(10), '- e3 ', p_brand, chr(10),
     '- e4 ', p_brand, chr(10), '- e5 ', p_brand, chr(10), '- e6 ', p_brand, chr(10), chr(10)) ELSE '' END, 'Review the question, interpretations and queries thoroughly.') AS user FROM part""",
     "run_packs": _statement_digests(),
+    "score_batches": """SELECT doc_id, round(len(list_distinct(w)) / greatest(1, len(w)), 6) AS score
+FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)""",
     "reward_columns": f"WITH {fx.SQL_REPLIES} SELECT id, CAST(CASE WHEN fmt = 6 THEN 0.05 ELSE 0 END AS DOUBLE) AS reward_format, CASE WHEN fmt = 6 THEN (id % 10) / 10 ELSE 0.25 END AS reward_quality FROM fx_responses",
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("compare_checks", "score_checks", "retrieve_checks", "text_checks", "curate_checks")
+FAMILIES = ("compare_checks", "score_checks", "retrieve_checks", "text_checks", "curate_checks", "source_checks")
 
 
 def _collect(attribute: str) -> dict:

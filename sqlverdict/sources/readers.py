@@ -90,7 +90,8 @@ def write_classification_report(df: DataFrame, truth: str, pred: str, path: str,
 def write_split(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """A re-split table as CSV with header, or as Parquet by split."""
     if fmt == "csv":
-        df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+        df.write.mode("overwrite").options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "parquet":
         df.write.mode("overwrite").partitionBy("split").parquet(path)
     else:
