@@ -165,43 +165,38 @@ def profile_results(
     ``norm_cells``  rows by position, cells by position (normalised)
     ``norm_rows``   rows in any order, cells by position (normalised)
 
-    A bag alone takes one aggregation; the others first sum up the cells of each
-    row, then the rows. ``odd`` counts cells whose number may not be finite.
+    ``norm_rows`` first sums up the cells of each row, then the rows; the others then follow from the
+    same rows. Without it all take one aggregation, whose groups are results and not rows. Prints are
+    compared with prints of the same call only. ``odd`` counts cells whose number may not be finite.
     """
     raw, norm = (F.col("rn"), F.col("rx")), (F.col("nn"), F.col("nx"))
     row, col = F.col("row_idx"), F.col("col_idx")
     by_row = {  # print -> (sums over the cells of a row, does the row's place count)
         "row_bags": ("rb", True), "raw_cells": ("rc", True), "norm_cells": ("nc", True), "norm_rows": ("nc", False),
     }
+    if "norm_rows" not in prints:
+        return _profile_cells(valued, prints, keys)
     by_row = {p: how for p, how in by_row.items() if p in prints}
     members = {"rb": raw, "rc": (col, *raw), "nc": (col, *norm)}
     used = {s for s, _ in by_row.values()} | ({"rb"} if "bag" in prints else set())
     members = {m: parts for m, parts in members.items() if m in used}
     want_odd = "norm_cells" in prints
-    odd = (
-        F.isnan("nn") | (F.abs("nn") == float("inf"))
-        | (F.col("nn").isNull() & (F.col("nx").contains("nan") | F.col("nx").contains("inf")
-                                   | (F.length("nx") > 300) | F.col("nx").rlike(r"e[+]?[0-9_]{3}")))
-    )
     hashed = valued.select(
-        *keys, row, col, *([odd.alias("is_odd")] if want_odd else []),
+        *keys, row, col, *([_odd().alias("is_odd")] if want_odd else []),
         *[h for m, parts in members.items() for h in _hashes(m, *parts)],
     )
     sums = [s for m in members for s in _member_sums(m)]
     shape = [(F.max(row) + 1).cast("bigint").alias("n_rows")]
     odd_count = [F.count_if("is_odd").alias("odd")] if want_odd else []
-    if not by_row:
-        out = hashed.groupBy(*keys).agg(*shape, (F.max(col) + 1).alias("n_cols"), *odd_count, *sums)
-    else:
-        rows = hashed.groupBy(*keys, "row_idx").agg((F.max(col) + 1).alias("n_cols"), *odd_count, *sums)
-        again = rows.select(
-            *keys, row, "n_cols", *(["odd"] if want_odd else []), *(_columns("rb") if "bag" in prints else []),
-            *[h for p, (m, placed) in by_row.items() for h in _hashes(p, *([row] if placed else []), *_columns(m))],
-        )
-        out = again.groupBy(*keys).agg(
-            *shape, F.max("n_cols").alias("n_cols"), *([F.sum("odd").alias("odd")] if want_odd else []),
-            *(_carry("rb") if "bag" in prints else []), *[s for p in by_row for s in _member_sums(p)],
-        )
+    rows = hashed.groupBy(*keys, "row_idx").agg((F.max(col) + 1).alias("n_cols"), *odd_count, *sums)
+    again = rows.select(
+        *keys, row, "n_cols", *(["odd"] if want_odd else []), *(_columns("rb") if "bag" in prints else []),
+        *[h for p, (m, placed) in by_row.items() for h in _hashes(p, *([row] if placed else []), *_columns(m))],
+    )
+    out = again.groupBy(*keys).agg(
+        *shape, F.max("n_cols").alias("n_cols"), *([F.sum("odd").alias("odd")] if want_odd else []),
+        *(_carry("rb") if "bag" in prints else []), *[s for p in by_row for s in _member_sums(p)],
+    )
     bag = [F.array(*_columns("rb")).alias("bag")] if "bag" in prints else []
     return out.select(
         *keys, "n_rows", F.col("n_cols").cast("int").alias("n_cols"), *(["odd"] if want_odd else []), *bag,
@@ -209,6 +204,28 @@ def profile_results(
     )
 
 
+def _odd() -> Column:
+    return (
+        F.isnan("nn") | (F.abs("nn") == float("inf"))
+        | (F.col("nn").isNull() & (F.col("nx").contains("nan") | F.col("nx").contains("inf")
+                                   | (F.length("nx") > 300) | F.col("nx").rlike(r"e[+]?[0-9_]{3}")))
+    )
+
+
+def _profile_cells(valued: DataFrame, prints: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Fingerprints as multisets of cells with their places, in one aggregation: a task holds results, no rows."""
+    raw, norm = (F.col("rn"), F.col("rx")), (F.col("nn"), F.col("nx"))
+    row, col = F.col("row_idx"), F.col("col_idx")
+    members = {"bag": raw, "row_bags": (row, *raw), "raw_cells": (row, col, *raw), "norm_cells": (row, col, *norm)}
+    members = {p: parts for p, parts in members.items() if p in prints}
+    odd = [_odd().alias("is_odd")] if "norm_cells" in members else []
+    hashed = valued.select(*keys, row, col, *odd, *[h for p, parts in members.items() for h in _hashes(p, *parts)])
+    out = hashed.groupBy(*keys).agg(
+        (F.max(row) + 1).cast("bigint").alias("n_rows"), (F.max(col) + 1).cast("int").alias("n_cols"),
+        *([F.count_if("is_odd").alias("odd")] if odd else []), *[s for p in members for s in _member_sums(p)])
+    return out.select(*keys, "n_rows", "n_cols", *(["odd"] if odd else []), *[F.array(*_columns(p)).alias(p) for p in members])
+
+
 def column_prints(valued: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``print`` of each column of each result: its normalised cells by row. Equal for equal columns."""
     hashed = valued.select(*keys, "col_idx", *_hashes("cp", F.col("row_idx"), F.col("nn"), F.col("nx")))

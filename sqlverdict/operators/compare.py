@@ -26,6 +26,7 @@ PAIR = ("example_id", "pred_id", "gold_id")
 ROW_BLOCK = 4096
 BROADCAST_PAIRS = 100_000
 PRINTS = ("bag", "raw_cells", "norm_cells", "row_bags", "norm_rows")
+STRICT_PRINTS = ("bag", "raw_cells", "row_bags")
 
 
 def pair_up(runs: DataFrame) -> DataFrame:
@@ -48,12 +49,12 @@ def _side(profiles: DataFrame, side: str, id_name: str, prefix: str) -> DataFram
     )
 
 
-def stored_profiles(cells: DataFrame) -> DataFrame:
+def stored_profiles(cells: DataFrame, prints=PRINTS) -> DataFrame:
     """All fingerprints of all results from one pass over the cells, checkpointed.
 
     One narrow row per result; every whole-result rule can then share it.
     """
-    return cut_lineage(profile_results(with_values(cells), PRINTS))
+    return cut_lineage(profile_results(with_values(cells), prints))
 
 
 def with_profiles(pairs: DataFrame, valued: DataFrame, prints, profiles: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlverdict.functions.cells import profile_results, with_values
 from sqlverdict.functions.pytext import has_order_by, strip
-from sqlverdict.operators.compare import PAIR, PRINTS, match_flex, stored_profiles, unequal
+from sqlverdict.operators.compare import PAIR, PRINTS, STRICT_PRINTS, match_flex, stored_profiles, unequal
 from sqlverdict.operators.numbering import first_per_group
 from sqlverdict.session import cut_lineage
 
@@ -145,13 +145,15 @@ def result_classes(runs: DataFrame, profiles: DataFrame, min_similarity: float =
 
     Equal are those with the same cells at the same places; gold ones are also told apart by their order,
     predicted ones by whether their similarity allows containment. ``query_id`` is one of them.
+    ``profiles`` may leave out the normalised prints where only strict rules are asked for.
     """
     gold = F.col("side") == "gold"
     close = F.coalesce(F.col("similarity") > min_similarity, F.lit(False)) if "similarity" in runs.columns else F.lit(False)
     ok = runs.filter("ok").select(*RESULT, (gold & F.col("ordered")).alias("ordered"), (~gold & close).alias("close"))
     prof = ok.join(profiles, RESULT, "left").fillna(0, SHAPE)
+    held = [c for c in ("odd", *PRINTS) if c != "raw_cells" and c in profiles.columns]
     return prof.groupBy("example_id", "side", "ordered", "close", *SHAPE, "raw_cells").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("query_id", "odd", *[p for p in PRINTS if p != "raw_cells"]), "query_id").alias("r")).select(
+        F.count("*").alias("n"), F.min_by(F.struct("query_id", *held), "query_id").alias("r")).select(
         "example_id", "side", "ordered", "close", *SHAPE, "n", "r.*")
 
 
@@ -162,7 +164,8 @@ def class_matches(classes: DataFrame) -> DataFrame:
     """Adds ``strict`` and ``equal`` to classes: does one of the other side match strictly, or in normalised rows.
 
     Strict rules and normalised rows are equalities of fingerprints, so each class holds the keys by which it
-    can be met. Keys: 0 no rows, 1 bag of cells, 2 rows in order, 3 normalised rows, 4 the same in order.
+    can be met. Keys: 0 no rows, 1 bag of cells, 2 rows in order, 3 normalised rows, 4 the same in order;
+    3 and 4 only where classes have the normalised prints, and without them ``equal`` tells nothing more.
     Gold classes hold the keys of their own order, predicted ones both. Keys are met by an aggregation over
     classes, never by pairs: a key that thousands of classes hold is one row. An equal bag settles the flexible
     rule too, unless cells may read as no number (``odd``), which equal nothing in a containment.
@@ -177,10 +180,16 @@ def class_matches(classes: DataFrame) -> DataFrame:
         return F.when(allowed, F.array(*keys).cast(_KEYS)).otherwise(F.array().cast(_KEYS))
 
     filled = rows > 0
+    flat, in_order = [key(1, zero, zero, F.col("bag"))], [key(2, rows, cols, F.col("row_bags"))]
+    if "norm_rows" in classes.columns:
+        flat.append(key(3, rows, cols, F.col("norm_rows")))
+        in_order.append(key(4, rows, cols, F.col("norm_cells")))
+    else:
+        classes = classes.withColumn("odd", zero)
     held = classes.select(*RESULT, "odd", F.explode(F.concat(
         where(~filled, key(0, zero, zero, none)),
-        where(filled & (~gold | ~F.col("ordered")), key(1, zero, zero, F.col("bag")), key(3, rows, cols, F.col("norm_rows"))),
-        where(filled & (~gold | F.col("ordered")), key(2, rows, cols, F.col("row_bags")), key(4, rows, cols, F.col("norm_cells"))),
+        where(filled & (~gold | ~F.col("ordered")), *flat),
+        where(filled & (~gold | F.col("ordered")), *in_order),
     )).alias("k")).select(*RESULT, "odd", "k.*")
     keys = ["example_id", "rule", "rows", "cols", "print"]
     both = held.groupBy(*keys).agg(F.bool_or(gold).alias("g"), F.bool_or(~gold).alias("p")).filter("g AND p").select(*keys)
@@ -220,7 +229,7 @@ def match_counts(runs: DataFrame, cells: DataFrame, flex: bool = False, profiles
     No gold x predicted table is made for the strict rule, nor for statements that equal rows settle; the flexible rule
     compares the cells of ``open_pairs`` only.
     """
-    profiles = stored_profiles(cells) if profiles is None else profiles
+    profiles = stored_profiles(cells, PRINTS if flex else STRICT_PRINTS) if profiles is None else profiles
     classes = class_matches(result_classes(runs, profiles, min_similarity))
     kinds = ["strict"]
     if flex:

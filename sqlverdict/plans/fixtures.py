@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sqlverdict.session import spread
+
+# Orders a task: each becomes up to twenty cells in the stage that reads them.
+ORDERS = 30_000
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -45,20 +50,24 @@ UNION ALL SELECT ck, 'pred', rn, 3, 'str', CAST(NULL AS DOUBLE), 'x' FROM fx_wid
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders numbered per customer, with the price of the mirrored row."""
-    o = table(spark, sf, "orders").select(
+    """Orders numbered per customer, for variant 10 with the price of the mirrored row."""
+    every = table(spark, sf, "orders")
+    o = spread(every.filter("o_custkey IS NOT NULL").select(
         F.col("o_custkey").alias("ck"), F.col("o_orderkey").alias("k"),
         F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s"),
-    )
+    ), every.count(), ORDERS, "ck")
     per = W.partitionBy("ck")
     up = o.withColumns({
         "rn": (F.row_number().over(per.orderBy("k")) - 1).cast("bigint"),
         "n": F.count("*").over(per),
     })
-    mirrored = up.select("ck", (F.col("n") - 1 - F.col("rn")).alias("rn"), F.col("p").alias("p_rev"))
-    return up.join(mirrored, ["ck", "rn"]).withColumns({
+    # By customer alone, so that orders are shuffled once and stay with their customer.
+    back = F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("at"), "p")))
+    mirrored = up.filter("ck % 15 = 10").groupBy("ck").agg(F.transform(back, lambda x: x["p"]).alias("back"))
+    return up.join(mirrored, "ck", "left").withColumns({
+        "p_rev": F.get("back", F.col("rn").cast("int")),
         "v": F.col("ck") % 15, "is_ordered": F.floor(F.col("ck") / 15).cast("bigint") % 2,
-    })
+    }).drop("back")
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +200,8 @@ def multi_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multi_cells(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
+    every = table(spark, sf, "orders")
+    o = spread(every.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"), every.count(), ORDERS, "o_custkey")
     per = W.partitionBy("o_custkey")
     rows = o.select(
         F.col("o_custkey").alias("example_id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"),

@@ -53,6 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """``df`` of ``rows`` rows laid out by ``keys``, about ``each`` rows a task however many there are.
+
+    For steps that make many rows of one in the stage after the shuffle, where its bytes say little. Where the
+    session's shuffle partitions are enough, nothing is done and adaptive execution decides.
+    """
+    tasks = -(-rows // each)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{os.urandom(6).hex()}"
