@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 from sqlverdict.session import cut_lineage
 
 
-def dense_index(df: DataFrame, name: str, *order) -> DataFrame:
+def dense_index(df: DataFrame, name: str, *order, each: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row in the given global order.
 
     With no order, rows are numbered as they are read. The order is made by a
     range-partitioned sort; a position is the row's place in its partition plus
     the sizes of the partitions before it. Only those sizes, one row per
-    partition, meet in one task.
+    partition, meet in one task. With ``each``, rows are stored and counted first and
+    sorted in tasks of about that many; for wide rows, of which a task sorts few.
     """
     laid = df.orderBy(*order) if order else df
+    if order and each:
+        kept = cut_lineage(df)
+        tasks = -(-kept.count() // each)
+        many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        laid = kept.repartitionByRange(tasks, *order).sortWithinPartitions(*order) if many else kept.orderBy(*order)
     placed = cut_lineage(laid.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33).alias("_p")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))
@@ -32,14 +38,14 @@ def dense_index(df: DataFrame, name: str, *order) -> DataFrame:
 GROUP_LIMIT = 1000
 
 
-def grouped_rank(df: DataFrame, by: str, name: str, *order) -> DataFrame:
+def grouped_rank(df: DataFrame, by: str, name: str, *order, each: int | None = None) -> DataFrame:
     """1-based place of each row in its group, with no task per group.
 
     The whole table is sorted by group and order; a row's place is its global
     position less the first position of its group. A group of any size is spread
     over as many sort partitions as it fills.
     """
-    placed = dense_index(df, "_i", by, *order)
+    placed = dense_index(df, "_i", by, *order, each=each)
     firsts = placed.groupBy(by).agg(F.min("_i").alias("_first"))
     return placed.join(firsts.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).withColumn(
         name, F.col("_i") - F.col("_first") + 1).drop("_i", "_first", "_by")

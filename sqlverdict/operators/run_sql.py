@@ -31,6 +31,8 @@ from sqlverdict.session import scratch_path
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 _CELLS = "stmt STRING, row_idx BIGINT, col_idx INT, kind STRING, num DOUBLE, str STRING"
 _OUTCOME = "stmt STRING, ok BOOLEAN, error STRING, chunk STRING"
+# Result rows, with their sort keys, that one task sorts.
+SORT_ROWS = 100_000
 _TABLE_NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -75,7 +77,7 @@ def result_rows(result: DataFrame, ordered: bool, stmt: str) -> DataFrame:
 
 def result_cells(rows: DataFrame) -> DataFrame:
     """(stmt, row_idx, col_idx, kind, num, str) of the results of many statements, numbered by one sort."""
-    numbered = grouped_rank(rows, "stmt", "_r", "place", "t", "o", "tie")
+    numbered = grouped_rank(rows, "stmt", "_r", "place", "t", "o", "tie", each=SORT_ROWS)
     return numbered.select("stmt", (F.col("_r") - 1).alias("row_idx"), F.posexplode("cells").alias("col_idx", "c")).select(
         "stmt", "row_idx", "col_idx", "c.*")
 
